@@ -1,11 +1,13 @@
 """The registered queries of this package, and SQL where SQL can express them."""
 from .mixing import OP8_SQL, op8_mixing
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .packing import op10_packing
 from .pii import op3_pii
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .token_store import op4_token_store
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op4_token_store": op4_token_store,
@@ -13,6 +15,7 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 ORACLE = {
+    "op1_ngram_join": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op8_mixing": OP8_SQL,
 }
