@@ -1,4 +1,6 @@
 """The registered queries of this package, and SQL where SQL can express them."""
+from .chat import OP7_SQL, op7_chat
+from .media import op5_media
 from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .packing import op10_packing
@@ -11,11 +13,14 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op4_token_store": op4_token_store,
+    "op5_media": op5_media,
+    "op7_chat": op7_chat,
     "op8_mixing": op8_mixing,
     "op10_packing": op10_packing,
 }
 ORACLE = {
     "op1_ngram_join": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op7_chat": OP7_SQL,
     "op8_mixing": OP8_SQL,
 }
