@@ -122,7 +122,7 @@ def pieces(
     path = path or default_path()
 
     def cut(batches):
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, counts = encoder(path).encode(texts)
             out: list[list] = [[], [], [], [], [], []]

@@ -13,10 +13,13 @@ from array import array
 import numpy as np
 
 #: Before a space that follows a blank, no cut is safe; such texts are cut by pattern.
-_DOUBLE = re.compile("[\\s᠎] |\x00")
-_CUT = re.compile("(?<=[^\\s᠎])(?= )")
-#: Segments that a worker keeps; beyond it, the cache starts anew.
-MOST_KEPT = 500_000
+_DOUBLE = re.compile("[\\s\u180e] |\x00")
+_CUT = re.compile("(?<=[^\\s\u180e])(?= )")
+#: A cache of this many segments becomes the old one, and a new one begins.
+MOST_KEPT = 150_000
+#: Latin letters, after a space or not, and marks behind them.
+_WORD = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+_LINES = re.compile("[ ]?[^\\s\u180e]+(?:\n[^\\s\u180e]+)+")
 
 
 def default_path() -> str:
@@ -25,6 +28,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_names() -> dict[int, str]:
+    """What byte-level vocabularies call each byte: printable Latin-1 characters stand
+    for themselves, all others for 256 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes lists of texts with a tokenizers file of the byte-level kind."""
 
@@ -33,44 +44,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._place: dict[str, int] = {}
-        self._first, self._count, self._flat = array("q"), array("q"), array("I")
-
-    def _learn(self, segments: list[str]) -> None:
-        for at in range(0, len(segments), 20_000):
-            part = segments[at : at + 20_000]
-            for s, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                self._place[s] = len(self._first)
-                self._first.append(len(self._flat))
-                self._count.append(len(ids))
-                self._flat.extend(ids)
+        self._model = self._tokenizer.model
+        self._names = _byte_names()
+        self._code = "H" if self._tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self._kind = np.dtype(self._code)
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self._code, ids).tobytes()
+
+    def _learn(self, segment: str) -> bytes:
+        """The ids of a segment. A pre-tokenizer parts letters from the marks that follow
+        them, so a word and its marks are looked up or encoded apart."""
+        found = _WORD.fullmatch(segment)
+        if not found:
+            if _LINES.fullmatch(segment):
+                # A line feed between two non-blanks is a token of its own.
+                first, *rest = segment.split("\n")
+                feed = self._new.get("\n") or self._packed(self._tokenizer.encode("\n", add_special_tokens=False).ids)
+                self._new["\n"] = feed
+                return feed.join([self._learn(first), *map(self._learn, rest)])
+            return self._packed(self._tokenizer.encode(segment, add_special_tokens=False).ids)
+        core, marks = found.groups()
+        own = self._new.get(core) or self._old.get(core)
+        if own is None:
+            named = core.encode().decode("latin-1").translate(self._names)
+            own = self._new[core] = self._packed([t.id for t in self._model.tokenize(named)])
+        if not marks:
+            return own
+        tail = self._new.get(marks)
+        if tail is None:
+            tail = self._new[marks] = self._packed(self._tokenizer.encode(marks, add_special_tokens=False).ids)
+        return own + tail
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and the number of ids of each text."""
         segments: list[str] = []
-        ends = np.empty(len(texts) + 1, np.int64)
-        ends[0] = 0
+        ends = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             if _DOUBLE.search(text):
                 segments += _CUT.split(text)
             else:
                 segments += text.replace(" ", "\x00 ").split("\x00")
             ends[i + 1] = len(segments)
-        if len(self._place) > MOST_KEPT:
-            self._forget()
-        new = set(segments).difference(self._place)
-        if new:
-            self._learn(list(new))
-        place = np.fromiter(map(self._place.__getitem__, segments), np.int64, len(segments))
-        first, flat = np.frombuffer(self._first, np.int64), np.frombuffer(self._flat, np.uint32)
-        count = np.frombuffer(self._count, np.int64)[place]
-        before = np.zeros(len(count) + 1, np.int64)
-        np.cumsum(count, out=before[1:])
-        ids = flat[np.repeat(first[place] - before[:-1], count) + np.arange(before[-1])]
+        if len(self._new) > MOST_KEPT:
+            self._old, self._new = self._new, {}
+        for s in set(segments).difference(self._new):
+            found = self._old.get(s)
+            self._new[s] = self._learn(s) if found is None else found
+        parts = list(map(self._new.__getitem__, segments))
+        before = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // self._kind.itemsize, out=before[1:])
+        ids = np.frombuffer(b"".join(parts), self._kind).astype(np.uint32)
         return ids, np.diff(before[ends])
 
 
