@@ -248,11 +248,14 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     that no fixed pattern covers are joined with what bootstrapping accepts."""
     names = docs.columns
     rows = docs.withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
-    spans = candidate_spans(base_spans(rows, "_pii_text"), "_pii_text")
+    # The row number in conditions on spans keeps them above the projections that find
+    # spans; pushed below, each would be found many times over.
+    spans = candidate_spans(base_spans(rows, "_pii_text"), "_pii_text").withColumn("_pii_row", F.monotonically_increasing_id())
+    here = F.col("_pii_row") >= 0
     some = F.size("_pii_more") + sum(F.size(f"_pii_{k}") for k in KINDS)
-    slim = spans.where(some > 0).select("_pii_text", "_pii_more", *[f"_pii_{k}" for k in KINDS])
+    slim = spans.where((some > 0) & here).select("_pii_text", "_pii_more", *[f"_pii_{k}" for k in KINDS])
     accepted = discover(checkpoint(slim), "_pii_text")
-    keyed = spans.where(F.size("_pii_more") > 0).withColumn("_pii_key", F.md5("_pii_text"))
+    keyed = spans.where((F.size("_pii_more") > 0) & here).withColumn("_pii_key", F.md5("_pii_text"))
     more = (
         keyed.select("_pii_key", F.explode("_pii_more").alias("s"))
         .select("_pii_key", "s", F.col("s.value").alias("value"))
@@ -284,7 +287,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         df = df.withColumn(text, F.when(F.size("_pii_spans") > 0, marked).otherwise(F.col(text)))
         return df.select(*[F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names])
 
-    plain = spans.where(F.size("_pii_more") == 0).withColumn("_pii_new", empty)
+    plain = spans.where((F.size("_pii_more") == 0) & here).withColumn("_pii_new", empty)
     return reduce(DataFrame.unionByName, [done(plain), done(keyed.join(more, "_pii_key", "left"))])
 
 

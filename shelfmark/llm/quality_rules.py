@@ -165,6 +165,14 @@ def judge(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) ->
     )
 
 
+def keep(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects. The row number in the condition keeps
+    the optimizer from copying the measures into a filter below their projection, which
+    would compute each many times over."""
+    judged = judge(docs, text, base, rules).withColumn("_q_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
+
+
 def op2_quality_rules(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judge(docs).select(

@@ -5,6 +5,7 @@ from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .packing import op10_packing
 from .pii import op3_pii
+from .quality_model import op6_quality_model
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .token_store import op4_token_store
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_token_store": op4_token_store,
     "op5_media": op5_media,
+    "op6_quality_model": op6_quality_model,
     "op7_chat": op7_chat,
     "op8_mixing": op8_mixing,
     "op10_packing": op10_packing,

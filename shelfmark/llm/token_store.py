@@ -38,24 +38,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(WINDOW)], np.uint64)
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    if len(ids) <= LEAST:
-        return [len(ids)]
-    values = _mixed(ids.astype(np.uint64) + np.uint64(1))
-    rolled = np.zeros(len(ids), np.uint64)
-    for k in range(WINDOW):
-        rolled[k:] += values[: len(ids) - k] * _POWERS[k]
-    marks = np.flatnonzero(_mixed(rolled) >> np.uint64(64 - ZERO_BITS) == 0) + 1
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the hash of the last WINDOW ids asks for a cut, over the ids of
+    many documents at once. A cut needs LEAST ids before it in its document, more than a
+    window, so no window that a cut hangs on reaches into the document before."""
+    n = len(ids)
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    sums = np.cumsum(_mixed(ids.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n])
+    sums[WINDOW:] -= sums[:-WINDOW].copy()
+    return np.flatnonzero(_mixed(sums * _POWERS[1][:n]) >> np.uint64(64 - ZERO_BITS) == 0) + 1
+
+
+def cuts(asked: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of ``n`` ids, LEAST to MOST long but for the last."""
     out, last = [], 0
-    for end in [*marks.tolist(), len(ids)]:
+    for end in [*asked, n]:
         while end - last > MOST:
             last += MOST
             out.append(last)
-        if end - last >= LEAST or end == len(ids) and end > last:
+        if end - last >= LEAST or end == n and end > last:
             out.append(end)
             last = end
     return out
@@ -100,25 +108,30 @@ def crc_shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def _chunks(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) -> DataFrame:
     def cut(batches):
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             ids, counts = encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])
             wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
             out: list[list] = [[] for _ in range(8)]
-            seen, at = set(), 0
-            for row, doc, n in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), counts):
-                own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                at += n
-                begin = 0
-                for end in cuts(own):
-                    part = own[begin:end]
-                    digest = hashlib.sha256(part.tobytes()).digest()
+            seen, width = set(), 4 if wide else 2
+            ends = np.cumsum(counts) + np.arange(1, len(counts) + 1)
+            whole = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
+            asked = marks(whole) if len(whole) else whole
+            slots = np.searchsorted(asked, np.append(0, ends), side="right")
+            first = 0
+            for k, (row, doc, last) in enumerate(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), ends.tolist())):
+                begin, n = 0, last - first
+                for end in cuts((asked[slots[k] : slots[k + 1]] - first).tolist(), n):
+                    part = whole[first + begin : first + end]
+                    raw = part.tobytes()
+                    digest = hashlib.sha256(raw).digest()
                     body = None
                     if digest not in seen:
                         seen.add(digest)
-                        body = part.tobytes() if wide else part.astype("<u2").tobytes()
-                    for c, v in zip(out, (digest, body, row, doc, begin, end - begin, len(own), 4 if wide else 2)):
+                        body = raw if wide else part.astype("<u2").tobytes()
+                    for c, v in zip(out, (digest, body, row, doc, begin, end - begin, n, width)):
                         c.append(v)
                     begin = end
+                first = last
             kinds = (pa.binary(), pa.binary(), *[pa.int64()] * 5, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
