@@ -1,21 +1,21 @@
 """Named queries and the SQL that each must agree with.
 
-A plan module offers ``QUERIES`` (name -> function of a session and a table
-folder) and ``ORACLE`` (name -> DuckDB SQL over the same tables).
+A plan module offers ``PLANS``, a registry of queries (functions of a session and a
+table folder) and of DuckDB SQL over the same tables.
 """
 from importlib import import_module
 
-MODULES = ("ranking",)
+MODULES = ("versions", "ranking")
 
 
 def collect() -> tuple[dict, dict]:
     queries: dict = {}
     oracle: dict = {}
     for name in MODULES:
-        module = import_module(f"{__name__}.{name}")
-        clash = queries.keys() & module.QUERIES.keys()
+        own = import_module(f"{__name__}.{name}").PLANS
+        clash = queries.keys() & own.queries.keys()
         if clash:
             raise ValueError(f"query names used twice: {sorted(clash)}")
-        queries |= module.QUERIES
-        oracle |= module.ORACLE
+        queries |= own.queries
+        oracle |= own.oracle
     return queries, oracle

@@ -1,17 +1,23 @@
 """Search and ranking queries."""
 from pyspark.sql import functions as F
 
+from shelfmark.plans.registry import Plans
 from shelfmark.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+PLANS = Plans()
+named = PLANS.named
 
 
+@named("""WITH s AS (SELECT p_partkey, p_name,
+    CASE WHEN contains(lower(p_name), 'small') THEN 3.0::DOUBLE ELSE 0 END
+    + CASE WHEN p_brand = 'Brand#11' THEN 1.0::DOUBLE ELSE 0 END
+    + CASE WHEN p_size >= 25 THEN 0.5::DOUBLE ELSE 0 END AS score FROM part)
+SELECT * FROM s WHERE score > 0 ORDER BY score DESC, p_name, p_partkey LIMIT 25""")
 def relevance_score_topk(spark, sf_dir):
     """Additive relevance over parts: each facet that holds adds its weight; the best 25."""
     part = table(spark, sf_dir, "part")
     score = (
-        F.when(F.lower("p_name").contains("green"), 3.0).otherwise(0.0)
+        F.when(F.lower("p_name").contains("small"), 3.0).otherwise(0.0)
         + F.when(F.col("p_brand") == "Brand#11", 1.0).otherwise(0.0)
         + F.when(F.col("p_size") >= 25, 0.5).otherwise(0.0)
     )
@@ -22,11 +28,3 @@ def relevance_score_topk(spark, sf_dir):
         .limit(25)
     )
 
-
-QUERIES["relevance_score_topk"] = relevance_score_topk
-ORACLE["relevance_score_topk"] = """
-WITH s AS (SELECT p_partkey, p_name,
-    CASE WHEN contains(lower(p_name), 'green') THEN 3.0::DOUBLE ELSE 0 END
-    + CASE WHEN p_brand = 'Brand#11' THEN 1.0::DOUBLE ELSE 0 END
-    + CASE WHEN p_size >= 25 THEN 0.5::DOUBLE ELSE 0 END AS score FROM part)
-SELECT * FROM s WHERE score > 0 ORDER BY score DESC, p_name, p_partkey LIMIT 25"""
