@@ -1,6 +1,7 @@
-"""Search and ranking queries."""
+"""Search and ranking queries. Where a rank is a column, its order is total."""
 from pyspark.sql import functions as F
 
+from shelfmark.operators.search import bm25, diversified, ordinal_closeness, position_decay, ranked, words
 from shelfmark.plans.registry import Plans
 from shelfmark.sources.tables import table
 
@@ -28,3 +29,221 @@ def relevance_score_topk(spark, sf_dir):
         .limit(25)
     )
 
+
+
+@named("""SELECT p_partkey, list_sum(list_transform(range(1, len(n) + 1), lambda i:
+  ((CASE WHEN n[i] = 'bolt' THEN 1.0 WHEN contains(n[i], 'bolt') THEN 0.4 ELSE 0 END) + (CASE WHEN starts_with(n[i], 're') THEN 0.7 ELSE 0 END)
+   + (CASE WHEN n[i] = 'hot' THEN 1.0 ELSE 0 END))::DOUBLE * 5.0 / i)) AS score FROM (SELECT p_partkey, string_split(p_name, ' ') AS n FROM part)""")
+def position_decay_score(spark, d):
+    p = table(spark, d, "part").withColumn("notes", F.split("p_name", " "))
+    return p.select("p_partkey", position_decay(F.col("notes"), 'bolt | re* | "hot"').alias("score"))
+
+
+_SCALE = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@named("""SELECT o_orderkey, CASE abs(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 3 WHEN '5-LOW' THEN 4 END - 1)
+WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 ELSE 0 END::DOUBLE AS closeness FROM orders""")
+def ordinal_closeness_score(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", ordinal_closeness(F.col("o_orderpriority"), _SCALE, "2-HIGH").alias("closeness"))
+
+
+_SIMILAR = """WITH t AS (SELECT * FROM part WHERE p_partkey = 7), c AS (
+SELECT p.p_partkey, p.p_name, p.p_brand, (CASE WHEN split_part(p.p_name, ' ', 1) = split_part(t.p_name, ' ', 1) THEN 3.0 ELSE 0 END
+ + CASE WHEN split_part(p.p_name, ' ', 2) = split_part(t.p_name, ' ', 2) THEN 3.0 ELSE 0 END + CASE WHEN p.p_type = t.p_type THEN 0.5 ELSE 0 END
+ + CASE WHEN p.p_brand <> t.p_brand THEN 0.25 ELSE 0 END)::DOUBLE AS score FROM part p, t WHERE p.p_partkey <> t.p_partkey AND p.p_size > 1)
+"""
+
+
+def similar_parts(spark, d, key=7):
+    """Item to item: facets of one part against all others, each with its own score."""
+    p = table(spark, d, "part")
+    word = lambda c, i: F.split_part(c, F.lit(" "), F.lit(i))
+    # One row.
+    t = F.broadcast(p.where(F.col("p_partkey") == key).limit(1).select(*[F.col(c).alias(f"t_{c}") for c in ("p_partkey", "p_name", "p_brand", "p_type")]))
+    same = lambda a, w: F.when(a, w).otherwise(0.0)
+    score = (
+        same(word(F.col("p_name"), 1) == word(F.col("t_p_name"), 1), 3.0)
+        + same(word(F.col("p_name"), 2) == word(F.col("t_p_name"), 2), 3.0)
+        + same(F.col("p_type") == F.col("t_p_type"), 0.5)
+        + same(F.col("p_brand") != F.col("t_p_brand"), 0.25)
+    )
+    others = p.join(t, F.col("p_partkey") != F.col("t_p_partkey")).where("p_size > 1")
+    return others.select("p_partkey", "p_name", "p_brand", score.alias("score"))
+
+
+_BY_SCORE = [F.desc, "score"], [F.asc, "p_name"], [F.asc, "p_partkey"]
+
+
+def by_score():
+    return [f(c) for f, c in _BY_SCORE]
+
+
+@named(_SIMILAR + "SELECT *, row_number() OVER (ORDER BY score DESC, p_name, p_partkey) AS rk FROM c QUALIFY rk <= 10")
+def recommend_similar(spark, d):
+    return ranked(similar_parts(spark, d), by_score(), last=10)
+
+
+@named(_SIMILAR + """, s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_name, p_partkey) <= 2 THEN 0 ELSE 1 END AS st FROM c)
+SELECT * EXCLUDE (st), row_number() OVER (ORDER BY st, score DESC, p_name, p_partkey) AS rk FROM s QUALIFY rk <= 30""")
+def diversified_topk(spark, d):
+    return diversified(similar_parts(spark, d), "p_brand", by_score(), 2, 30)
+
+
+_TOK = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '')"
+_BM25 = """WITH t AS (SELECT @KEY AS k, @TOK AS t FROM @TABLE), st AS (SELECT count(*) AS n, avg(len(t)::DOUBLE) AS mean FROM t),
+h AS (SELECT k, len(t) AS len, q, len(list_filter(t, lambda x: x = q)) AS tf FROM t, (VALUES @TERMS) v(q)),
+f AS (SELECT q, count(*) AS df FROM h WHERE tf > 0 GROUP BY q),
+s AS (SELECT k, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)))) AS score
+ FROM h JOIN f USING (q), st WHERE tf > 0 GROUP BY k)
+""".replace("@TOK", _TOK)
+
+
+def _bm25_sql(key, name, terms):
+    return _BM25.replace("@KEY", key).replace("@TABLE", name).replace("@TERMS", ", ".join(f"('{t}')" for t in terms))
+
+
+@named(_bm25_sql("doc_id", "documents", ["erha", "thble", "stti"]) + """SELECT k AS doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, k) AS rk FROM s QUALIFY rk <= 20""")
+def bm25_topk(spark, d):
+    docs = table(spark, d, "documents")
+    scored = bm25(docs, "doc_id", words(F.col("text")), ["erha", "thble", "stti"]).withColumn("score", F.round("score", 6))
+    return ranked(scored, [F.desc("score"), F.asc("doc_id")], last=20)
+
+
+_SEGMENTS = _bm25_sql("(conv_id, turn)", "conversations", ["erha", "thble"]) + """, r AS (
+SELECT c.conv_id, c.turn, round(coalesce(s.score, 0) + CASE WHEN c.role = 'user' AND contains(lower(c.text), 'thble') THEN 10 ELSE 0 END
+ + CASE WHEN contains(lower(c.text), 'stti') THEN 5 ELSE 0 END + CASE WHEN c.role = 'system' THEN 20 ELSE 0 END, 6) AS relevance
+FROM conversations c LEFT JOIN s ON s.k = (c.conv_id, c.turn) WHERE s.score IS NOT NULL OR c.role = 'system')
+"""
+
+
+def segment_relevance(spark, d):
+    """BM25 plus fixed boosts; a segment needs a text hit or an entity match."""
+    c = table(spark, d, "conversations").withColumn("k", F.struct("conv_id", "turn"))
+    scored = bm25(c, "k", words(F.col("text")), ["erha", "thble"])
+    low = F.lower("text")
+    boost = (
+        F.when((F.col("role") == "user") & low.contains("thble"), 10).otherwise(0)
+        + F.when(low.contains("stti"), 5).otherwise(0)
+        + F.when(F.col("role") == "system", 20).otherwise(0)
+    )
+    rows = c.join(scored, "k", "left").where(F.col("score").isNotNull() | (F.col("role") == "system"))
+    return rows.select("conv_id", "turn", F.round(F.coalesce("score", F.lit(0.0)) + boost, 6).alias("relevance"))
+
+
+@named(_SEGMENTS + "SELECT * FROM r")
+def hybrid_segment_rank(spark, d):
+    return segment_relevance(spark, d)
+
+
+@named(_SEGMENTS + "SELECT conv_id, round(sum(relevance), 4) AS total, count(*) AS hits, count(*) > 1 AS recommended FROM r GROUP BY conv_id")
+def group_hits_by_parent(spark, d):
+    grouped = segment_relevance(spark, d).groupBy("conv_id").agg(F.round(F.sum("relevance"), 4).alias("total"), F.count("*").alias("hits"))
+    return grouped.withColumn("recommended", F.col("hits") > 1)
+
+
+@named("""SELECT p_partkey, score FROM (SELECT p_partkey, (CASE WHEN starts_with(lower(p_name), 're') THEN 15.0 WHEN contains(lower(p_name), 're') THEN 10.0 ELSE 0 END
+ + CASE WHEN starts_with(lower(p_type), 'me') THEN 12.0 WHEN contains(lower(p_type), 'me') THEN 8.0 ELSE 0 END
+ + CASE WHEN len(list_filter(string_split(p_name, ' '), lambda x: contains(x, 'ring'))) > 0 THEN 5.0 ELSE 0 END)::DOUBLE AS score FROM part) WHERE score > 0""")
+def weighted_keyword_search(spark, d):
+    def field(c, term, w):
+        return F.when(F.lower(c).startswith(term), w * 1.5).when(F.lower(c).contains(term), w).otherwise(0.0)
+
+    element = F.when(F.exists(F.split("p_name", " "), lambda x: x.contains("ring")), 5.0).otherwise(0.0)
+    score = field("p_name", "re", 10.0) + field("p_type", "me", 8.0) + element
+    return table(spark, d, "part").select("p_partkey", score.alias("score")).where("score > 0")
+
+
+@named("""WITH q AS (SELECT unnest(['small ring', 'ring', 'hot gear', 'gear']) AS g), n AS (SELECT DISTINCT p_name FROM part)
+SELECT p_name, score, row_number() OVER (ORDER BY score DESC, p_name) AS rk FROM (
+SELECT p_name, max(length(g)) AS score FROM n JOIN q ON contains(p_name, g) GROUP BY p_name) QUALIFY rk <= 20""")
+def ngram_context_match(spark, d):
+    """Names by the longest n-gram of a request that they contain."""
+    request = "small ring or hot gear".split()
+    stop = {"or", "and", "the"}
+    grams = {" ".join(request[i : i + n]) for n in (2, 3, 4) for i in range(len(request) - n + 1)}
+    grams = {g for g in grams if not stop & set(g.split())} | {w for w in request if len(w) >= 4 and w not in stop and w not in ("small",)}
+    names = table(spark, d, "part").select("p_name").distinct()
+    best = F.greatest(F.lit(0), *[F.when(F.col("p_name").contains(g), len(g)) for g in sorted(grams)])
+    return ranked(names.withColumn("score", best).where("score > 0"), [F.desc("score"), F.asc("p_name")], last=20)
+
+
+@named("""SELECT p_partkey, (CASE WHEN contains(p_name, 'bolt') THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(p_type), 'bolt') OR contains(lower(p_type), 'promo') THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM part""")
+def name_description_boost(spark, d):
+    about = F.lower("p_type")
+    score = F.when(F.col("p_name").contains("bolt"), 1.5).otherwise(0.0) + F.when(about.contains("bolt") | about.contains("promo"), 0.5).otherwise(0.0)
+    return table(spark, d, "part").select("p_partkey", score.alias("score"))
+
+
+@named("SELECT conv_id, turn FROM conversations WHERE role = 'system' OR contains(lower(text), 'thble')")
+def hard_gate_entity_or_text(spark, d):
+    return table(spark, d, "conversations").where((F.col("role") == "system") | F.lower("text").contains("thble")).select("conv_id", "turn")
+
+
+@named()
+def daily_stable_shuffle(spark, d):
+    """An order that is stable within a day and new on the next; rows only, the digest is Spark's."""
+    p = table(spark, d, "part").select("p_partkey", F.xxhash64(F.concat_ws("|", "p_name", F.col("p_partkey").cast("string"), F.current_date().cast("string"))).alias("h"))
+    return ranked(p, [F.asc("h"), F.asc("p_partkey")], last=50).drop("h")
+
+
+@named("SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC NULLS LAST, p_partkey) AS rk FROM part QUALIFY rk <= 40")
+def top_n_tiebreak(spark, d):
+    return ranked(table(spark, d, "part").select("p_partkey", "p_retailprice"), [F.desc_nulls_last("p_retailprice"), F.asc("p_partkey")], last=40)
+
+
+@named("""SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS rk, (SELECT count(*) FROM part) AS total, ceil((SELECT count(*) FROM part) / 25.0)::BIGINT AS pages FROM part QUALIFY rk BETWEEN 51 AND 75""")
+def page_offset(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    page = ranked(p, [F.asc("p_name"), F.asc("p_partkey")], first=51, last=75).drop("p_name")
+    total = p.agg(F.count("*").alias("total"), F.ceil(F.count("*") / 25.0).cast("long").alias("pages"))
+    return page.join(F.broadcast(total))
+
+
+@named("SELECT n_name, list_position(['NATION_9', 'NATION_2', 'NATION_17'], n_name)::BIGINT AS rk FROM nation WHERE n_name IN ('NATION_9', 'NATION_2', 'NATION_17')")
+def order_by_list_position(spark, d):
+    wanted = F.array(*[F.lit(x) for x in ("NATION_9", "NATION_2", "NATION_17")])
+    return table(spark, d, "nation").select("n_name", F.array_position(wanted, F.col("n_name")).alias("rk")).where("rk > 0")
+
+
+@named("SELECT p_partkey, row_number() OVER (ORDER BY lower(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END), p_partkey) AS rk FROM part")
+def nocase_sort(spark, d):
+    from shelfmark.operators.versions import surrogate_ids
+
+    shown = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    p = table(spark, d, "part").select("p_partkey", F.lower(shown).alias("low"))
+    return surrogate_ids(p, ["low", "p_partkey"], "rk").drop("low")
+
+
+@named("""SELECT kind, label, n, row_number() OVER (ORDER BY n DESC, kind, label) AS rk FROM (
+SELECT 'brand' AS kind, p_brand AS label, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'type', p_type, count(*) FROM part GROUP BY 2
+UNION ALL SELECT 'name', p_name, count(*) FROM part GROUP BY 2) QUALIFY rk <= 15""")
+def merge_ranked_lists(spark, d):
+    p = table(spark, d, "part")
+    lists = [p.groupBy(F.col(c).alias("label")).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "label", "n") for k, c in (("brand", "p_brand"), ("type", "p_type"), ("name", "p_name"))]
+    return ranked(lists[0].unionByName(lists[1]).unionByName(lists[2]), [F.desc("n"), F.asc("kind"), F.asc("label")], last=15)
+
+
+@named("""SELECT s_suppkey, (row_number() OVER (ORDER BY md5('2024-01-01' || s_name), s_suppkey) - 1) % 4 AS part FROM supplier""")
+def seeded_split(spark, d):
+    """A seeded shuffle dealt round robin into four."""
+    from shelfmark.operators.versions import surrogate_ids
+
+    s = table(spark, d, "supplier").select("s_suppkey", F.md5(F.concat(F.lit("2024-01-01"), "s_name")).alias("h"))
+    return surrogate_ids(s, ["h", "s_suppkey"], "n").select("s_suppkey", ((F.col("n") - 1) % 4).alias("part"))
+
+
+@named("SELECT p_partkey, ((row_number() OVER (ORDER BY p_partkey) - 1) // 500)::BIGINT AS part FROM part")
+def part_planner(spark, d):
+    """Rows dealt in order into parts of a fixed capacity."""
+    from shelfmark.operators.versions import surrogate_ids
+
+    n = surrogate_ids(table(spark, d, "part").select("p_partkey"), ["p_partkey"], "n")
+    return n.select("p_partkey", F.floor((F.col("n") - 1) / 500).alias("part"))
+
+
+@named("""SELECT count(*) AS total, ceil(count(*) / 20.0)::BIGINT AS pages, round(avg(p_retailprice), 2) AS avg_price, trunc(avg(p_size))::INTEGER AS whole FROM part""")
+def rounding_page_math(spark, d):
+    return table(spark, d, "part").agg(
+        F.count("*").alias("total"), F.ceil(F.count("*") / 20.0).cast("long").alias("pages"), F.round(F.avg("p_retailprice"), 2).alias("avg_price"), F.avg("p_size").cast("int").alias("whole")
+    )
