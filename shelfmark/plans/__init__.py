@@ -5,7 +5,7 @@ table folder) and of DuckDB SQL over the same tables.
 """
 from importlib import import_module
 
-MODULES = ("versions", "facets", "ranking")
+MODULES = ("versions", "facets", "ranking", "money", "nested", "aggregates")
 
 
 def collect() -> tuple[dict, dict]:
