@@ -298,16 +298,23 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, hot: np.ndarray) -> DataFram
     return posted.repartition(parts, "slice").mapInArrow(choose, "sig binary, tokens array<long>")
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _fetched(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataFrame:
     """set_id, group, hashes: the sets of the wanted classes, read from the document that
-    stands for each."""
+    stands for each. A bitmap of the digests of the wanted ids (16 bits an id, 8 MB at
+    most) is broadcast first, so that the texts of few others move to the exact join."""
 
     def load(batches):
+        seen: set[bytes] = set()
         for batch in small_batches(batches, "text"):
             ids = batch.column("set_id").to_pylist()
             sets = _sets(batch.column("text").to_pylist(), k)
-            # Rows that share an id with the one wanted but not its text are left out.
-            keep = [i for i, (d, s) in enumerate(zip(ids, sets)) if len(s) and _set_id(s) == d]
+            # Rows that share an id with the one wanted but not its text are left out, and
+            # so are repeats of it.
+            keep = []
+            for i, (d, s) in enumerate(zip(ids, sets)):
+                if len(s) and d not in seen and _set_id(s) == d:
+                    seen.add(d)
+                    keep.append(i)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in keep], pa.binary()),
@@ -317,7 +324,13 @@ def _fetched(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 names=["set_id", "group", "hashes"],
             )
 
-    joined = docs.join(
+    bits = max(1 << 10, min(1 << 26, n_wanted * 16))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {bits}L) % 64 as int))")
+    bitmap = wanted.groupBy(F.floor(place("doc_id") / 64).alias("_word")).agg(F.bit_or(bit("doc_id")).alias("_bits"))
+    likely = docs.withColumn("_word", F.floor(place("doc_id") / 64)).join(F.broadcast(bitmap), "_word")
+    likely = likely.where(F.col("_bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
+    joined = likely.join(
         wanted.select(F.col("doc_id").alias("_d"), "set_id", "group"), F.col("doc_id").eqNullSafe(F.col("_d"))
     ).select("text", "set_id", "group")
     return joined.mapInArrow(load, "set_id binary, group long, hashes binary")
@@ -384,17 +397,19 @@ def _labelled(out):
     )
 
 
-def _opened(queries: DataFrame, groups: DataFrame, t: Fraction) -> DataFrame:
-    """u, v: labels of queries and groups with a link between them. ``queries``: group,
-    label, hashes; ``groups``: group, label, hashes (a row per member, one label). A
-    group that very many queries ask for is repeated over several tasks."""
+def _opened(queries: DataFrame, groups: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """u, v: labels of queries and groups with a link between them. ``queries`` and
+    ``groups``: group, label, set_id (for a group a row per member, one label); ``sets``:
+    set_id, hashes, joined in once for both. A group that very many queries ask for is
+    repeated over several tasks."""
     asked = queries.groupBy("group").agg(F.ceil(F.count("*") / QUERIES_A_GROUP).cast("int").alias("salts"))
     salted = queries.join(asked, "group").select(
-        "group", F.pmod(F.xxhash64("label", "hashes"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "label", "hashes"
+        "group", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "label", "set_id"
     )
     spread = groups.join(asked, "group").select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "label", "hashes"
+        "group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "label", "set_id"
     )
+    needed = salted.unionByName(spread).join(sets, "set_id")
 
     def ask(batches):
         out: list[tuple] = []
@@ -424,8 +439,8 @@ def _opened(queries: DataFrame, groups: DataFrame, t: Fraction) -> DataFrame:
         u, v = list(zip(*out)) or [[]] * 2
         return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    stream = salted.unionByName(spread).repartition("group", "salt").sortWithinPartitions("group", "salt", "kind")
-    return stream.mapInArrow(ask, "u binary, v binary").distinct()
+    stream = needed.select("group", "salt", "kind", "label", "hashes").repartition("group", "salt")
+    return stream.sortWithinPartitions("group", "salt", "kind").mapInArrow(ask, "u binary, v binary").distinct()
 
 
 def component_ids(
@@ -458,7 +473,8 @@ def component_ids(
         F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks")
     )
     grouped = near.join(sizes, "key").withColumn("group", F.xxhash64("key", F.pmod(F.xxhash64("set_id"), F.col("chunks"))))
-    members = checkpoint(_fetched(rows, grouped, k).dropDuplicates(["set_id"]))
+    members = checkpoint(_fetched(rows, grouped, near.count(), k))
+    sets = members.select("set_id", "hashes")
     within = checkpoint(
         members.repartition("group").sortWithinPartitions("group").mapInArrow(_linked_within(t), "set_id binary, group long, label binary")
     )
@@ -470,11 +486,11 @@ def component_ids(
     )
     heads = parts.groupBy("key").agg(F.min("label").alias("head"))
     tried = parts.join(heads, "key").where("label <> head").select(F.col("key").alias("group"), "label")
-    hashes = members.select(F.col("set_id").alias("label"), "hashes")
     split_links = checkpoint(
         _opened(
-            tried.join(hashes, "label").select("group", "label", "hashes"),
-            heads.select(F.col("key").alias("group"), F.col("head").alias("label")).join(hashes, "label").select("group", "label", "hashes"),
+            tried.select("group", "label", F.col("label").alias("set_id")),
+            heads.select(F.col("key").alias("group"), F.col("head").alias("label"), F.col("head").alias("set_id")),
+            sets,
             t,
         )
     )
@@ -502,10 +518,10 @@ def component_ids(
         .distinct()
     )
     pairs = checkpoint(pairs)
-    sets = members.select("set_id", "hashes")
     links = _opened(
-        pairs.join(sets, "set_id").select("group", "label", "hashes"),
-        parted.join(pairs.select("group").distinct(), "group").join(sets, "set_id").select("group", "label", "hashes"),
+        pairs.select("group", "label", "set_id"),
+        parted.join(pairs.select("group").distinct(), "group").select("group", "label", "set_id"),
+        sets,
         t,
     )
     merged = components(links.select("u", "v"))
