@@ -172,16 +172,18 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n long, set_id binary, key long, token long, held long")
 
 
-def _prefixes(docs: DataFrame, k: int, t: Fraction, hot: np.ndarray) -> DataFrame:
+def _prefixes(rows_in: DataFrame, k: int, t: Fraction, hot: np.ndarray, share: float) -> DataFrame:
     """sig (first half of a set_id), tokens: those of a class's rarest tokens that other
-    classes have too. Classes without such tokens give no row.
+    classes of ``rows_in`` (a column text, or hashes) have too. Classes without such
+    tokens give no row. Tokens in the lowest ``share`` of the digest range are counted.
 
     Tokens move as blocks of numbers, one per batch and slice of the digest range. A
     frequent token is last in the order, so a block holds few of any one token."""
-    spark = docs.sparkSession
+    spark = rows_in.sparkSession
+    column = rows_in.columns[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = 8 * parts
-    counted = _U(int(float(1 - t) * 1.6 * 2**64 + 0.04 * 2**64) if t < 1 else 1 << 60)
+    counted = _U(min(int(share * 2**64), 2**64 - 1))
     block = "slice int, kind int, sigs binary, tokens binary, extra binary"
 
     def is_hot(tokens):
@@ -204,16 +206,17 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, hot: np.ndarray) -> DataFram
             yield int(i), *[a[part].tobytes() for a in arrays]
 
     def post(batches):
-        for batch in small_batches(batches, "text", 16 << 20):
+        for batch in small_batches(batches, column, 16 << 20):
             seen, sigs, needs, tokens, owners = set(), [], [], [], []
             for at in range(0, batch.num_rows, 512):
-                for s in _sets(batch.column("text").slice(at, 512).to_pylist(), k):
+                held = batch.column(column).slice(at, 512).to_pylist()
+                for s in _sets(held, k) if column == "text" else [np.frombuffer(h, np.uint64) for h in held]:
                     if not len(s) or (sig := np.frombuffer(_set_id(s), np.int64)[0]) in seen:
                         continue
                     seen.add(sig)
                     p = len(s) - int(_least(len(s), t)) + 1
                     frequent = is_hot(s)
-                    split = np.searchsorted(s, counted)
+                    split = np.searchsorted(s, counted, side="right")
                     mine = s[:split][~frequent[:split]]
                     if len(mine) < p:
                         mine = np.concatenate([mine, s[split:][~frequent[split:]][: p - len(mine)]])
@@ -280,7 +283,7 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, hot: np.ndarray) -> DataFram
         if not own or not sigs:
             return
         o, f, df = np.concatenate(own), np.concatenate(flat), np.concatenate(counts)
-        rank = np.where(is_hot(f), 2, np.where(f < counted, 0, 1))
+        rank = np.where(is_hot(f), 2, np.where(f <= counted, 0, 1))
         order = np.lexsort((f, np.where(rank == 0, df, 0), rank, o))
         o, f = o[order], f[order]
         known, at = np.unique(np.concatenate(sigs), return_index=True)
@@ -294,12 +297,12 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, hot: np.ndarray) -> DataFram
                 names=["sig", "tokens"],
             )
 
-    posted = docs.mapInArrow(post, block).repartition(parts, "slice").mapInArrow(count, block)
+    posted = rows_in.mapInArrow(post, block).repartition(parts, "slice").mapInArrow(count, block)
     return posted.repartition(parts, "slice").mapInArrow(choose, "sig binary, tokens array<long>")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataFrame:
-    """set_id, group, hashes: the sets of the wanted classes, read from the document that
+    """set_id, hashes: the sets of the wanted classes, read from the document that
     stands for each. A bitmap of the digests of the wanted ids (16 bits an id, 8 MB at
     most) is broadcast first, so that the texts of few others move to the exact join."""
 
@@ -318,10 +321,9 @@ def _fetched(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in keep], pa.binary()),
-                    batch.column("group").take(pa.array(keep, pa.int64())),
                     pa.array([sets[i].tobytes() for i in keep], pa.binary()),
                 ],
-                names=["set_id", "group", "hashes"],
+                names=["set_id", "hashes"],
             )
 
     bits = max(1 << 10, min(1 << 26, n_wanted * 16))
@@ -331,9 +333,9 @@ def _fetched(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataF
     likely = docs.withColumn("_word", F.floor(place("doc_id") / 64)).join(F.broadcast(bitmap), "_word")
     likely = likely.where(F.col("_bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
     joined = likely.join(
-        wanted.select(F.col("doc_id").alias("_d"), "set_id", "group"), F.col("doc_id").eqNullSafe(F.col("_d"))
-    ).select("text", "set_id", "group")
-    return joined.mapInArrow(load, "set_id binary, group long, hashes binary")
+        wanted.select(F.col("doc_id").alias("_d"), "set_id"), F.col("doc_id").eqNullSafe(F.col("_d"))
+    ).select("text", "set_id")
+    return joined.mapInArrow(load, "set_id binary, hashes binary")
 
 
 def _by_group(batches, names):
@@ -466,14 +468,19 @@ def component_ids(
     hot_rows = signed.where("held IS NOT NULL").groupBy("token").agg(F.sum("held").alias("held")).where(F.col("held") >= least)
     hot = np.sort(np.array([r[0] for r in hot_rows.select("token").collect()], np.int64).view(np.uint64))
 
-    prefixes = _prefixes(rows, k, t, hot)
-    by_sig = classes.withColumn("sig", F.substring("set_id", 1, 8))
-    near = checkpoint(prefixes.join(by_sig, "sig").select("set_id", "doc_id", "n", "key", "tokens"))
+    # First over a share of the range with some tokens to spare, for all documents; then
+    # over all tokens of the few that are left, whose sets are fetched for it.
+    of_sig = lambda c, p: c.withColumn("sig", F.substring("set_id", 1, 8)).join(p, "sig")
+    likely = checkpoint(
+        of_sig(classes, _prefixes(rows.select("text"), k, t, hot, float(1 - t) * 1.6 + 0.04).select("sig")).select("set_id", "doc_id", "n", "key")
+    )
+    fetched = checkpoint(_fetched(rows, likely, likely.count(), k))
+    near = checkpoint(of_sig(likely, _prefixes(fetched.select("hashes"), k, t, hot, 1.0)).drop("sig"))
     sizes = near.groupBy("key").agg(
         F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks")
     )
     grouped = near.join(sizes, "key").withColumn("group", F.xxhash64("key", F.pmod(F.xxhash64("set_id"), F.col("chunks"))))
-    members = checkpoint(_fetched(rows, grouped, near.count(), k))
+    members = checkpoint(fetched.join(grouped.select("set_id", "group"), "set_id"))
     sets = members.select("set_id", "hashes")
     within = checkpoint(
         members.repartition("group").sortWithinPartitions("group").mapInArrow(_linked_within(t), "set_id binary, group long, label binary")
