@@ -13,7 +13,7 @@ QUERIES, ORACLE = plans.collect()
 
 def rows(df: pd.DataFrame) -> list:
     def shown(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         return repr(round(float(v), 6)) if isinstance(v, float) else str(v)
 
