@@ -43,7 +43,7 @@ _SCALE = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @named("""SELECT o_orderkey, CASE abs(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 3 WHEN '5-LOW' THEN 4 END - 1)
-WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 ELSE 0 END::DOUBLE AS closeness FROM orders""")
+WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 ELSE 0 END::DOUBLE AS closeness FROM orders""", "ordinal_closeness")
 def ordinal_closeness_score(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ordinal_closeness(F.col("o_orderpriority"), _SCALE, "2-HIGH").alias("closeness"))
 

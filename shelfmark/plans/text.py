@@ -40,7 +40,7 @@ def slugify(spark, d):
     return docs.select("doc_id", T.slug(F.left("text", F.lit(60))).alias("slug"))
 
 
-@named("SELECT s_suppkey, regexp_replace(replace(lower(s_name), ' ', '_'), '[^a-z0-9&_''-]', '_', 'g') AS slug FROM supplier")
+@named("SELECT s_suppkey, regexp_replace(replace(lower(s_name), ' ', '_'), '[^a-z0-9&_''-]', '_', 'g') AS slug FROM supplier", "roaster_slug")
 def owner_slugs(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", T.owner_slug(F.col("s_name")).alias("slug"))
 
