@@ -181,8 +181,7 @@ def _prefixes(rows_in: DataFrame, k: int, t: Fraction, hot: np.ndarray, share: f
     frequent token is last in the order, so a block holds few of any one token."""
     spark = rows_in.sparkSession
     column = rows_in.columns[0]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = 8 * parts
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = _U(min(int(share * 2**64), 2**64 - 1))
     block = "slice int, kind int, sigs binary, tokens binary, extra binary"
 
@@ -297,8 +296,8 @@ def _prefixes(rows_in: DataFrame, k: int, t: Fraction, hot: np.ndarray, share: f
                 names=["sig", "tokens"],
             )
 
-    posted = rows_in.mapInArrow(post, block).repartition(parts, "slice").mapInArrow(count, block)
-    return posted.repartition(parts, "slice").mapInArrow(choose, "sig binary, tokens array<long>")
+    posted = rows_in.mapInArrow(post, block).repartitionById(slices, F.col("slice")).mapInArrow(count, block)
+    return posted.repartitionById(slices, F.col("slice")).mapInArrow(choose, "sig binary, tokens array<long>")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataFrame:
