@@ -1,5 +1,6 @@
 """The registered queries of this package, and SQL where SQL can express them."""
 from .chat import OP7_SQL, op7_chat
+from .html_text import op9_html_text
 from .media import op5_media
 from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_quality_model": op6_quality_model,
     "op7_chat": op7_chat,
     "op8_mixing": op8_mixing,
+    "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
 }
 ORACLE = {
