@@ -199,6 +199,7 @@ def write(
             "digest binary, row long, doc_id long, begin long, n long, n_tokens long, width int, body binary, kind string",
         )
         .write.partitionBy("kind")
+        .option("parquet.enable.dictionary", "false")
         .parquet(f"{folder}/packed")
     )
     spark = docs.sparkSession
