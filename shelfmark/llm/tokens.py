@@ -16,7 +16,9 @@ import numpy as np
 _DOUBLE = re.compile("[\\s\u180e] |\x00")
 _CUT = re.compile("(?<=[^\\s\u180e])(?= )")
 #: A cache of this many segments becomes the old one, and a new one begins.
-MOST_KEPT = 150_000
+MOST_KEPT = 170_000
+#: Bytes that tell which segments were met once, by a digest; most never come again.
+_MET = 1 << 21
 #: Latin letters, after a space or not, and marks behind them.
 _WORD = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
 _LINES = re.compile("[ ]?[^\\s\u180e]+(?:\n[^\\s\u180e]+)+")
@@ -46,10 +48,18 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._names = _byte_names()
+        self._space = self._names[32]
         self._code = "H" if self._tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self._kind = np.dtype(self._code)
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._met = bytearray(_MET)
+
+    def _again(self, segment: str) -> bool:
+        """Whether a segment (or one with its digest) was met before; only then is it kept."""
+        place = hash(segment) % _MET
+        before, self._met[place] = self._met[place], 1
+        return bool(before)
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self._code, ids).tobytes()
@@ -69,8 +79,13 @@ class Encoder:
         core, marks = found.groups()
         own = self._new.get(core) or self._old.get(core)
         if own is None:
-            named = core.encode().decode("latin-1").translate(self._names)
-            own = self._new[core] = self._packed([t.id for t in self._model.tokenize(named)])
+            if not core.isascii():
+                named = core.encode().decode("latin-1").translate(self._names)
+            else:  # letters stand for themselves
+                named = self._space + core[1:] if core[0] == " " else core
+            own = self._packed([t.id for t in self._model.tokenize(named)])
+            if marks and self._again(core):
+                self._new[core] = own
         if not marks:
             return own
         tail = self._new.get(marks)
@@ -89,11 +104,19 @@ class Encoder:
                 segments += text.replace(" ", "\x00 ").split("\x00")
             ends[i + 1] = len(segments)
         if len(self._new) > MOST_KEPT:
-            self._old, self._new = self._new, {}
-        for s in set(segments).difference(self._new):
-            found = self._old.get(s)
-            self._new[s] = self._learn(s) if found is None else found
-        parts = list(map(self._new.__getitem__, segments))
+            self._old, self._new, self._met = self._new, {}, bytearray(_MET)
+        parts = list(map(self._new.get, segments))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    s = segments[i]
+                    part = self._new.get(s) or self._old.get(s)
+                    keep = part is not None
+                    if part is None:
+                        part, keep = self._learn(s), self._again(s)
+                    if keep:
+                        self._new[s] = part
+                    parts[i] = part
         before = np.zeros(len(parts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // self._kind.itemsize, out=before[1:])
         ids = np.frombuffer(b"".join(parts), self._kind).astype(np.uint32)
