@@ -17,7 +17,7 @@ def slug(text: Column) -> Column:
     """Accents folded, other non-ASCII dropped, lower case, letters, digits and single
     hyphens only; null and empty give empty."""
     plain = F.lower(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F]", ""))
-    kept = F.btrim(F.regexp_replace(plain, r"[^a-z0-9\s-]", ""))
+    kept = F.btrim(F.regexp_replace(plain, r"[^a-z0-9\s-]", ""), F.lit(" \t\n\x0b\f\r"))
     return F.regexp_replace(kept, r"[\s-]+", "-")
 
 

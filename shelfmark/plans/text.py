@@ -34,10 +34,9 @@ def weight_price_parse(spark, d):
     return p.select("p_partkey", T.grams(F.concat(F.col("p_size").cast("string"), unit)).alias("grams"), T.price(shown).alias("price"))
 
 
-@named("""SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(left(text, 60))), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9\\s-]', '', 'g')), '[\\s-]+', '-', 'g') AS slug FROM documents WHERE lang IN ('en', 'es', 'fr')""")
+@named("""SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9\\s-]', '', 'g')), '[\\s-]+', '-', 'g') AS slug FROM documents""")
 def slugify(spark, d):
-    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "es", "fr"))
-    return docs.select("doc_id", T.slug(F.left("text", F.lit(60))).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @named("SELECT s_suppkey, regexp_replace(replace(lower(s_name), ' ', '_'), '[^a-z0-9&_''-]', '_', 'g') AS slug FROM supplier", "roaster_slug")
