@@ -212,11 +212,11 @@ def over_index_best_overall(spark, d):
     return best.select("own", "cat", F.round("lift", 6).alias("lift"))
 
 
-@named("""SELECT l_orderkey, l_linenumber, l_partkey, first_value(l_partkey) OVER w AS first_part FROM lineitem WHERE l_orderkey < 2000
+@named("""SELECT l_orderkey, l_linenumber, l_partkey, first_value(l_partkey) OVER w AS first_part FROM lineitem
 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_linenumber)""")
 def first_value_window(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_partkey", "l_linenumber")
-    return table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.first("l_partkey").over(w).alias("first_part"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.first("l_partkey").over(w).alias("first_part"))
 
 
 @named("SELECT p_brand, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM part GROUP BY 1")

@@ -112,10 +112,10 @@ def range_midpoint_join(spark, d):
     return g.select("seg", "chunks", F.array_join(F.transform("l", lambda c: c["event_id"].cast("string")), " ").alias("stitched"))
 
 
-@named("SELECT o_orderkey, (SELECT max(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey) AS top FROM orders WHERE o_orderkey < 3000")
+@named("SELECT o_orderkey, (SELECT max(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey) AS top FROM orders")
 def scalar_lookup(spark, d):
     top = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("top"))
-    return table(spark, d, "orders").where("o_orderkey < 3000").select("o_orderkey").join(top, "o_orderkey", "left")
+    return table(spark, d, "orders").select("o_orderkey").join(top, "o_orderkey", "left")
 
 
 @named("""WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 4 <> 0)

@@ -18,3 +18,14 @@ def test_slugs_of_whole_texts_in_any_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.slug for r in QUERIES["slugify"](spark, str(tmp_path)).collect()}
     assert got == {i: brute_slug(t) for i, _, t in rows}
+
+
+def test_lookup_and_first_value_beyond_small_ids(spark, tmp_path):
+    keys = [1, 2999, 3000, 150_000]
+    items = [(k, n, k + n, float(10 * n), float(n % 2)) for k in keys[:3] for n in (1, 2, 3)]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    top = {r.o_orderkey: r.top for r in QUERIES["scalar_lookup"](spark, str(tmp_path)).collect()}
+    assert top == {1: 30.0, 2999: 30.0, 3000: 30.0, 150_000: None}
+    first = sorted((r.l_orderkey, r.l_linenumber, r.first_part) for r in QUERIES["first_value_window"](spark, str(tmp_path)).collect())
+    assert first == [(k, n, k + 1) for k in keys[:3] for n in (1, 2, 3)]
