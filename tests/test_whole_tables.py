@@ -29,3 +29,12 @@ def test_lookup_and_first_value_beyond_small_ids(spark, tmp_path):
     assert top == {1: 30.0, 2999: 30.0, 3000: 30.0, 150_000: None}
     first = sorted((r.l_orderkey, r.l_linenumber, r.first_part) for r in QUERIES["first_value_window"](spark, str(tmp_path)).collect())
     assert first == [(k, n, k + 1) for k in keys[:3] for n in (1, 2, 3)]
+
+
+def test_zips_and_conflicts_of_parts_beyond_small_ids(spark, tmp_path):
+    parts = [(149, "old nut", "TIN"), (150, "red bolt", "TIN"), (299, "red bolt", "STEEL"), (300, "big gear", "TIN"), (90_001, "big gear", "TIN"), (90_003, "big gear", "TIN")]
+    spark.createDataFrame([(*p, 1) for p in parts], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    zipped = sorted((r.p_partkey, r.note, r.size) for r in QUERIES["zip_explode"](spark, str(tmp_path)).collect())
+    assert zipped == sorted((k, w, len(w)) for k, name, kind in parts for w in f"{name} {kind.lower()}".split())
+    conflicts = {r.key: (r.spellings, r.conflict) for r in QUERIES["case_dup_conflicts"](spark, str(tmp_path)).collect()}
+    assert conflicts == {"red bolt": (2, True), "big gear": (2, False)}
