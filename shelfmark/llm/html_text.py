@@ -1,5 +1,6 @@
 """HTML extraction by layout: a tree with implied tags, visibility rules, and a renderer
-that keeps block spacing, lists and aligned table cells. All visible text is emitted."""
+that keeps block spacing, lists and aligned table cells. All visible text is emitted, as
+a client shows it that runs no scripts and loads no objects: their fallback counts."""
 from __future__ import annotations
 
 import re
@@ -12,11 +13,22 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math datalist".split())
+UNSEEN = frozenset("head title script style template iframe noframes datalist".split())
+#: Parts of a drawing or formula that are not shown where they stand.
+UNSEEN_WITHIN = {
+    "svg": frozenset("desc metadata defs symbol clippath mask pattern".split()),
+    "math": frozenset(("annotation", "annotation-xml")),
+}
+#: All that can stand in a head; any other start tag ends it.
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Start tags that end an open drawing or formula.
+_LEAVES = BLOCKS - {"html", "option"} | frozenset("b br center code em embed i img s small span strong sub sup u var".split())
+#: What stands apart in a line of text: blocks and the labels of a drawing.
+_APART = BLOCKS | {"text"}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
 #: A start tag closes these open ones, up to the nearest of the tags that hold them.
 _CLOSES = {
@@ -33,17 +45,31 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "seen", "children")
+    """``foreign`` is the drawing or formula that holds it (or it is), ``inert`` says
+    whether it is (in) a template."""
+
+    __slots__ = ("tag", "seen", "children", "foreign", "inert")
 
-    def __init__(self, tag: str, seen: bool = True):
-        self.tag, self.seen, self.children = tag, seen, []
+    def __init__(self, tag: str, seen: bool = True, foreign: str | None = None, inert: bool = False):
+        self.tag, self.seen, self.children, self.foreign, self.inert = tag, seen, [], foreign, inert
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
+        self._lines = [0, *(m.end() for m in re.finditer("\n", page))]
+        self._last_title = max((m.start() for m in re.finditer("</title", page, re.I)), default=-1)
         self.root = Node("html")
         self._open = [self.root]
+        self._head, self._past_head = 0, False
+
+    def _end_head(self) -> None:
+        """The body that a tag or a text implies: an open head ends with all in it."""
+        if self._open[-1].inert:
+            return
+        if 0 < self._head < len(self._open) and self._open[self._head].tag == "head":
+            del self._open[self._head :]
+        self._past_head = True
 
     def _close(self, tags: set, within: set) -> None:
         for i in range(len(self._open) - 1, 0, -1):
@@ -54,20 +80,36 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
+        if self._open[-1].tag == "title":  # one that nothing closes
+            self._open.pop()
+        if tag == "head":
+            if self._past_head or self._open[-1].inert:
+                return
+            self._head, self._past_head = len(self._open), True
+        elif tag not in HEAD_TAGS:
+            self._end_head()
+        if tag in _LEAVES:
+            while self._open[-1].foreign:
+                self._open.pop()
         if tag in _CLOSES:
             self._close(*_CLOSES[tag])
         elif tag in BLOCKS:
             self._close({"p"}, {"div", "td", "th", "li", "table", "body"})
         if tag == "body":  # whatever the head left open ends
             del self._open[1:]
-        node = Node(tag, not ("hidden" in given or _HIDDEN.search(given.get("style") or "")) and tag not in UNSEEN)
-        self._open[-1].children.append(node)
+        last = self._open[-1]
+        unseen = tag in UNSEEN or tag in UNSEEN_WITHIN.get(last.foreign, ())
+        foreign = tag if tag in UNSEEN_WITHIN else None if tag == "foreignobject" else last.foreign
+        node = Node(tag, not (unseen or "hidden" in given or _HIDDEN.search(given.get("style") or "")), foreign, last.inert or tag == "template")
+        last.children.append(node)
+        if tag == "title" and not foreign and self._lines[self.lineno - 1] + self.offset < self._last_title:
+            self.set_cdata_mode(tag)  # tags in a title are text
         if tag not in VOID:
             self._open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in BLOCKS:
+        if tag not in VOID and tag not in BLOCKS and not self.cdata_elem:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -77,6 +119,8 @@ class _Builder(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self._open[-1].tag not in ("title", "style", "script", "noframes") and data.strip():
+            self._end_head()
         self._open[-1].children.append(data)
 
 
@@ -94,7 +138,7 @@ def _walk(node: Node):
 
 
 def _inline(node: Node) -> str:
-    parts = [x if isinstance(x, str) else " " if x.tag in BLOCKS or x.tag == "br" else "" for x, _ in _walk(node)]
+    parts = [x if isinstance(x, str) else " " if x.tag in _APART or x.tag == "br" else "" for x, _ in _walk(node)]
     return " ".join("".join(parts).split())
 
 
@@ -123,7 +167,7 @@ def _table(node: Node) -> list[str]:
 def render(html: str | None) -> str:
     """The visible text of a page. Null and empty pages give empty text; markup that
     cannot be parsed is read as far as tags can be told from text."""
-    builder = _Builder()
+    builder = _Builder(html or "")
     builder.feed(html or "")
     builder.close()
     lines, line, blank, lists, inside, pre = [], [], False, [], 0, 0
@@ -158,7 +202,7 @@ def render(html: str | None) -> str:
             continue
         if x.tag == "br" and entering:
             end()
-        elif x.tag in BLOCKS:
+        elif x.tag in _APART:
             end(x.tag in SPACED and not (lists and x.tag in ("ul", "ol", "p")))
             if x.tag == "pre":
                 pre += 1 if entering else -1

@@ -18,3 +18,23 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, PAGE, "clash"), (1, PAGE, "x"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in extract(df).collect()) == [(1, TEXT), (1, TEXT), (2, "")]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_implied_bodies():
+    assert render("<html><head><title>T</title><p>Hello<p>World") == "Hello\n\nWorld"
+    assert render("<head><title>a <b>b</b></title><meta x><style>p{}</style>\nHello <b>x</b>") == "Hello x"
+    assert render("<title>T</title>Hi") == render("<title>T<p>Hi") == render("<head><title>T<p>Hi") == "Hi"
+    assert render("<head><template><div>no</div></template><script>1</script><p>yes") == "yes"
+    assert render("a<head>b</head>c") == "abc"
+
+
+def test_drawings_formulas_and_fallbacks_are_seen():
+    assert render("<p>see <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> ok") == "see x=2 ok"
+    assert render("<svg><title>t</title><defs><text>no</text></defs><text>A</text><text>B</text></svg>z") == "A\nB\nz"
+    assert render("<object data=x>fall</object> <noscript>back</noscript>") == "fall back"
+
+
+def test_unclosed_elements_do_not_take_the_rest():
+    for tag in ("svg", "svg><defs", "math", "math><annotation", "object", "noscript", "head><noscript", "head><title"):
+        assert render(f"<{tag}><p>rest") == "rest", tag
+    assert render("<div><datalist><option>a</div><p>rest") == render("<div><template>a</div><p>rest") == "rest"
