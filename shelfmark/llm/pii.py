@@ -35,8 +35,13 @@ _HINTS = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?+[0-9]){15}"),
     "phone": lambda t: t.contains("+"),
 }
-#: A word with six digits or more may be an identifier of some kind.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9]*+[0-9]){6}[^\x20\x09-\x0D]*+"
+_START, _BLANK = r"(?<![^\x20\x09-\x0D])", r"\x20\x09-\x0D"
+#: What may be an identifier of some kind: words of digits in a row, a word with a digit
+#: or an at sign, and an address in words (name at host dot org).
+RUN = rf"{_START}[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+(?:(?<=[0-9)])\x20[^{_BLANK}\p{{L}}0-9]*+[0-9][^{_BLANK}\p{{L}}]*+(?![^{_BLANK}]))++"
+WORD = rf"{_START}[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
+_AT, _DOT = (rf"\x20[(\[]?{w}[)\]]?\x20" for w in ("at", "dot"))
+SPOKEN = rf"(?i){_START}[{_LOCAL}]++{_AT}[A-Z0-9.-]++(?:{_DOT}[A-Z0-9-]++)*+"
 SUPPORT = 3
 THRESHOLD = 0.8
 ROUNDS = 3
@@ -109,9 +114,16 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
 
 
 def candidate_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_pii_more``: identifier-like words, without the marks at their edges, that
-    touch no base span."""
-    df = _found(df, text, "_pii_more", CANDIDATE, F.col(text).rlike("[0-9]{2}"))
+    """Adds ``_pii_more``: identifier-like words and runs of them, without the marks at
+    their edges, that touch no base span. A word of a free run is no candidate itself."""
+    known = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
+    apart = lambda s, spans: ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    df = _found(df, text, "_pii_run", RUN, F.col(text).rlike(r"[0-9)]\x20[^A-Za-z0-9]*+[0-9]"))
+    df = df.withColumn("_pii_run", F.filter("_pii_run", lambda s: apart(s, known)))
+    df = _found(df, text, "_pii_said", SPOKEN, F.col(text).rlike(f"(?i){_AT}"))
+    df = df.withColumn("_pii_run", F.concat("_pii_run", F.filter("_pii_said", lambda s: apart(s, F.col("_pii_run"))))).drop("_pii_said")
+    df = _found(df, text, "_pii_more", WORD, F.col(text).rlike("[0-9@]"))
+    df = df.withColumn("_pii_more", F.concat("_pii_run", F.filter("_pii_more", lambda s: apart(s, F.col("_pii_run"))))).drop("_pii_run")
     core = lambda v: F.regexp_extract(v, r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])", 1)
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^A-Za-z0-9]*+", 0))
     trimmed = F.transform(
@@ -123,46 +135,50 @@ def candidate_spans(df: DataFrame, text: str) -> DataFrame:
         ),
     )
     df = df.withColumn("_pii_more", trimmed)
-    known = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
-    free = lambda s: ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return df.withColumn("_pii_more", F.filter("_pii_more", free))
+    return df.withColumn("_pii_more", F.filter("_pii_more", lambda s: (s["value"] != "") & apart(s, known)))
+
+
+def _slots(text: Column, start: Column, end: Column) -> Column:
+    """The lexical patterns of a place: the two words before, or one before and one after,
+    in lower case without marks and digits; words of marks alone are skipped."""
+    first = F.greatest(start - 60, F.lit(0))
+    clean = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\x20]", ""))
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    before = F.slice(F.concat(F.array(F.lit(""), F.lit("")), words(F.substring(text, first + 1, start - first))), -2, 2)
+    around = F.transform(F.concat(before, F.slice(words(F.substring(text, end + 1, F.lit(40))), 1, 1), F.array(F.lit(""))), clean)
+    return F.filter(
+        F.transform(
+            F.array(around),
+            lambda w: F.array(
+                F.when((w[1] != "") & (w[0] != ""), F.concat_ws(" ", F.lit("<"), w[0], w[1])),
+                F.when((w[1] != "") & (w[2] != ""), F.concat_ws(" ", F.lit("<>"), w[1], w[2])),
+            ),
+        )[0],
+        lambda p: p.isNotNull(),
+    )
+
+
+def _strong(value: Column) -> Column:
+    """Whether a value speaks for itself in any place: six digits or more, or a name at a
+    host. Others count in the slots of accepted patterns only."""
+    return value.rlike(r"^(?:[^0-9]*+[0-9]){6}") | value.rlike(r"[A-Za-z0-9]@[A-Za-z0-9]")
 
 
 def _instances(df: DataFrame, text: str) -> DataFrame:
-    """One row per span and lexical pattern: kind (null for candidates), value, pattern.
-    A pattern is the two words before, or one before and one after, in lower case
-    without marks and digits."""
+    """One row per span and lexical pattern: kind (null for candidates), value, pattern."""
     tag = lambda k, c: F.transform(
         c, lambda s: F.struct(F.lit(k).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
     )
     every = F.concat(*[tag(k, f"_pii_{k}") for k in KINDS], tag(None, "_pii_more"))
     rows = df.where(F.size(every) > 0).select(F.col(text).alias("_t"), F.explode(every).alias("s"))
-    first = F.greatest(F.col("s.start") - 60, F.lit(0))
-    clean = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\x20]", ""))
-    before = F.split(F.btrim(F.regexp_replace(F.substring("_t", first + 1, F.col("s.start") - first), r"[\x20\x09-\x0D]+", " ")), " ")
-    after = F.split(F.btrim(F.regexp_replace(F.substring("_t", F.col("s.end") + 1, F.lit(40)), r"[\x20\x09-\x0D]+", " ")), " ")
-    one, two = clean(F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit(""))), clean(F.coalesce(F.try_element_at(before, F.lit(-2)), F.lit("")))
-    nxt = clean(F.coalesce(F.try_element_at(after, F.lit(1)), F.lit("")))
-    return (
-        rows.select("s.kind", "s.value", one.alias("one"), two.alias("two"), nxt.alias("nxt"))
-        .select(
-            "kind",
-            "value",
-            F.explode(
-                F.array(
-                    F.when((F.col("one") != "") & (F.col("two") != ""), F.concat_ws(" ", F.lit("<"), "two", "one")),
-                    F.when((F.col("one") != "") & (F.col("nxt") != ""), F.concat_ws(" ", F.lit("<>"), "one", "nxt")),
-                )
-            ).alias("pattern"),
-        )
-        .where("pattern IS NOT NULL")
-    )
+    return rows.select("s.kind", "s.value", F.explode(_slots(F.col("_t"), F.col("s.start"), F.col("s.end"))).alias("pattern"))
 
 
 def discover(
     df: DataFrame, text: str, rounds: int = ROUNDS, support: int = SUPPORT, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """value, kind: identifiers that the bootstrapping accepts. ``df`` has the span
+    """value, kind, patterns: identifiers that the bootstrapping accepts, and the accepted
+    patterns that they stand in. ``df`` has the span
     columns. Copies of a text add nothing: a pattern counts distinct identifiers, and
     needs ``support`` known ones of a kind. A pattern's confidence is the sum of the
     scores of its identifiers over their number; an identifier's score is one less the
@@ -190,7 +206,14 @@ def discover(
         )
         known = checkpoint(seeds.unionByName(told))
     best = known.join(seeds.select("value").distinct(), "value", "left_anti").where(F.col("score") >= threshold)
-    return best.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    best = best.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    slots = links.join(patterns, "pattern").select("value", "kind", "pattern")
+    return best.join(slots, ["value", "kind"]).groupBy("value", "kind").agg(F.collect_set("pattern").alias("patterns"))
+
+
+def _told(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The candidates (s, value, slots) that are accepted, with their kind."""
+    return candidates.join(accepted, "value").where(_strong(F.col("value")) | F.arrays_overlap("slots", "patterns"))
 
 
 def _named(kind: str, spans: Column) -> Column:
@@ -220,9 +243,11 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     accepted = discover(held, "_pii_text")
     more = (
         held.where(F.size("_pii_more") > 0)
-        .select("_pii_row", F.explode("_pii_more").alias("s"))
-        .select("_pii_row", "s", F.col("s.value").alias("value"))
-        .join(accepted, "value")
+        .select("_pii_row", "_pii_text", F.explode("_pii_more").alias("s"))
+        .select("_pii_row", "s", F.col("s.value").alias("value"), _slots(F.col("_pii_text"), F.col("s.start"), F.col("s.end")).alias("slots"))
+    )
+    more = (
+        _told(more, accepted)
         .groupBy("_pii_row")
         .agg(F.collect_list(F.struct(F.col("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("value"))).alias("_pii_new"))
     )
@@ -257,10 +282,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     accepted = discover(checkpoint(slim), "_pii_text")
     keyed = spans.where((F.size("_pii_more") > 0) & here).withColumn("_pii_key", F.md5("_pii_text"))
     more = (
-        keyed.select("_pii_key", F.explode("_pii_more").alias("s"))
-        .select("_pii_key", "s", F.col("s.value").alias("value"))
+        keyed.select("_pii_key", "_pii_text", F.explode("_pii_more").alias("s"))
+        .select("_pii_key", "s", F.col("s.value").alias("value"), _slots(F.col("_pii_text"), F.col("s.start"), F.col("s.end")).alias("slots"))
         .distinct()
-        .join(accepted, "value")
+    )
+    more = (
+        _told(more, accepted)
         .groupBy("_pii_key")
         .agg(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), "kind")).alias("_pii_new"))
     )
