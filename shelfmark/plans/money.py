@@ -184,10 +184,15 @@ def precision_recall_curve(spark, d):
 @named(_CLASSED + """, r AS (SELECT quality, (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0) AS rk FROM x)
 SELECT round((sum(rk) FILTER (quality = 0) - count(*) FILTER (quality = 0) * (count(*) FILTER (quality = 0) + 1) / 2.0) / (count(*) FILTER (quality = 0) * count(*) FILTER (quality = 1)), 6)::DOUBLE AS auc FROM r""")
 def roc_auc(spark, d):
-    """Rank sum over distinct scores: pairs won plus half of the pairs tied."""
+    """Rank sum over distinct scores: pairs won plus half of the pairs tied. Scores are
+    range-partitioned; the pairs between partitions come from one sum for each."""
     from pyspark.sql import Window
 
     by = classed(spark, d).groupBy("s").agg(F.count_if(F.col("quality") == 0).alias("p"), F.count_if(F.col("quality") == 1).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2.0)).alias("w"))
+    parted = by.repartitionByRange("s").withColumn("_part", F.spark_partition_id())
+    below = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = parted.select("_part", "p", "n", (F.col("p") * (below(Window.partitionBy("_part").orderBy("s")) + F.col("n") / 2.0)).alias("w"))
+    # One row per partition.
+    sums = inside.groupBy("_part").agg(*[F.sum(c).alias(c) for c in ("p", "n", "w")])
+    won = sums.select("p", "n", (F.col("w") + F.col("p") * below(Window.orderBy("_part"))).alias("w"))
     return won.agg(F.round(F.sum("w") / (F.sum("p") * F.sum("n")), 6).alias("auc"))

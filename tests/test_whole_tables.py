@@ -38,3 +38,16 @@ def test_zips_and_conflicts_of_parts_beyond_small_ids(spark, tmp_path):
     assert zipped == sorted((k, w, len(w)) for k, name, kind in parts for w in f"{name} {kind.lower()}".split())
     conflicts = {r.key: (r.spellings, r.conflict) for r in QUERIES["case_dup_conflicts"](spark, str(tmp_path)).collect()}
     assert conflicts == {"red bolt": (2, True), "big gear": (2, False)}
+
+
+def test_auc_is_summed_by_ranges_of_scores(spark, tmp_path):
+    rows = [(i, i * 7 % 3 % 2, "#" * (i * i % 17) + "a" * (20 + i % 5)) for i in range(60)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    score = lambda t: t.count("#") / (len(t) + 1)
+    good, bad = ([score(t) for _, q, t in rows if q == k] for k in (0, 1))
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    df = QUERIES["roc_auc"](spark, str(tmp_path))
+    assert df.collect()[0].auc == round(auc, 6)
+    plan = df._jdf.queryExecution().toString()
+    assert "rangepartitioning(s#" in plan and "windowspecdefinition(s#" not in plan
