@@ -122,9 +122,8 @@ def pieces(
     path = path or default_path()
 
     def cut(batches):
-        for batch in small_batches(batches, "text", 1 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, counts = encoder(path).encode(texts)
+        for batch in small_batches(batches, "text", 2 << 20):
+            ids, counts = encoder(path).encode(batch.column("text"))
             out: list[list] = [[], [], [], [], [], []]
             at = 0
             for doc, n in zip(batch.column("doc_id").to_pylist(), counts):

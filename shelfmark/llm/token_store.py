@@ -109,7 +109,7 @@ def crc_shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def _chunks(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) -> DataFrame:
     def cut(batches):
         for batch in small_batches(batches, "text", 1 << 20):
-            ids, counts = encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])
+            ids, counts = encoder(path).encode(batch.column("text"))
             wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
             out: list[list] = [[] for _ in range(8)]
             seen, width = set(), 4 if wide else 2

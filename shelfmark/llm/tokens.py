@@ -1,27 +1,36 @@
-"""Token ids of a public tokenizer, by way of a bounded cache of text segments.
+"""Token ids of a public tokenizer, by way of distinct segments of a batch of texts.
 
-Byte-level pre-tokenizers never let a token span a space that follows a non-blank, so a
-text may be cut before each such space and its segments encoded on their own. Most
-segments recur; a worker keeps the ids of those it has met.
+The byte-level pre-tokenizer never lets a token span a space that follows a non-blank,
+nor a line feed between two non-blanks, so a text may be cut there and its segments
+encoded on their own. Segments are found and told apart in arrays, each distinct one of
+a batch is looked up or encoded once, and a worker keeps the ids of those it has met
+before. Files of another kind (other pre-tokenizers, normalizers) encode whole texts.
 """
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Before a space that follows a blank, no cut is safe; such texts are cut by pattern.
-_DOUBLE = re.compile("[\\s\u180e] |\x00")
-_CUT = re.compile("(?<=[^\\s\u180e])(?= )")
 #: A cache of this many segments becomes the old one, and a new one begins.
-MOST_KEPT = 170_000
+MOST_KEPT = 140_000
 #: Bytes that tell which segments were met once, by a digest; most never come again.
 _MET = 1 << 21
-#: Latin letters, after a space or not, and marks behind them.
-_WORD = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\\[-`{-~]*)")
-_LINES = re.compile("[ ]?[^\\s\u180e]+(?:\n[^\\s\u180e]+)+")
+#: Bytes of texts whose segments are told apart at a time.
+_SPAN = 2 << 20
+#: Segments of more bytes are told apart by Python's hash.
+_SHORT = 32
+#: Latin letters, after a space or not.
+_WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+#: Bytes of ASCII letters and digits; of marks but the apostrophe, which begins contractions.
+_PLAIN, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_PLAIN[[b for b in range(128) if chr(b).isalnum()]] = True
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = True
 
 
 def default_path() -> str:
@@ -38,8 +47,73 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _may_cut(tokenizer) -> bool:
+    """Whether the file is of the kind whose texts may be cut into segments."""
+    made = json.loads(tokenizer.to_str())
+    before, model = made["pre_tokenizer"] or {}, made["model"]
+    return (
+        before.get("type") == "ByteLevel"
+        and before.get("use_regex", True)
+        and not before.get("add_prefix_space")
+        and not made["normalizer"]
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"])
+    )
+
+
+def _solid_before(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is surely no blank."""
+    one, two, three = (np.where(at >= k, b[np.maximum(at - k, 0)], 32) for k in (1, 2, 3))
+    ascii_ = (one > 32) & (one < 127)
+    lead = np.where(two >= 0xC0, two, np.where(three >= 0xC0, three, 0xF0))
+    return ascii_ | (one >= 0x80) & (lead != 0xC2) & (lead != 0xE1) & (lead != 0xE2) & (lead != 0xE3)
+
+
+def _solid_after(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that begins behind each place is surely no blank."""
+    own = b[np.minimum(at + 1, len(b) - 1)]
+    solid = (own > 32) & (own < 127) | (own >= 0xC3) & (own != 0xE1) & (own != 0xE2) & (own != 0xE3)
+    return (at + 1 < len(b)) & solid
+
+
+def segments(b: np.ndarray, starts: np.ndarray, at_marks: bool) -> np.ndarray:
+    """Places in ``b``, texts that begin at ``starts``, where segments begin; with
+    ``at_marks`` also between a letter or digit and a mark."""
+    spaces, feeds = np.flatnonzero(b == 32), np.flatnonzero(b == 10)
+    spaces = spaces[_solid_before(b, spaces)]
+    feeds = feeds[_solid_before(b, feeds) & _solid_after(b, feeds)]
+    edge = np.zeros(len(b) + 1, bool)
+    for places in (starts, spaces, feeds, feeds + 1):
+        edge[places] = True
+    if at_marks:
+        marks = np.flatnonzero(_MARK[b])
+        one, two = b[np.maximum(marks - 1, 0)], b[np.maximum(marks - 2, 0)]
+        latin = (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)
+        edge[marks[_PLAIN[one] | latin]] = True
+    return np.flatnonzero(edge[:-1])
+
+
+_SEED = np.uint64(int.from_bytes(os.urandom(8), "little") | 1)
+
+
+def _digests(b: np.ndarray, first: np.ndarray, size: np.ndarray, raw: bytes) -> np.ndarray:
+    """A digest of each segment, with a seed of this process."""
+    out = size.astype(np.uint64) * _SEED
+    active = np.flatnonzero(size <= _SHORT)
+    for j in range(_SHORT):
+        active = active[size[active] > j]
+        if not len(active):
+            break
+        x = (out[active] ^ b[first[active] + j]) * _SEED
+        out[active] = x ^ (x >> np.uint64(29))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = np.uint64(hash(raw[first[i] : first[i] + size[i]]) & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
 class Encoder:
-    """Encodes lists of texts with a tokenizers file of the byte-level kind."""
+    """Encodes texts with a file of the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,80 +121,80 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
+        self._cut = _may_cut(self._tokenizer)
         self._names = _byte_names()
         self._space = self._names[32]
         self._code = "H" if self._tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self._kind = np.dtype(self._code)
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._new: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._added = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._met = bytearray(_MET)
 
-    def _again(self, segment: str) -> bool:
-        """Whether a segment (or one with its digest) was met before; only then is it kept."""
-        place = hash(segment) % _MET
-        before, self._met[place] = self._met[place], 1
-        return bool(before)
-
     def _packed(self, ids: list[int]) -> bytes:
         return array(self._code, ids).tobytes()
 
-    def _learn(self, segment: str) -> bytes:
-        """The ids of a segment. A pre-tokenizer parts letters from the marks that follow
-        them, so a word and its marks are looked up or encoded apart."""
-        found = _WORD.fullmatch(segment)
-        if not found:
-            if _LINES.fullmatch(segment):
-                # A line feed between two non-blanks is a token of its own.
-                first, *rest = segment.split("\n")
-                feed = self._new.get("\n") or self._packed(self._tokenizer.encode("\n", add_special_tokens=False).ids)
-                self._new["\n"] = feed
-                return feed.join([self._learn(first), *map(self._learn, rest)])
-            return self._packed(self._tokenizer.encode(segment, add_special_tokens=False).ids)
-        core, marks = found.groups()
-        own = self._new.get(core) or self._old.get(core)
-        if own is None:
-            if not core.isascii():
-                named = core.encode().decode("latin-1").translate(self._names)
-            else:  # letters stand for themselves
-                named = self._space + core[1:] if core[0] == " " else core
-            own = self._packed([t.id for t in self._model.tokenize(named)])
-            if marks and self._again(core):
-                self._new[core] = own
-        if not marks:
-            return own
-        tail = self._new.get(marks)
-        if tail is None:
-            tail = self._new[marks] = self._packed(self._tokenizer.encode(marks, add_special_tokens=False).ids)
-        return own + tail
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other (uint32), and the number of ids of each text."""
-        segments: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            if _DOUBLE.search(text):
-                segments += _CUT.split(text)
-            else:
-                segments += text.replace(" ", "\x00 ").split("\x00")
-            ends[i + 1] = len(segments)
-        if len(self._new) > MOST_KEPT:
-            self._old, self._new, self._met = self._new, {}, bytearray(_MET)
-        parts = list(map(self._new.get, segments))
-        if None in parts:
-            for i, part in enumerate(parts):
+    def _learn(self, key: bytes) -> bytes:
+        """The ids of a segment. Letters alone are one word of the model."""
+        if (key[1:] if key[0] == 32 else key).isalpha() and self._cut:  # letters stand for themselves
+            segment = key.decode("latin-1")
+            named = self._space + segment[1:] if key[0] == 32 else segment
+        else:
+            segment = key.decode("utf-8", "surrogatepass")
+            if not self._cut or not _WORD.fullmatch(segment):
+                return self._packed(self._tokenizer.encode(segment, add_special_tokens=False).ids)
+            named = key.decode("latin-1").translate(self._names)
+        return self._packed([t.id for t in self._model.tokenize(named)])
+
+    def _found(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct segments; those met before are kept."""
+        new, old, met = self._new, self._old, self._met
+        parts = list(map(new.get, keys))
+        for i, part in enumerate(parts):
+            if part is None:
+                key = keys[i]
+                part = old.get(key)
                 if part is None:
-                    s = segments[i]
-                    part = self._new.get(s) or self._old.get(s)
-                    keep = part is not None
-                    if part is None:
-                        part, keep = self._learn(s), self._again(s)
-                    if keep:
-                        self._new[s] = part
-                    parts[i] = part
-        before = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // self._kind.itemsize, out=before[1:])
-        ids = np.frombuffer(b"".join(parts), self._kind).astype(np.uint32)
-        return ids, np.diff(before[ends])
+                    part, place = self._learn(key), hash(key) % _MET
+                    if met[place]:
+                        new[key] = part
+                    else:
+                        met[place] = 1
+                else:
+                    new[key] = part
+                parts[i] = part
+        if len(new) > MOST_KEPT:
+            self._old, self._new, self._met = new, {}, bytearray(_MET)
+        return parts
+
+    def _encode(self, raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(sizes)
+        b, starts = np.frombuffer(raw, np.uint8), (ends - sizes)[sizes > 0]
+        first = segments(b, starts, not any(t in raw for t in self._added)) if self._cut else starts
+        size = np.diff(np.append(first, len(b)))
+        _, at, which = np.unique(_digests(b, first, size, raw), return_index=True, return_inverse=True)
+        parts = self._found([raw[a : a + n] for a, n in zip(first[at].tolist(), size[at].tolist())])
+        held = np.fromiter(map(len, parts), np.int64, len(parts)) // self._kind.itemsize
+        flat = np.frombuffer(b"".join(parts), self._kind)
+        counts = held[which]
+        before = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(counts, out=before[1:])
+        place = np.repeat((np.cumsum(held) - held)[which] - before[:-1], counts) + np.arange(before[-1])
+        return flat[place].astype(np.uint32), np.diff(before[np.append(0, np.searchsorted(first, ends))])
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other (uint32), and the number of ids of each text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        ends = np.cumsum(sizes)
+        while at < len(sizes):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SPAN, side="right")))
+            raw = b"".join(x for x in column.slice(at, end - at).cast(pa.binary()).to_pylist() if x)
+            for out, found in zip((ids, counts), self._encode(raw, sizes[at:end]) if raw else (ids[0], np.zeros(end - at, np.int64))):
+                out.append(found)
+            at = end
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -131,3 +205,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Forgets the encoders of this worker, whose caches other operators have no use for."""
+    _ENCODERS.clear()

@@ -1,10 +1,11 @@
 import glob
+import random
 import tarfile
 import zlib
 
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 import corpus_pipeline
 from shelfmark.llm import media, packing, quality_model, token_store
@@ -26,6 +27,25 @@ def test_segments_encode_as_whole_texts_do():
     assert np.split(ids, np.cumsum(counts))[:-1] and [list(x) for x in np.split(ids, np.cumsum(counts))[:-1]] == [ids_of(t) for t in TEXTS]
 
 
+def test_segments_of_odd_texts():
+    rng, file = random.Random(5), Tokenizer.from_file(default_path())
+    pieces = ["a", "b", " ", "  ", "\n", "\t", ".", ",", "\xe9", "\xdf", "\xd7", "\u3000", "\u180e", "\x85", "\x00", "\x1c", "\u6f22", "\ud55c", "\U0001f642", "1", "23", "'s", "'", "<|endoftext|>", "_", "\r", "Word", " the"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(25))) for _ in range(5000)] + ["", None, "x" * 100_000]
+    ids, counts = Encoder(default_path()).encode(texts)
+    want = [e.ids for e in file.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == want
+
+
+def test_files_of_another_kind_encode_whole_texts(tmp_path):
+    file = Tokenizer.from_file(default_path())
+    file.normalizer = normalizers.Lowercase()
+    file.save(str(tmp_path / "lower.json"))
+    texts = ["The End. THE end", "", None, " A  b\nC"]
+    ids, counts = Encoder(str(tmp_path / "lower.json")).encode(texts)
+    want = [file.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == want
+
+
 def test_token_store_round_trip(spark, tmp_path):
     folder = str(tmp_path / "store")
     token_store.write(frame(spark), folder)
