@@ -15,7 +15,9 @@ def rows(df: pd.DataFrame) -> list:
     def shown(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
-        return repr(round(float(v), 6)) if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # pandas shows whole numbers beside nulls as floats
+            return str(int(v)) if v.is_integer() else repr(round(float(v), 6))
+        return str(v)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(shown, r)) for r in df.itertuples(index=False))
