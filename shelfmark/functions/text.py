@@ -1,22 +1,58 @@
 """Text functions as Spark columns."""
 from __future__ import annotations
 
+import functools
+import json
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+def _unmarked(c: str, form: str) -> str:
+    return "".join(x for x in unicodedata.normalize(form, c) if unicodedata.category(x) != "Mn")
+
+
+@functools.cache
+def _folds(form: str, ascii_only: bool) -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose into one (as two equally long texts), and those that
+    decompose into several, by the given normal form. Marks that stand alone are left to
+    the caller, and so are Hangul syllables, which have no marks to lose."""
+    one, to, several = [], [], {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.decomposition(c):
+            plain = _unmarked(c, form)
+            if ascii_only:
+                plain = plain.encode("ascii", "ignore").decode()
+            if len(plain) == 1 and plain != c:
+                one.append(c)
+                to.append(plain)
+            elif len(plain) > 1:
+                several[c] = plain
+    return "".join(one), "".join(to), several
+
+
+def _folded(text: Column, form: str, ascii_only: bool) -> Column:
+    one, to, several = _folds(form, ascii_only)
+    found = f"[{''.join(several)}]"
+    table = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")
+    longer = F.aggregate(
+        F.array_distinct(F.regexp_extract_all(text, F.lit(found), F.lit(0))), text, lambda acc, c: F.replace(acc, c, F.element_at(table, c))
+    )
+    return F.translate(F.when(text.rlike(found), longer).otherwise(text), one, to) if several else F.translate(text, one, to)
 
 
 def fold(text: Column) -> Column:
-    """Latin-1 letters without their accents; letters that do not decompose stay."""
-    return F.translate(text, _ACCENTED, _PLAIN)
+    """Letters without their accents (canonical decomposition without marks, over all of
+    Unicode); letters that do not decompose stay."""
+    return F.regexp_replace(_folded(text, "NFD", False), r"\p{Mn}", "")
 
 
 def slug(text: Column) -> Column:
-    """Accents folded, other non-ASCII dropped, lower case, letters, digits and single
-    hyphens only; null and empty give empty."""
-    plain = F.lower(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F]", ""))
+    """Compatibility decomposition, other non-ASCII dropped, lower case, letters, digits
+    and single hyphens only; null and empty give empty."""
+    plain = F.lower(F.regexp_replace(_folded(F.coalesce(text, F.lit("")), "NFKD", True), r"[^\x00-\x7F]", ""))
     kept = F.btrim(F.regexp_replace(plain, r"[^a-z0-9\s-]", ""), F.lit(" \t\n\x0b\f\r"))
     return F.regexp_replace(kept, r"[\s-]+", "-")
 
@@ -62,23 +98,63 @@ def title(text: Column) -> Column:
     return F.array_join(F.transform(parts, F.initcap), "")
 
 
-#: Farm words that say nothing, before and after a name (fixed values).
-FARM_PREFIXES = ("finca", "fazenda", "hacienda")
-FARM_SUFFIXES = ("washing station", "wet mill", "estate", "farm", "coop", "mill")
+#: Words before and after the name of a farm, without the blank between.
+FARM_PREFIXES = (
+    "finca",
+    "hacienda",
+    "fazenda",
+)
+FARM_SUFFIXES = (
+    "coffee processing center",
+    "coffee farm",
+    "washing station",
+    "drying station",
+    "community farmers",
+    "coffee",
+    "station",
+    "farm",
+    "village",
+)
 
 
 def bare_name(text: Column) -> Column:
     """Folded lower case without one known prefix and one known suffix."""
-    low = squeeze(F.lower(fold(text)))
-    head = F.regexp_replace(low, f"^({'|'.join(FARM_PREFIXES)}) ", "")
-    return F.regexp_replace(head, f" ({'|'.join(FARM_SUFFIXES)})$", "")
-
-
-#: Words that are no surnames (fixed values).
-NOT_SURNAMES = ("and", "brothers", "coffee", "de", "del", "don", "family", "farm", "finca", "los", "las", "the")
+    low = F.btrim(F.lower(fold(text)), F.lit(" \t\n\x0b\f\r"))
+    head = F.regexp_replace(low, f"^(?:{'|'.join(FARM_PREFIXES)}) ", "")
+    return F.btrim(F.regexp_replace(head, rf" (?:{'|'.join(FARM_SUFFIXES)})\z", ""), F.lit(" \t\n\x0b\f\r"))
+
+
+#: Words that are no surnames.
+NOT_SURNAMES = (
+    "and",
+    "&",
+    "family",
+    "families",
+    "brothers",
+    "sisters",
+    "smallholder",
+    "smallholders",
+    "farmers",
+    "producers",
+    "various",
+    "regional",
+    "lot",
+    "collective",
+    "community",
+    "cooperative",
+    "coop",
+    "coffee",
+    "farm",
+    "finca",
+    "proyecto",
+    "project",
+    "small",
+    "farming",
+)
 
 
 def surnames(text: Column) -> Column:
     """Distinct words of three letters or more that may be surnames."""
-    found = F.regexp_extract_all(F.lower(fold(text)), F.lit("[a-z]{3,}"), F.lit(0))
+    word = r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"
+    found = F.regexp_extract_all(F.lower(fold(text)), F.lit(word), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in NOT_SURNAMES]))

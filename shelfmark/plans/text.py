@@ -44,7 +44,7 @@ def owner_slugs(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", T.owner_slug(F.col("s_name")).alias("slug"))
 
 
-@named("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name || ' and Farm ' || p_type), '[a-z]{3,}'), lambda x: x NOT IN ('and', 'farm')))), ',') AS names FROM part")
+@named("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name || ' and Farm ' || p_type), '[a-z]{3,}'), lambda x: x NOT IN ('and', 'family', 'families', 'brothers', 'sisters', 'smallholder', 'smallholders', 'farmers', 'producers', 'various', 'regional', 'lot', 'collective', 'community', 'cooperative', 'coop', 'coffee', 'farm', 'finca', 'proyecto', 'project', 'small', 'farming')))), ',') AS names FROM part")
 def surname_tokens(spark, d):
     full = F.concat_ws(" ", "p_name", F.lit("and Farm"), "p_type")
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(T.surnames(full)), ",").alias("names"))
@@ -68,9 +68,14 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))), " ").alias("links"))
 
 
-@named("SELECT s_suppkey, regexp_replace(regexp_replace(lower('Finca ' || s_name || ' Estate'), '^(finca|fazenda|hacienda) ', ''), ' (washing station|wet mill|estate|farm|coop|mill)$', '') AS bare FROM supplier")
+@named("""SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(CASE s_suppkey % 3 WHEN 0 THEN 'Finca ' WHEN 1 THEN 'Fazenda Hacienda ' ELSE '' END || s_name
+  || CASE s_suppkey % 4 WHEN 0 THEN ' Coffee Farm' WHEN 1 THEN ' Washing Station' WHEN 2 THEN ' Village Coffee' ELSE ' Estate' END),
+  '^(finca|hacienda|fazenda) ', ''), ' (coffee processing center|coffee farm|washing station|drying station|community farmers|coffee|station|farm|village)$', '')) AS bare FROM supplier""")
 def farm_name_normaliser(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", T.bare_name(F.concat(F.lit("Finca "), "s_name", F.lit(" Estate"))).alias("bare"))
+    key = F.col("s_suppkey")
+    before = F.when(key % 3 == 0, "Finca ").when(key % 3 == 1, "Fazenda Hacienda ").otherwise("")
+    after = F.when(key % 4 == 0, " Coffee Farm").when(key % 4 == 1, " Washing Station").when(key % 4 == 2, " Village Coffee").otherwise(" Estate")
+    return table(spark, d, "supplier").select("s_suppkey", T.bare_name(F.concat(before, "s_name", after)).alias("bare"))
 
 
 @named("SELECT o_orderkey, coalesce(strftime(o_orderdate, '%B %Y'), 'Earlier') AS label FROM orders")

@@ -13,13 +13,29 @@ def brute_slug(text):
 
 
 def test_slugs_of_whole_texts_in_any_language(spark, tmp_path):
-    texts = [("de", "Größe und Straße, ÄÖÜ " * 9), ("en", "a - b--c " * 30 + "end"), (None, "Où, señor?\nÇa va"), ("xx", "!\n Old\tTown \n"), ("fr", None), ("es", "")]
+    texts = [("de", "Größe und Straße, ÄÖÜ " * 9), ("en", "a - b--c " * 30 + "end"), (None, "Où, señor?\nÇa va"), ("xx", "!\n Old\tTown \n"), ("fr", None), ("es", ""), ("pl", "Świeży Łódź ő"), ("vi", "Đắk Lắk Tiếng Việt"), ("xx", "ﬁne ½ ㎏ Ⅳ ⑴ 𝔄 한 e\u0301"), ("jp", "ｆｕｌｌ　ｗｉｄｔｈ")]
     rows = [(i, lang, t) for i, (lang, t) in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.slug for r in QUERIES["slugify"](spark, str(tmp_path)).collect()}
     assert got == {i: brute_slug(t) for i, _, t in rows}
 
 
+def test_farm_names_and_surnames(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions import text as T
+
+    names = {"Finca Las Flores": "las flores", "Quebraditas Coffee Farm": "quebraditas", "Elora Washing Station": "elora", "  Świeży Café ": "swiezy cafe", "Łódź Estate": "łodz estate", None: None}
+    people = {"Edinson Argote & Luz Ángela Rojas": ["edinson", "argote", "luz", "angela", "rojas"], "Lasso Brothers": ["lasso"], "Various smallholder farmers": [], "søren ab x1y2 Nguyễn": ["nguyen"]}
+    df = spark.createDataFrame([(n,) for n in names], "t string").select("t", T.bare_name(F.col("t")).alias("out"))
+    assert {r.t: r.out for r in df.collect()} == names
+    df = spark.createDataFrame([(n,) for n in people], "t string").select("t", T.surnames(F.col("t")).alias("out"))
+    assert {r.t: r.out for r in df.collect()} == people
+    titles = {"o'neil-smith 3rd ÉCOLE": "o'neil-smith 3rd école".title(), "": "", None: None}
+    df = spark.createDataFrame([(n,) for n in titles], "t string").select("t", T.title(F.col("t")).alias("out"))
+    assert {r.t: r.out for r in df.collect()} == titles
+
+
 def test_lookup_and_first_value_beyond_small_ids(spark, tmp_path):
     keys = [1, 2999, 3000, 150_000]
     items = [(k, n, k + n, float(10 * n), float(n % 2)) for k in keys[:3] for n in (1, 2, 3)]
