@@ -4,19 +4,22 @@
    128-bit digest of its set.
 2. A document can only reach another if they share one of its p rarest tokens, where p
    is one more than it may lack. Tokens of a fixed share of the digest range are counted
-   exactly; a class whose p rarest tokens occur nowhere else overlaps no group enough
-   and leaves here. (Tokens held by one in 200 documents count as the most frequent.)
-3. The rest are partitioned into groups of similar documents, by minimum digests; large
-   groups are split. Each group is linked within itself; its parts that hang together
-   are the groups of the matrix.
-4. The matrix lists, for each token, the groups whose rarest tokens have it. A query
-   finds groups there that are not linked with it already; the overlap with a group's
-   token union bounds that with any member, and only groups whose bound reaches the
-   threshold are opened. One link between two groups is enough to join them.
-5. Links between groups make components.
+   exactly; a class whose p rarest tokens occur nowhere else leaves here. (Tokens held by
+   one in 200 documents count as the most frequent.)
+3. The rest are put into groups of similar documents by minimum digests, ROUNDS times;
+   each group is linked within itself, and links make labels. Documents of one label, and
+   small labels that are alike, then make the groups of the matrix.
+4. The matrix lists, for each rarest token, the groups that have it; two groups that share
+   one, and are not of one label, are a pair. A union of tokens is stored for each group.
+   The overlap of two unions bounds that of any two members; only groups of pairs that
+   reach the bound are opened, and a member queries a group only if its own overlap with
+   the union allows a link. One link between two labels is enough to join them.
+5. Links between labels make components.
 
 Every step is exact but for equal 64-bit digests of different shingles (some 1e-9 for
 this corpus). No step lists the pairs within a group, and no row or token is dropped.
+Tokens are counted, ranked and joined by Spark, in exchanges that can spill; Python makes
+sets of texts and tests the sets of one group at a time.
 """
 from __future__ import annotations
 
@@ -26,13 +29,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tokens as token_caches
 from .common import checkpoint, small_batches
 from .components import components
 
 GROUP_DOCS, GROUP_TOKENS = 64, 200_000
+ROUNDS = 3
 QUERIES_A_GROUP = 2000
 HOT_SHARE, HOT_LEAST = 200, 32
 _SEGMENT = 1 << 20
@@ -122,10 +127,18 @@ def _set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _group_key(s: np.ndarray) -> int:
-    """Two minimum digests in one number: likely equal for similar sets only."""
-    one, two = _mixed(s ^ _U(0x5851F42D4C957F2D)).min(), _mixed(s + _U(7)).min()
-    return int(np.array([one, two]).view(np.int64) @ np.array([1, 0x5851F42D4C957F2D]))
+def _sig(set_id: bytes) -> int:
+    """The first half of a class's digest, as a number."""
+    return int.from_bytes(set_id[:8], "little", signed=True)
+
+
+def _group_keys(s: np.ndarray) -> list[int]:
+    """For each round two minimum digests in one number: likely equal for similar sets only."""
+    keys = []
+    for r in range(ROUNDS):
+        one, two = (_mixed(s ^ _U(0x5851F42D4C957F2D * (2 * r + j + 1) % 2**64)).min() for j in (0, 1))
+        keys.append(int(np.array([one, two]).view(np.int64) @ np.array([1, 0x5851F42D4C957F2D])))
+    return keys
 
 
 def _least(n, threshold: Fraction):
@@ -133,23 +146,15 @@ def _least(n, threshold: Fraction):
     return -(-n * threshold.numerator // threshold.denominator)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small * t.denominator < large * t.numerator:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * t.denominator >= (len(a) + len(b) - both) * t.numerator
-
-
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, set_id, key (of two minimum digests); and rows of locally frequent
-    tokens (token, held), which have no set. Tokens are counted over distinct sets."""
+    """doc_id, n, set_id, sig; and rows of locally frequent tokens (token, held), which
+    have no set. Tokens are counted over distinct sets."""
 
     def sign(batches):
+        token_caches.release()
         for batch in small_batches(batches, "text"):
             sets = _sets(batch.column("text").to_pylist(), k)
             ids = [_set_id(s) if len(s) else None for s in sets]
-            keys = [_group_key(s) if len(s) else None for s in sets]
             distinct = list({i: s for i, s in zip(ids, sets) if i is not None}.values())
             hot, held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             if distinct:
@@ -162,147 +167,84 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     pa.concat_arrays([batch.column("doc_id"), pa.nulls(h, pa.int64())]),
                     pa.array([len(s) for s in sets] + [None] * h, pa.int64()),
                     pa.array(ids + [None] * h, pa.binary()),
-                    pa.array(keys + [None] * h, pa.int64()),
-                    pa.array(np.concatenate([np.zeros(len(sets), np.int64), hot.astype(np.int64)])),
+                    pa.array([i and _sig(i) for i in ids] + [None] * h, pa.int64()),
+                    pa.array(np.concatenate([np.zeros(len(sets), np.int64), hot.view(np.int64)])),
                     pa.array([None] * len(sets) + held.tolist(), pa.int64()),
                 ],
-                names=["doc_id", "n", "set_id", "key", "token", "held"],
+                names=["doc_id", "n", "set_id", "sig", "token", "held"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n long, set_id binary, key long, token long, held long")
+    return docs.mapInArrow(sign, "doc_id long, n long, set_id binary, sig long, token long, held long")
+
+
+_COUNTED, _OTHER, _HOT = 0, 1, 2
 
 
 def _prefixes(rows_in: DataFrame, k: int, t: Fraction, hot: np.ndarray, share: float) -> DataFrame:
-    """sig (first half of a set_id), tokens: those of a class's rarest tokens that other
-    classes of ``rows_in`` (a column text, or hashes) have too. Classes without such
-    tokens give no row. Tokens in the lowest ``share`` of the digest range are counted.
+    """sig, token: those of a class's rarest tokens that other classes of ``rows_in`` (a
+    column text, or hashes) have too. Classes without such tokens give no row.
 
-    Tokens move as blocks of numbers, one per batch and slice of the digest range. A
-    frequent token is last in the order, so a block holds few of any one token."""
-    spark = rows_in.sparkSession
+    Tokens in the lowest ``share`` of the digest range are counted. The order is: counted
+    ones by their counts, the others, frequent ones; by digest in each. A class gives all
+    its counted tokens, and of the others as many as it needs to have p."""
     column = rows_in.columns[0]
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = _U(min(int(share * 2**64), 2**64 - 1))
-    block = "slice int, kind int, sigs binary, tokens binary, extra binary"
 
     def is_hot(tokens):
         if not len(hot):
             return np.zeros(len(tokens), bool)
         return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
 
-    def rows(found):
-        columns = list(zip(*found)) or [[]] * 5
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, kd) for c, kd in zip(columns, kinds)], names=["slice", "kind", "sigs", "tokens", "extra"]
-        )
-
-    def by(which, count, *arrays):
-        order = np.argsort(which, kind="stable")
-        ends = np.searchsorted(which[order], np.arange(count + 1))
-        for i in np.flatnonzero(np.diff(ends)):
-            part = order[ends[i] : ends[i + 1]]
-            yield int(i), *[a[part].tobytes() for a in arrays]
-
     def post(batches):
-        for batch in small_batches(batches, column, 16 << 20):
-            seen, sigs, needs, tokens, owners = set(), [], [], [], []
-            for at in range(0, batch.num_rows, 512):
-                held = batch.column(column).slice(at, 512).to_pylist()
-                for s in _sets(held, k) if column == "text" else [np.frombuffer(h, np.uint64) for h in held]:
-                    if not len(s) or (sig := np.frombuffer(_set_id(s), np.int64)[0]) in seen:
-                        continue
-                    seen.add(sig)
-                    p = len(s) - int(_least(len(s), t)) + 1
-                    frequent = is_hot(s)
-                    split = np.searchsorted(s, counted, side="right")
-                    mine = s[:split][~frequent[:split]]
-                    if len(mine) < p:
-                        mine = np.concatenate([mine, s[split:][~frequent[split:]][: p - len(mine)]])
-                    if len(mine) < p:
-                        mine = np.concatenate([mine, s[frequent][: p - len(mine)]])
-                    sigs.append(sig)
-                    needs.append(p - len(mine))
-                    tokens.append(mine)
-                    owners.append(np.full(len(mine), sig, np.int64))
-            if not sigs:
+        token_caches.release()
+        seen: set[int] = set()
+        for batch in small_batches(batches, column):
+            held = batch.column(column).to_pylist()
+            owners, tokens, infos = [], [], []
+            for s in _sets(held, k) if column == "text" else [np.frombuffer(h, np.uint64) for h in held]:
+                if not len(s) or (sig := _sig(_set_id(s))) in seen:
+                    continue
+                seen.add(sig)
+                p = len(s) - int(_least(len(s), t)) + 1
+                frequent = is_hot(s)
+                split = np.searchsorted(s, counted, side="right")
+                parts = [s[:split][~frequent[:split]]]
+                for other in (s[split:][~frequent[split:]], s[frequent]):
+                    parts.append(other[: max(0, p - sum(map(len, parts)))])
+                # What is still lacking (below 0: to spare), and each token's kind.
+                lacking = p - sum(map(len, parts))
+                tokens += parts
+                owners.append(np.full(p - lacking, sig, np.int64))
+                infos += [np.full(len(x), lacking * 4 + kind, np.int64) for kind, x in enumerate(parts)]
+            if len(seen) > 1 << 17:
+                seen.clear()
+            if not owners:
                 continue
-            flat, own = np.concatenate(tokens), np.concatenate(owners)
-            where = (_mixed(flat) % _U(slices)).astype(np.int64)
-            found = [(i, 0, o, x, None) for i, o, x in by(where, slices, own, flat)]
-            sig, need = np.array(sigs, np.int64), np.array(needs, np.int32)
-            found += [(i, 1, s, None, x) for i, s, x in by(sig.view(np.uint64) % _U(slices), slices, sig, need)]
-            yield rows(found)
-
-    def count(batches):
-        """Blocks of one slice of tokens become blocks of one slice of classes, without
-        the tokens that one class alone has."""
-        own, flat = [], []
-        for batch in batches:
-            passed = []
-            for i, kind, sigs, tokens, extra in zip(*[c.to_pylist() for c in batch.columns]):
-                if kind:
-                    passed.append((i, kind, sigs, tokens, extra))
-                else:
-                    own.append(np.frombuffer(sigs, np.int64))
-                    flat.append(np.frombuffer(tokens, np.uint64))
-            if passed:
-                yield rows(passed)
-        if not own:
-            return
-        o, f = np.concatenate(own), np.concatenate(flat)
-        own.clear(), flat.clear()
-        order = np.lexsort((o, f))
-        o, f = o[order], f[order]
-        new = np.ones(len(f), bool)
-        new[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
-        o, f = o[new], f[new]
-        first = np.ones(len(f), bool)
-        first[1:] = f[1:] != f[:-1]
-        place = np.flatnonzero(first)
-        df = np.diff(np.append(place, len(f)))
-        df = np.repeat(df, df)
-        shared = df > 1
-        o, f, df = o[shared], f[shared], df[shared].astype(np.int32)
-        for at in range(0, len(o), 1 << 20):
-            a, b, c = o[at : at + (1 << 20)], f[at : at + (1 << 20)], df[at : at + (1 << 20)]
-            yield rows([(i, 0, x, y, z) for i, x, y, z in by(a.view(np.uint64) % _U(slices), slices, a, b, c)])
-
-    def choose(batches):
-        own, flat, counts, sigs, needs = [], [], [], [], []
-        for batch in batches:
-            for _, kind, s, tokens, extra in zip(*[c.to_pylist() for c in batch.columns]):
-                if kind:
-                    sigs.append(np.frombuffer(s, np.int64))
-                    needs.append(np.frombuffer(extra, np.int32))
-                else:
-                    own.append(np.frombuffer(s, np.int64))
-                    flat.append(np.frombuffer(tokens, np.uint64))
-                    counts.append(np.frombuffer(extra, np.int32))
-        if not own or not sigs:
-            return
-        o, f, df = np.concatenate(own), np.concatenate(flat), np.concatenate(counts)
-        rank = np.where(is_hot(f), 2, np.where(f <= counted, 0, 1))
-        order = np.lexsort((f, np.where(rank == 0, df, 0), rank, o))
-        o, f = o[order], f[order]
-        known, at = np.unique(np.concatenate(sigs), return_index=True)
-        need = np.concatenate(needs)[at]
-        ids, first, size = np.unique(o, return_index=True, return_counts=True)
-        keep = need[np.searchsorted(known, ids)] + size
-        out = [(i.tobytes(), f[a : a + q].astype(np.int64)) for i, a, q in zip(ids, first, keep) if q > 0]
-        for a in range(0, len(out), 5000):
+            # As signed numbers in the order of the digests.
+            flat = (np.concatenate(tokens) ^ _U(1 << 63)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out[a : a + 5000]], pa.binary()), pa.array([x[1] for x in out[a : a + 5000]], pa.list_(pa.int64()))],
-                names=["sig", "tokens"],
+                [pa.array(np.concatenate(owners)), pa.array(flat), pa.array(np.concatenate(infos))], names=["sig", "token", "info"]
             )
 
-    posted = rows_in.mapInArrow(post, block).repartitionById(slices, F.col("slice")).mapInArrow(count, block)
-    return posted.repartitionById(slices, F.col("slice")).mapInArrow(choose, "sig binary, tokens array<long>")
+    kind = F.pmod("info", F.lit(4))
+    # Frequent tokens are known to be shared, so they may be dealt out by their owners.
+    posted = rows_in.mapInArrow(post, "sig long, token long, info long").withColumn(
+        "place", F.when(kind == _HOT, F.xxhash64("sig")).otherwise(F.col("token"))
+    )
+    distinct = posted.repartition("place").groupBy("place", "token", "sig").agg(F.first("info").alias("info"))
+    counts = distinct.withColumn("df", F.count("*").over(Window.partitionBy("place", "token")))
+    shared = counts.where((kind == _HOT) | (F.col("df") > 1)).select(
+        "sig", "token", kind.alias("kind"), F.when(kind == _COUNTED, F.col("df")).otherwise(0).alias("df"), F.floor(F.col("info") / 4).alias("lacking")
+    )
+    # Tokens that none else has come first in the order, so each takes a place of the p.
+    own = Window.partitionBy("sig")
+    ranked = shared.withColumn("held", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("kind", "df", "token")))
+    return ranked.where("rank <= lacking + held").select("sig", "token")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataFrame:
-    """set_id, hashes: the sets of the wanted classes, read from the document that
-    stands for each. A bitmap of the digests of the wanted ids (16 bits an id, 8 MB at
+    """set_id, sig, n, keys, hashes: the sets of the wanted classes, read from the document
+    that stands for each, and a key for each round of grouping. A bitmap of the digests of the wanted ids (16 bits an id, 8 MB at
     most) is broadcast first, so that the texts of few others move to the exact join."""
 
     def load(batches):
@@ -320,9 +262,12 @@ def _fetched(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in keep], pa.binary()),
+                    pa.array([_sig(ids[i]) for i in keep], pa.int64()),
+                    pa.array([len(sets[i]) for i in keep], pa.int64()),
+                    pa.array([_group_keys(sets[i]) for i in keep], pa.list_(pa.int64())),
                     pa.array([sets[i].tobytes() for i in keep], pa.binary()),
                 ],
-                names=["set_id", "hashes"],
+                names=["set_id", "sig", "n", "keys", "hashes"],
             )
 
     bits = max(1 << 10, min(1 << 26, n_wanted * 16))
@@ -334,7 +279,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataF
     joined = likely.join(
         wanted.select(F.col("doc_id").alias("_d"), "set_id"), F.col("doc_id").eqNullSafe(F.col("_d"))
     ).select("text", "set_id")
-    return joined.mapInArrow(load, "set_id binary, hashes binary")
+    return joined.mapInArrow(load, "set_id binary, sig long, n long, keys array<long>, hashes binary")
 
 
 def _by_group(batches, names):
@@ -351,97 +296,179 @@ def _by_group(batches, names):
         yield group, held
 
 
+class _Table:
+    """The sets of one group as rows over the union of their tokens."""
+
+    def __init__(self, sets: list[np.ndarray], t: Fraction, union: np.ndarray | None = None):
+        self.t, self.union = t, np.unique(np.concatenate(sets)) if union is None else union
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.has = np.zeros((len(sets), len(self.union)), bool)
+        for row, s in zip(self.has, sets):
+            row[np.searchsorted(self.union, s)] = True
+
+    def linked(self, s: np.ndarray) -> np.ndarray:
+        """Whether each set is linked with ``s``; none is opened if the union does not allow it."""
+        at = np.searchsorted(self.union, s)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == s]
+        if len(at) < _least(len(s), self.t):
+            return np.zeros(len(self.sizes), bool)
+        both = self.has[:, at].sum(axis=1)
+        return both * self.t.denominator >= (self.sizes + len(s) - both) * self.t.numerator
+
+
+def _binaries(rows: list[tuple], names: tuple[str, str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=list(names))
+
+
 def _linked_within(t: Fraction):
-    """Labels within groups: the smallest set_id of the part that a set hangs together
-    with. Leaders are tried first, so that near copies of one text cost a test each."""
+    """u, v: each set of a group with the smallest set_id of the part it hangs together with."""
 
     def link(batches):
-        out: list[tuple] = []
-        for group, rows in _by_group(batches, ("set_id", "hashes")):
-            rows = list({i: np.frombuffer(h, np.uint64) for i, h in rows}.items())
-            label = list(range(len(rows)))
-
-            def top(i, label=label):
-                while label[i] != i:
-                    i = label[i]
-                return i
-
-            leaders: list[int] = []
-            for i, (_, s) in enumerate(rows):
-                for j in leaders:
-                    if top(j) != top(i) and _linked(s, rows[j][1], t):
-                        label[top(i)] = top(j)
-                if top(i) == i:
-                    leaders.append(i)
-            if len(leaders) > 1:
-                for i in range(len(rows)):
-                    for j in range(i):
-                        if top(i) != top(j) and _linked(rows[i][1], rows[j][1], t):
-                            label[top(i)] = top(j)
-            smallest: dict[int, bytes] = {}
-            for i, (d, _) in enumerate(rows):
-                smallest[top(i)] = min(smallest.get(top(i), d), d)
-            out += [(d, group, smallest[top(i)]) for i, (d, _) in enumerate(rows)]
-            if len(out) > 5000:
-                yield _labelled(out)
-                out = []
-        yield _labelled(out)
+        for _, rows in _by_group(batches, ("set_id", "hashes")):
+            held = {i: np.frombuffer(h, np.uint64) for i, h in rows}
+            if len(held) < 2:
+                continue
+            ids = sorted(held)
+            sets = [held[i] for i in ids]
+            table, label = _Table(sets, t), np.arange(len(ids))
+            for i, s in enumerate(sets):
+                found = np.unique(label[table.linked(s)])
+                if len(found) > 1:
+                    label[np.isin(label, found)] = found[0]
+            if out := [(ids[i], ids[j]) for i, j in enumerate(label.tolist()) if i != j]:
+                yield _binaries(out, ("u", "v"))
 
     return link
 
 
-def _labelled(out):
-    columns = list(zip(*out)) or [[]] * 3
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
-        names=["set_id", "group", "label"],
-    )
+def _unions(members: DataFrame) -> DataFrame:
+    """group, low, tokens: the union of each group's sets and the size of its smallest.
+    ``members``: group, hashes."""
+
+    def unite(batches):
+        for group, rows in _by_group(batches, ("hashes",)):
+            sets = [np.frombuffer(h, np.uint64) for (h,) in rows]
+            union = np.unique(np.concatenate(sets)).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group], pa.int64()), pa.array([min(map(len, sets))], pa.int64()), pa.array([union], pa.binary())],
+                names=["group", "low", "tokens"],
+            )
+
+    ordered = members.select("group", "hashes").repartition("group").sortWithinPartitions("group")
+    return ordered.mapInArrow(unite, "group long, low long, tokens binary")
 
 
-def _opened(queries: DataFrame, groups: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """u, v: labels of queries and groups with a link between them. ``queries`` and
-    ``groups``: group, label, set_id (for a group a row per member, one label); ``sets``:
-    set_id, hashes, joined in once for both. A group that very many queries ask for is
-    repeated over several tasks."""
-    asked = queries.groupBy("group").agg(F.ceil(F.count("*") / QUERIES_A_GROUP).cast("int").alias("salts"))
-    salted = queries.join(asked, "group").select(
-        "group", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "label", "set_id"
+def _dealt(asked: DataFrame, asks: DataFrame, by: Column) -> tuple[DataFrame, DataFrame]:
+    """Both with a column salt, for a join on (group, salt): a group that very many rows of
+    ``asks`` ask for is repeated over several tasks."""
+    salts = asks.groupBy("group").agg(F.ceil(F.count("*") / QUERIES_A_GROUP).cast("int").alias("salts"))
+    repeated = asked.join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return repeated, asks.join(salts, "group").withColumn("salt", F.pmod(F.xxhash64(by), F.col("salts")).cast("int")).drop("salts")
+
+
+def _bounded(pairs: DataFrame, unions: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (query_group, group) whose unions overlap enough for a link of any two
+    members. No member is read."""
+    asked, asks = _dealt(
+        unions.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_group"), "low", "tokens"),
+        pairs.select("group", F.lit(1).alias("kind"), "query_group"),
+        F.col("query_group"),
     )
-    spread = groups.join(asked, "group").select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "label", "set_id"
+    asks = asks.join(unions.select(F.col("group").alias("query_group"), "low", "tokens"), "query_group")
+
+    def bound(batches):
+        union, low = None, 0
+        for batch in batches:
+            out = []
+            for group, kind, query, least, raw in zip(*[batch.column(c).to_pylist() for c in ("group", "kind", "query_group", "low", "tokens")]):
+                tokens = np.frombuffer(raw, np.uint64)
+                if kind == 0:
+                    union, low = tokens, least
+                    continue
+                few, many = sorted((tokens, union), key=len)
+                at = np.searchsorted(many, few)
+                at[at == len(many)] = 0
+                if query == group or (many[at] == few).sum() >= _least(max(low, least), t):
+                    out.append((query, group))
+            u, v = list(zip(*out)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["query_group", "group"])
+
+    stream = asked.unionByName(asks).repartition("group", "salt").sortWithinPartitions("group", "salt", "kind")
+    return stream.select("group", "kind", "query_group", "low", "tokens").mapInArrow(bound, "query_group long, group long")
+
+
+def _opened(pairs: DataFrame, members: DataFrame, t: Fraction) -> DataFrame:
+    """u, v: labels with a link between them. ``pairs``: query_group, group; ``members``:
+    set_id, group, label, hashes. Members of the query groups ask the groups."""
+    asked, asks = _dealt(
+        members.join(pairs.select("group").distinct(), "group").select("group", F.lit(0).alias("kind"), "set_id", "label"),
+        pairs.join(members.select(F.col("group").alias("query_group"), "set_id", "label"), "query_group").select(
+            "group", F.lit(1).alias("kind"), "set_id", "label"
+        ),
+        F.col("set_id"),
     )
-    needed = salted.unionByName(spread).join(sets, "set_id")
+    needed = asked.unionByName(asks).join(members.select("set_id", "hashes"), "set_id")
 
     def ask(batches):
-        out: list[tuple] = []
-        at, members, union, label = None, [], None, None
+        at, held, table, found = None, [], None, set()
         for batch in batches:
-            names = ("group", "salt", "kind", "label", "hashes")
-            for g, salt, kind, own, raw in zip(*[batch.column(c).to_pylist() for c in names]):
-                if (g, salt) != at:
-                    at, members, union, label = (g, salt), [], None, None
+            out: list[tuple] = []
+            for group, salt, kind, label, raw in zip(*[batch.column(c).to_pylist() for c in ("group", "salt", "kind", "label", "hashes")]):
+                if (group, salt) != at:
+                    at, held, table, found = (group, salt), [], None, set()
                 s = np.frombuffer(raw, np.uint64)
                 if kind == 0:
-                    members.append(s)
-                    label = own
+                    held.append((label, s))
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate(members)) if members else s[:0]
-                if len(np.intersect1d(s, union, assume_unique=True)) < _least(len(s), t):
-                    continue
-                if any(_linked(s, m, t) for m in members):
-                    out.append((own, label))
-            if len(out) > 5000:
-                yield pairs(out)
-                out = []
-        yield pairs(out)
+                if table is None:
+                    table = _Table([x for _, x in held], t)
+                for i in np.flatnonzero(table.linked(s)).tolist():
+                    if held[i][0] != label and (label, held[i][0]) not in found:
+                        found.add((label, held[i][0]))
+                        out.append((label, held[i][0]))
+            if out:
+                yield _binaries(out, ("u", "v"))
+
+    stream = needed.repartition("group", "salt").sortWithinPartitions("group", "salt", "kind")
+    return stream.select("group", "salt", "kind", "label", "hashes").mapInArrow(ask, "u binary, v binary").distinct()
+
+
+def _groups(labelled: DataFrame) -> DataFrame:
+    """Adds ``group``: parts of a large label, or small labels that have a key in common.
+    ``labelled``: set_id, label, n, key."""
+    chunks = lambda docs, tokens: F.greatest(F.ceil(docs / GROUP_DOCS), F.ceil(tokens / GROUP_TOKENS))
+    labels = labelled.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.min("key").alias("home"))
+    labels = labels.withColumn("large", (F.col("docs") * 2 > GROUP_DOCS) | (F.col("tokens") * 2 > GROUP_TOKENS))
+    homes = labels.where("NOT large").groupBy("home").agg(chunks(F.sum("docs"), F.sum("tokens")).alias("chunks"))
+    small = labels.where("NOT large").join(homes, "home").select(
+        "label", F.xxhash64("home", F.pmod(F.xxhash64("label"), F.col("chunks"))).alias("group"), F.lit(None).cast("long").alias("parts")
+    )
+    large = labels.where("large").select(
+        "label", F.lit(None).cast("long").alias("group"), chunks(F.col("docs"), F.col("tokens")).cast("long").alias("parts")
+    )
+    part = F.xxhash64("label", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+    return labelled.join(small.unionByName(large), "label").select("set_id", "sig", "label", "n", F.coalesce("group", part).alias("group"))
 
-    def pairs(out):
-        u, v = list(zip(*out)) or [[]] * 2
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    stream = needed.select("group", "salt", "kind", "label", "hashes").repartition("group", "salt")
-    return stream.sortWithinPartitions("group", "salt", "kind").mapInArrow(ask, "u binary, v binary").distinct()
+def _pairs(matrix: DataFrame, t: Fraction) -> DataFrame:
+    """query_group, group: pairs of groups with a rarest token in common that are not of
+    one label and whose sizes allow a link; and a group with itself if it has several
+    labels. The smaller group asks. ``matrix``: token, group, docs, low, high, first, last."""
+    names = ("group", "docs", "low", "high", "first", "last")
+    other = matrix.select("token", *[F.col(c).alias(f"{c}_2") for c in names])
+    a, b = t.numerator, t.denominator
+    several = (F.col("first") != F.col("last")) | (F.col("first_2") != F.col("last_2")) | (F.col("first") != F.col("first_2"))
+    sizes = (F.col("low") * a <= F.col("high_2") * b) & (F.col("low_2") * a <= F.col("high") * b)
+    both = matrix.join(other, "token").where((F.col("group") < F.col("group_2")) & several & sizes)
+    smaller = F.col("docs") <= F.col("docs_2")
+    found = both.select(
+        F.when(smaller, F.col("group")).otherwise(F.col("group_2")).alias("query_group"),
+        F.when(smaller, F.col("group_2")).otherwise(F.col("group")).alias("group"),
+    ).distinct()
+    alone = matrix.where(F.col("first") != F.col("last")).select(F.col("group").alias("query_group"), "group").distinct()
+    return found.unionByName(alone)
 
 
 def component_ids(
@@ -458,9 +485,9 @@ def component_ids(
     t = Fraction(threshold)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = checkpoint(_signatures(rows, k))
-    own = signed.where("n IS NOT NULL").select("doc_id", "n", "set_id", "key")
+    own = signed.where("n IS NOT NULL").select("doc_id", "n", "set_id")
     classes = checkpoint(
-        own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("key").alias("key"))
+        signed.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     )
     # Bounded: no more tokens than HOT_SHARE times the mean size of a set can be so frequent.
     least = max(HOT_LEAST, classes.count() // HOT_SHARE)
@@ -469,71 +496,42 @@ def component_ids(
 
     # First over a share of the range with some tokens to spare, for all documents; then
     # over all tokens of the few that are left, whose sets are fetched for it.
-    of_sig = lambda c, p: c.withColumn("sig", F.substring("set_id", 1, 8)).join(p, "sig")
-    likely = checkpoint(
-        of_sig(classes, _prefixes(rows.select("text"), k, t, hot, float(1 - t) * 1.6 + 0.04).select("sig")).select("set_id", "doc_id", "n", "key")
-    )
+    shared = _prefixes(rows.select("text"), k, t, hot, float(1 - t) * 1.6 + 0.04).select("sig").distinct()
+    likely = checkpoint(classes.join(shared, "sig").select("set_id", "doc_id"))
     fetched = checkpoint(_fetched(rows, likely, likely.count(), k))
-    near = checkpoint(of_sig(likely, _prefixes(fetched.select("hashes"), k, t, hot, 1.0)).drop("sig"))
-    sizes = near.groupBy("key").agg(
-        F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks")
-    )
-    grouped = near.join(sizes, "key").withColumn("group", F.xxhash64("key", F.pmod(F.xxhash64("set_id"), F.col("chunks"))))
-    members = checkpoint(fetched.join(grouped.select("set_id", "group"), "set_id"))
-    sets = members.select("set_id", "hashes")
-    within = checkpoint(
-        members.repartition("group").sortWithinPartitions("group").mapInArrow(_linked_within(t), "set_id binary, group long, label binary")
+    prefixes = checkpoint(_prefixes(fetched.select("hashes"), k, t, hot, 1.0))
+    # A repeated row may have brought its set twice.
+    near = checkpoint(fetched.join(prefixes.select("sig").distinct(), "sig").dropDuplicates(["sig", "set_id"]))
+
+    # Groups of similar sets, linked within themselves.
+    keyed = near.select("set_id", "n", F.posexplode("keys").alias("round", "key"))
+    sizes = keyed.groupBy("round", "key").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
+    sizes = sizes.select("round", "key", F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("tokens") / GROUP_TOKENS)).alias("chunks"))
+    grouped = keyed.join(sizes, ["round", "key"]).select(
+        "set_id", F.xxhash64("round", "key", F.pmod(F.xxhash64("set_id", "round"), F.col("chunks"))).alias("group")
     )
-    # Parts of one split group: each is tried against one of them.
-    parts = (
-        within.join(grouped.where("chunks > 1").select("set_id", "key"), "set_id")
-        .where("set_id = label")
-        .select("key", "label")
+    within = grouped.join(near.select("set_id", "hashes"), "set_id").repartition("group").sortWithinPartitions("group")
+    labels = components(within.select("group", "set_id", "hashes").mapInArrow(_linked_within(t), "u binary, v binary"))
+    labelled = near.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").select(
+        "set_id", "sig", F.coalesce("label", "set_id").alias("label"), "n", F.col("keys")[0].alias("key")
     )
-    heads = parts.groupBy("key").agg(F.min("label").alias("head"))
-    tried = parts.join(heads, "key").where("label <> head").select(F.col("key").alias("group"), "label")
-    split_links = checkpoint(
-        _opened(
-            tried.select("group", "label", F.col("label").alias("set_id")),
-            heads.select(F.col("key").alias("group"), F.col("head").alias("label"), F.col("head").alias("set_id")),
-            sets,
-            t,
+    parted = checkpoint(_groups(labelled))
+
+    # The matrix: which groups have a token among their rarest.
+    docs_of = parted.groupBy("group").agg(F.count("*").alias("docs"))
+    tokens = prefixes.join(parted.join(docs_of, "group"), "sig")
+    matrix = checkpoint(
+        tokens.groupBy("token", "group").agg(
+            F.first("docs").alias("docs"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last")
         )
     )
-    joined = split_links.groupBy(F.col("u").alias("label")).agg(F.min("v").alias("v"))
-    parted = checkpoint(
-        within.join(joined, "label", "left").select(
-            "set_id", F.coalesce("v", "label").alias("label"), F.xxhash64("group", "label").alias("group")
-        )
-    )
-
-    # The matrix: which groups have a token among their rarest; and which queries.
-    of = parted.join(near.select("set_id", "n", "tokens"), "set_id")
-    tokens = of.select("set_id", "label", "group", "n", F.explode("tokens").alias("token"))
-    open_tokens = (
-        tokens.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    )
-    tokens = checkpoint(tokens.join(open_tokens, "token"))
-    matrix = tokens.groupBy("token", "group", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = matrix.select("token", F.col("group").alias("g"), F.col("label").alias("l"), "low", "high")
-    a, b = t.numerator, t.denominator
-    pairs = (
-        tokens.join(matrix, "token")
-        .where((F.col("label") > F.col("l")) & (F.col("low") * a <= F.col("n") * b) & (F.col("high") * b >= F.col("n") * a))
-        .select("set_id", "label", F.col("g").alias("group"))
-        .distinct()
-    )
-    pairs = checkpoint(pairs)
-    links = _opened(
-        pairs.select("group", "label", "set_id"),
-        parted.join(pairs.select("group").distinct(), "group").select("group", "label", "set_id"),
-        sets,
-        t,
-    )
-    merged = components(links.select("u", "v"))
-    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("merged"))
-    final = parted.join(merged, "label", "left").select("set_id", F.coalesce("merged", "label").alias("part"))
-    final = checkpoint(final)
+    pairs = checkpoint(_pairs(matrix, t))
+    asking = pairs.select(F.explode(F.array("query_group", "group")).alias("group")).distinct()
+    members = checkpoint(parted.join(asking, "group").join(near.select("set_id", "hashes"), "set_id").select("set_id", "group", "label", "hashes"))
+    unions = checkpoint(_unions(members))
+    links = _opened(checkpoint(_bounded(pairs, unions, t)), members, t)
+    merged = components(links).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    final = checkpoint(parted.join(merged, "label", "left").select("set_id", F.coalesce("merged", "label").alias("part")))
     least_id = final.join(classes.select("set_id", "doc_id"), "set_id").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     of_class = final.join(least_id, "part").select("set_id", "component_id")
     of_class = classes.join(of_class, "set_id", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -545,7 +543,6 @@ def component_ids(
     )
 
 
-
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of ``docs`` of which one of each component stays: that with the smallest
     id. Documents without words stay. Rows that share an id are kept once per distinct
