@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.shared import checkpoint
+
 
 def similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; 1 for two empty names."""
@@ -25,13 +27,46 @@ def token_set_similarity(a: Column, b: Column) -> Column:
 
 def candidate_pairs(df: DataFrame, block: str, key: str, name: str, signature: Column) -> DataFrame:
     """Pairs of a block that share a signature (an array of keys, exploded): an equi-join,
-    so a block's pairs that share nothing are never made."""
+    so a block's pairs that share nothing are never made. Use it with signatures that few
+    rows have; for edit distances see ``close_pairs``."""
     rows = df.select(block, F.col(key), F.col(name), F.explode(F.array_distinct(signature)).alias("_s"))
     a = rows.select(block, "_s", F.col(key).alias("a"), F.col(name).alias("name_a"))
     b = rows.select(block, "_s", F.col(key).alias("b"), F.col(name).alias("name_b"))
     return a.join(b, [block, "_s"]).where("a < b").select(block, "a", "b", "name_a", "name_b").distinct()
 
 
+def close_pairs(df: DataFrame, block: str, key: str, name: str, share: int = 10) -> DataFrame:
+    """Pairs of a block whose edit distance is at most one ``share``-th of the longer name
+    (a similarity of 0.9 for 10), among few others: an equi-join on parts of names.
+
+    A name of length n may differ by e = n / share edits, so one of its e + 1 even parts
+    stands unchanged in any shorter name it is close to, shifted by e at most (Li, Deng,
+    Wang and Feng, 2011). Longer names give their parts, shorter ones the pieces of their
+    text at each such place; a common word alone pairs nothing."""
+    length = F.length(name)
+    edits = lambda n: F.floor(n / share).cast("int")
+    start = lambda n, i: F.floor(i * n / (edits(n) + 1)).cast("int")
+    part = lambda n, i, shift: F.struct(
+        n.alias("n"), i.alias("i"), F.substring(F.col(name), start(n, i) + shift + 1, start(n, i + 1) - start(n, i)).alias("s")
+    )
+    own = F.transform(F.sequence(F.lit(0), edits(length)), lambda i: part(length, i, F.lit(0)))
+
+    def places(n):
+        shifts = F.sequence(-edits(n), edits(n))
+        each = lambda i: F.transform(F.filter(shifts, lambda x: start(n, i) + x >= 0), lambda x: part(n, i, x))
+        return F.flatten(F.transform(F.sequence(F.lit(0), edits(n)), each))
+
+    longest = F.floor(length * share / (share - 1)).cast("int")
+    sought = F.flatten(F.transform(F.sequence(length, longest), places))
+    rows = df.where(length > 0)
+    long_ = rows.select(block, F.col(key).alias("k"), F.col(name).alias("x"), F.explode(own).alias("_s"))
+    short = rows.select(block, F.col(key).alias("l"), F.col(name).alias("y"), F.explode(F.array_distinct(sought)).alias("_s"))
+    both = long_.join(short, [block, "_s"]).where((F.col("k") != F.col("l")) & (F.levenshtein("x", "y") * share <= F.greatest(F.length("x"), F.length("y"))))
+    first = F.col("k") < F.col("l")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return both.select(block, pick("k", "l").alias("a"), pick("l", "k").alias("b"), pick("x", "y").alias("name_a"), pick("y", "x").alias("name_b")).distinct()
+
+
 def decide(pairs: DataFrame, similar: Column, shared: Column, no_names: Column) -> DataFrame:
     """Merge if similar by 0.9 with a shared surname, or by 0.99 if a side has none."""
     first = (similar >= 0.9) & (shared >= 1)
@@ -46,28 +81,19 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 64
     folder, and rounds end when nothing changes."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     e = e.union(e.select("v", "u")).where("u <> v").distinct()
-    kept = _kept(e)
-    labels = _kept(kept.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
+    kept = checkpoint(e)
+    labels = checkpoint(kept.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(most_rounds):
         near = kept.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        after = _kept(step.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("component")))
+        after = checkpoint(step.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("component")))
         labels = after.select("node", "component")
         if after.where("old <> component").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def canonical(members: DataFrame, cluster: str, name: str, count: str) -> DataFrame:
     """One row per cluster: the name with most rows (then the longest), members, total."""
     return members.groupBy(cluster).agg(

@@ -93,8 +93,12 @@ def rolling_count(df: DataFrame, key: str, time: str, seconds: int, out: str = "
     return df.withColumn("_at", at).withColumn(out, F.count("*").over(window)).drop("_at")
 
 
-def replica_digest(df: DataFrame, group: str, key: str, version: str) -> DataFrame:
-    """Count and SHA-256 of the sorted ``key:version`` of each group."""
+def replica_digest(df: DataFrame, group: str, key: str, version: str, span: int = 1024) -> DataFrame:
+    """Count and digest of each group, in two levels: a SHA-256 over the sorted
+    ``key:version`` of every range of ``span`` whole keys, then one over the digests of
+    ranges in order. No task lists a group's rows."""
     pair = F.struct(F.col(key), F.concat_ws(":", F.col(key).cast("string"), F.col(version).cast("string")).alias("s"))
-    rows = df.groupBy(group).agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list(pair)).alias("_rows"))
-    return rows.select(group, "n_rows", F.sha2(F.array_join(F.transform("_rows", lambda r: r["s"]), "|"), 256).alias("digest"))
+    ranges = df.groupBy(group, F.floor(F.col(key) / span).alias("_range")).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(pair)).alias("_rows"))
+    leaves = ranges.select(group, "_range", "_n", F.sha2(F.array_join(F.transform("_rows", lambda r: r["s"]), "|"), 256).alias("_leaf"))
+    whole = leaves.groupBy(group).agg(F.sum("_n").alias("n_rows"), F.sort_array(F.collect_list(F.struct("_range", "_leaf"))).alias("_leaves"))
+    return whole.select(group, "n_rows", F.sha2(F.array_join(F.transform("_leaves", lambda r: r["_leaf"]), "|"), 256).alias("digest"))

@@ -1,7 +1,7 @@
 """Entity resolution over part names within brands."""
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import bare_name
+from shelfmark.functions.text import NOT_SURNAMES, bare_name, surnames
 from shelfmark.operators import entity as E
 from shelfmark.plans.registry import Plans
 from shelfmark.sources.tables import table
@@ -10,10 +10,11 @@ PLANS = Plans()
 named = PLANS.named
 
 _NAMES = """WITH n AS (SELECT p_type AS block, p_name || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS name, count(*) AS n FROM part GROUP BY ALL),
+w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z]{3,}'), lambda x: x NOT IN (@STOP))) AS words FROM n),
 x AS (SELECT block, a.name AS a, b.name AS b, 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS sim,
- len(list_intersect(string_split(a.name, ' '), string_split(b.name, ' ')))::INTEGER AS shared FROM n a JOIN n b USING (block) WHERE a.name < b.name),
-p AS (SELECT * FROM x WHERE shared >= 1 AND sim >= 0.9)
-"""
+ len(list_intersect(a.words, b.words))::INTEGER AS shared, len(a.words) = 0 OR len(b.words) = 0 AS bare FROM w a JOIN w b USING (block) WHERE a.name < b.name),
+p AS (SELECT *, CASE WHEN shared >= 1 AND sim >= 0.9 THEN (sim + least(shared / 2.0, 1.0)) / 2 ELSE sim * 0.8 END AS confidence FROM x WHERE shared >= 1 AND sim >= 0.9 OR bare AND sim >= 0.99)
+""".replace("@STOP", ", ".join(f"'{x}'" for x in NOT_SURNAMES))
 
 
 def names(spark, d):
@@ -22,13 +23,14 @@ def names(spark, d):
 
 
 def merges(spark, d):
-    """Pairs of a block that share a word, with the decision to merge them."""
-    pairs = E.candidate_pairs(names(spark, d).withColumn("key", F.col("name")), "block", "key", "name", F.split("name", " "))
-    shared = F.size(F.array_intersect(F.split("name_a", " "), F.split("name_b", " ")))
-    return E.decide(pairs, E.similarity(F.col("name_a"), F.col("name_b")), shared, F.lit(False))
+    """Pairs of a block that are close, with the decision to merge them."""
+    pairs = E.close_pairs(names(spark, d).withColumn("key", F.col("name")), "block", "key", "name")
+    a, b = surnames(F.col("name_a")), surnames(F.col("name_b"))
+    bare = (F.size(a) == 0) | (F.size(b) == 0)
+    return E.decide(pairs, E.similarity(F.col("name_a"), F.col("name_b")), F.size(F.array_intersect(a, b)), bare)
 
 
-@named(_NAMES + "SELECT block, a, b, round((sim + least(shared / 2.0, 1.0)) / 2, 6)::DOUBLE AS confidence FROM p")
+@named(_NAMES + "SELECT block, a, b, round(confidence, 6)::DOUBLE AS confidence FROM p")
 def pair_decisions(spark, d):
     return merges(spark, d).where("merge").select("block", "a", "b", F.round("confidence", 6).alias("confidence"))
 

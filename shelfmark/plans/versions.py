@@ -100,19 +100,30 @@ def upsert_replace(spark, d):
     return V.upsert(*_slices(spark, d), ["k"])
 
 
-@named("""SELECT c_mktsegment, count(*) AS n_rows, sha256(string_agg(c_custkey::VARCHAR || ':' || c_nationkey::VARCHAR, '|' ORDER BY c_custkey)) AS digest
-FROM customer GROUP BY c_mktsegment""")
+_DIGEST = """SELECT c_mktsegment, sum(n)::BIGINT AS n_rows, sha256(string_agg(leaf, '|' ORDER BY r)) AS digest FROM (
+SELECT c_mktsegment, c_custkey // 1024 AS r, count(*) AS n, sha256(string_agg(c_custkey::VARCHAR || ':' || c_nationkey::VARCHAR, '|' ORDER BY c_custkey)) AS leaf
+FROM @TABLE GROUP BY ALL) GROUP BY c_mktsegment"""
+
+
+@named(_DIGEST.replace("@TABLE", "customer"))
 def replica_digest(spark, d):
     return V.replica_digest(table(spark, d, "customer"), "c_mktsegment", "c_custkey", "c_nationkey")
 
 
-@named("""WITH a AS (SELECT c_mktsegment, count(*) AS n, sha256(string_agg(c_custkey::VARCHAR || ':' || c_nationkey::VARCHAR, '|' ORDER BY c_custkey)) AS h FROM customer GROUP BY 1),
-b AS (SELECT c_mktsegment, count(*) AS n, sha256(string_agg(c_custkey::VARCHAR || ':' || c_nationkey::VARCHAR, '|' ORDER BY c_custkey)) AS h FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey > 0 GROUP BY 1)
-SELECT c_mktsegment, CASE WHEN a.n IS DISTINCT FROM b.n THEN 'count' WHEN a.h <> b.h THEN 'content' ELSE 'same' END AS verdict FROM a FULL JOIN b USING (c_mktsegment)""")
+_REPLICA = """(SELECT c_mktsegment, c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' AND c_custkey % 31 = 3 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey
+FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_custkey % 29 = 5))"""
+
+
+@named(f"""WITH a AS ({_DIGEST.replace("@TABLE", "customer")}), b AS ({_DIGEST.replace("@TABLE", _REPLICA)})
+SELECT c_mktsegment, CASE WHEN a.n_rows IS DISTINCT FROM b.n_rows THEN 'count' WHEN a.digest <> b.digest THEN 'content' ELSE 'same' END AS verdict FROM a FULL JOIN b USING (c_mktsegment)""")
 def replica_verify(spark, d):
+    """The table against a replica that lacks rows of one segment and has others of
+    another changed."""
     c = table(spark, d, "customer")
-    a = V.replica_digest(c, "c_mktsegment", "c_custkey", "c_nationkey")
-    b = V.replica_digest(c.where("c_mktsegment <> 'BUILDING' OR c_custkey > 0"), "c_mktsegment", "c_custkey", "c_nationkey")
+    lost = (F.col("c_mktsegment") == "BUILDING") & (F.col("c_custkey") % 29 == 5)
+    changed = (F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") % 31 == 3)
+    other = c.where(~lost).withColumn("c_nationkey", F.col("c_nationkey") + F.when(changed, 1).otherwise(0))
+    a, b = (V.replica_digest(x, "c_mktsegment", "c_custkey", "c_nationkey") for x in (c, other))
     b = b.select("c_mktsegment", F.col("n_rows").alias("n2"), F.col("digest").alias("d2"))
     verdict = F.when(~F.col("n_rows").eqNullSafe(F.col("n2")), "count").when(F.col("digest") != F.col("d2"), "content").otherwise("same")
     return a.join(b, "c_mktsegment", "full_outer").select("c_mktsegment", verdict.alias("verdict"))
