@@ -1,9 +1,13 @@
 """Currency conversion by newest rates, and price statistics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.shared import checkpoint
+
 
 def latest_rates(rates: DataFrame) -> DataFrame:
     """currency, rate: the newest fetch of each (units of the currency per base unit)."""
@@ -32,19 +36,48 @@ def convert(amount: Column, source: Column, target: Column, source_rate: Column,
     return F.when((source == target) | (amount == 0), amount).otherwise(amount / source_rate * target_rate)
 
 
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float], weight: str | None = None) -> DataFrame:
+    """groups, n, q: exact quantiles of each group (of all rows without groups), between
+    neighbouring values in proportion. Nulls do not count. ``weight`` is a column of counts.
+
+    Rows become counts of values first; these are range-partitioned, so that neither a
+    group nor all rows must fit into one task: ranks are sums within a range and one sum
+    per range and group."""
+    counted = df.groupBy(*groups, value).agg((F.sum(F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(0)) if weight else F.count(value)).alias("_c"))
+    ranged = checkpoint(counted.repartitionByRange(*groups, value).withColumn("_part", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row per range and group.
+    sums = ranged.groupBy("_part", *groups).agg(F.sum("_c").alias("_c"))
+    of_group = Window.partitionBy(*groups)
+    starts = sums.select("_part", *groups, before(of_group.orderBy("_part")).alias("_start"), F.sum("_c").over(of_group).alias("n"))
+    starts = starts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in groups], "_start", "n")
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups], F.col("_part") == F.col("_p"))
+    rows = ranged.withColumn("_in", before(Window.partitionBy("_part", *groups).orderBy(value))).join(starts, same)
+    rank = F.col("_start") + F.col("_in")
+    place = lambda s: (F.col("n") - 1) * F.lit(float(s))
+    at = lambda r: F.max(F.when((rank <= r) & (r < rank + F.col("_c")), F.col(value)))
+    found = rows.groupBy(*groups).agg(
+        F.max("n").alias("n"), *[f(p(place(s))).alias(f"{c}{i}") for i, s in enumerate(shares) for c, f, p in (("_a", at, F.floor), ("_z", at, F.ceil))]
+    )
+    between = lambda i, s: F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (place(s) - F.floor(place(s)))
+    return found.select(*groups, F.coalesce("n", F.lit(0)).alias("n"), F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("q"))
+
+
 def shrunk_median(df: DataFrame, groups: list[str], value: str, least: int, out: str) -> DataFrame:
-    """One row per group: the group's median if it has ``least`` rows or more, else that
-    of all rows. Exact medians by aggregation, one row per distinct value and task."""
-    everything = df.agg(F.expr(f"percentile({value}, 0.5)").alias("_all"))
-    grouped = df.groupBy(*groups).agg(F.expr(f"percentile({value}, 0.5)").alias("_own"), F.count(value).alias("n"))
+    """One row per group: the group's median if it has ``least`` values or more, else that
+    of all rows. Both come from the same counts."""
+    counted = checkpoint(df.groupBy(*groups, value).agg(F.count("*").alias("_w")))
+    everything = quantiles(counted, [], value, [0.5], "_w").select(F.col("q")[0].alias("_all"))
+    grouped = quantiles(counted, groups, value, [0.5], "_w")
     joined = grouped.join(F.broadcast(everything))
-    return joined.select(*groups, "n", F.when(F.col("n") >= least, F.col("_own")).otherwise(F.col("_all")).alias(out))
+    return joined.select(*groups, "n", F.when(F.col("n") >= least, F.col("q")[0]).otherwise(F.col("_all")).alias(out))
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column less its median over its interquartile range (1 if that is 0)."""
-    quartiles = df.agg(*[F.expr(f"percentile({c}, array(0.25, 0.5, 0.75))").alias(f"_q_{c}") for c in columns])
-    joined = df.join(F.broadcast(quartiles))
+    joined = df
+    for c in columns:
+        joined = joined.join(F.broadcast(quantiles(df, [], c, [0.25, 0.5, 0.75]).select(F.col("q").alias(f"_q_{c}"))))
 
     def scaled(c):
         q = F.col(f"_q_{c}")

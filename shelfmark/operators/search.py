@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.boolsearch import scoring_terms
+from shelfmark.shared import checkpoint
 
 
 @dataclass
@@ -91,26 +92,26 @@ def diversified(df: DataFrame, owner: str, order: list[Column], most: int, k: in
     return ranked(staged, [F.asc("_stage"), *order], last=k).drop("_stage")
 
 
-def bm25(docs: DataFrame, key: str, tokens: Column, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of the documents that have a term (Robertson and Zaragoza, 2009). Token
-    lists are reduced to the query's terms before anything moves; documents without
-    tokens count for the mean length."""
-    listed = docs.select(key, tokens.alias("_t"))
-    stats = listed.agg(F.count("*").alias("_n"), F.avg(F.size("_t").cast("double")).alias("_mean"))
+def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key, score of the documents that have a term, a lower-case run of letters a-z
+    (Robertson and Zaragoza, 2009). Each text is read once, by native counts, and becomes
+    a row of numbers that statistics and scores both come from; documents without words
+    count for the mean length."""
     wanted = list(dict.fromkeys(terms))
-    counts = [_count("_t", t) for t in wanted]
-    hits = listed.select(key, F.size("_t").alias("_len"), F.explode(F.arrays_zip(F.lit(wanted).alias("term"), F.array(*counts).alias("tf"))).alias("_h"))
-    hits = hits.select(key, "_len", "_h.term", "_h.tf").where("tf > 0")
-    df = hits.groupBy("term").agg(F.count("*").alias("_df"))
-    # As many rows as the query has terms, and one row of statistics.
-    joined = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))
-    idf = F.log(F.lit(1.0) + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
-    return joined.groupBy(key).agg(F.sum(idf * norm).alias("score"))
-
-
-def _count(array: str, term: str) -> Column:
-    return F.size(F.filter(array, lambda x: x == term))
+    low = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    has = lambda t: F.when(F.col("_t").contains(t), F.regexp_count("_t", F.lit(f"(?<![a-z]){t}(?![a-z])"))).otherwise(0)
+    counts = checkpoint(low.select(key, F.regexp_count("_t", F.lit("[a-z]+")).alias("_len"), *[has(t).alias(f"_tf{i}") for i, t in enumerate(wanted)]))
+    stats = counts.agg(F.count("*").alias("_n"), F.avg(F.col("_len").cast("double")).alias("_mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))])
+    # One row of statistics.
+    joined = counts.where(F.greatest(F.lit(0), *[F.col(f"_tf{i}") for i in range(len(wanted))]) > 0).join(F.broadcast(stats))
+
+    def part(i):
+        tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
+        idf = F.log(F.lit(1.0) + (F.col("_n") - df + 0.5) / (df + 0.5))
+        norm = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
+        return F.when(tf > 0, idf * norm).otherwise(0.0)
+
+    return joined.select(key, reduce(lambda x, y: x + y, [part(i) for i in range(len(wanted))]).alias("score"))
 
 
 def words(text: Column) -> Column:

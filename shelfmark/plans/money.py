@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import money as M
 from shelfmark.plans.registry import Plans
+from shelfmark.shared import checkpoint
 from shelfmark.sources.tables import table
 
 PLANS = Plans()
@@ -88,9 +89,9 @@ def quantile_bands_with_fallback(spark, d):
     """Quartiles per brand; brands with few rows take those of all rows."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     x = table(spark, d, "lineitem").where("l_quantity > 0").join(p, "l_partkey").select("p_brand", (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
-    quartiles = F.expr("percentile(v, array(0.25, 0.5, 0.75))")
-    own = x.groupBy("p_brand").agg(F.count("*").alias("n"), quartiles.alias("q")).where("n >= 3")
-    bands = own.join(F.broadcast(x.agg(quartiles.alias("g"))))
+    counted = checkpoint(x.groupBy("p_brand", "v").agg(F.count("*").alias("w")))
+    own = M.quantiles(counted, ["p_brand"], "v", [0.25, 0.5, 0.75], "w").where("n >= 3")
+    bands = own.join(F.broadcast(M.quantiles(counted, [], "v", [0.25, 0.5, 0.75], "w").select(F.col("q").alias("g"))))
     pick = lambda i: F.round(F.when(F.col("n") < 2400, F.col("g")[i]).otherwise(F.col("q")[i]), 6)
     return bands.select("p_brand", "n", pick(0).alias("p25"), pick(1).alias("p50"), pick(2).alias("p75"))
 

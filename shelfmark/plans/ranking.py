@@ -1,7 +1,7 @@
 """Search and ranking queries. Where a rank is a column, its order is total."""
 from pyspark.sql import functions as F
 
-from shelfmark.operators.search import bm25, diversified, ordinal_closeness, position_decay, ranked, words
+from shelfmark.operators.search import bm25, diversified, ordinal_closeness, position_decay, ranked
 from shelfmark.plans.registry import Plans
 from shelfmark.sources.tables import table
 
@@ -106,7 +106,7 @@ def _bm25_sql(key, name, terms):
 @named(_bm25_sql("doc_id", "documents", ["erha", "thble", "stti"]) + """SELECT k AS doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, k) AS rk FROM s QUALIFY rk <= 20""")
 def bm25_topk(spark, d):
     docs = table(spark, d, "documents")
-    scored = bm25(docs, "doc_id", words(F.col("text")), ["erha", "thble", "stti"]).withColumn("score", F.round("score", 6))
+    scored = bm25(docs, "doc_id", "text", ["erha", "thble", "stti"]).withColumn("score", F.round("score", 6))
     return ranked(scored, [F.desc("score"), F.asc("doc_id")], last=20)
 
 
@@ -120,7 +120,7 @@ FROM conversations c LEFT JOIN s ON s.k = (c.conv_id, c.turn) WHERE s.score IS N
 def segment_relevance(spark, d):
     """BM25 plus fixed boosts; a segment needs a text hit or an entity match."""
     c = table(spark, d, "conversations").withColumn("k", F.struct("conv_id", "turn"))
-    scored = bm25(c, "k", words(F.col("text")), ["erha", "thble"])
+    scored = bm25(c, "k", "text", ["erha", "thble"])
     low = F.lower("text")
     boost = (
         F.when((F.col("role") == "user") & low.contains("thble"), 10).otherwise(0)

@@ -1,3 +1,6 @@
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import versions as V
@@ -45,3 +48,46 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     spark.createDataFrame([("a", 3)], "k string, v int").coalesce(1).write.mode("append").parquet(folder)
     got = latest_per_key_stream(spark, folder, ["k"], ["v"], state)
     assert sorted(map(tuple, got.collect())) == [("a", 3), ("b", 1)]
+    again = latest_per_key_stream(spark, folder, ["k"], ["v"], state)  # nothing new
+    assert sorted(map(tuple, again.collect())) == [("a", 3), ("b", 1)]
+    spark.createDataFrame([("b", 0), ("c", 5), (None, 1)], "k string, v int").coalesce(1).write.mode("append").parquet(folder)
+    got = latest_per_key_stream(spark, folder, ["k"], ["v"], state)
+    assert {tuple(r) for r in got.collect()} == {("a", 3), ("b", 1), ("c", 5), (None, 1)}
+
+
+def test_stream_notices_a_lost_state(spark, tmp_path):
+    import shutil
+
+    from pyspark.errors import StreamingQueryException
+    from shelfmark.streaming.feeds import latest_per_key_stream
+
+    folder, state = str(tmp_path / "in.parquet"), str(tmp_path / "state")
+    row = lambda k: spark.createDataFrame([(k, 1)], "k string, v int").coalesce(1)
+    for k in "ab":
+        row(k).write.mode("append").parquet(folder)
+        latest_per_key_stream(spark, folder, ["k"], ["v"], state)
+    shutil.rmtree(f"{state}/lists/batch=1")
+    row("c").write.mode("append").parquet(folder)
+    with pytest.raises(StreamingQueryException, match="lost"):
+        latest_per_key_stream(spark, folder, ["k"], ["v"], state)
+
+
+def test_counts_stream_without_new_files(spark, tmp_path):
+    from shelfmark.streaming.feeds import counts_stream
+
+    folder, state = str(tmp_path / "in.parquet"), str(tmp_path / "state")
+    spark.createDataFrame([("x", "2024-01-01 10:00:00")] * 2, "kind string, at string").write.parquet(folder)
+    for _ in range(2):
+        assert [(r.kind, r.n) for r in counts_stream(spark, folder, "at", "kind", state=state).collect()] == [("x", 2)]
+
+
+def test_digests_of_replicas(spark):
+    rows = [("a" if i % 2 else None, i, i * 7) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    whole = {r.g: (r.n_rows, r.digest) for r in V.replica_digest(df, "g", "k", "v").collect()}
+    for g, found in whole.items():
+        own = sorted((k, f"{k}:{v}") for h, k, v in rows if h == g)
+        leaves = [hashlib.sha256("|".join(x for k, x in own if k // 1024 == r).encode()).hexdigest() for r in range(5)]
+        assert found == (len(own), hashlib.sha256("|".join(leaves).encode()).hexdigest())
+    other = {r.g: r.digest for r in V.replica_digest(df.where("k <> 4999"), "g", "k", "v").collect()}
+    assert other["a"] != whole["a"][1] and other[None] == whole[None][1]
