@@ -182,3 +182,17 @@ def scoring_terms(text: str) -> list[Term]:
 
     walk(parse(text))
     return out
+
+
+def matches_or_contains(query: str, column: Column) -> Column:
+    """A query over a text column; one that cannot be parsed is looked for as it stands: a
+    quoted text as a whole, wildcards over the whole, anything else anywhere in the text."""
+    try:
+        return matches(query, scalar_term(column))
+    except ValueError:
+        text = query.strip()
+        if len(text) > 1 and text[0] == text[-1] == '"':
+            return F.lower(column) == text[1:-1].lower()
+        if "*" in text or "?" in text:
+            return column.rlike(wildcard_regex(text))
+        return F.lower(column).contains(text.lower())

@@ -36,6 +36,15 @@ def drift(now: DataFrame, before: DataFrame, keys: list[str], count: str, most_d
     return both.withColumn("passed", F.col("now") >= F.col("before") * (1 - most_drop))
 
 
+def stock_drift(counts: DataFrame, owner: str, before: str, now: str, most_drop: float = 0.3, least: int = 10) -> DataFrame:
+    """scope, before, now, passed: a row for each owner, which fails if it had ``least`` or
+    more and has none now, and one for all, which fails if they fell by more than a share."""
+    kept = (F.col(now) > 0) | (F.col(before) < least)
+    own = counts.select(F.concat_ws(" ", F.lit("owner"), F.col(owner).cast("string")).alias("scope"), F.col(before).alias("before"), F.col(now).alias("now"), kept.alias("passed"))
+    every = counts.agg(F.sum(before).alias("before"), F.sum(now).alias("now"))
+    return own.unionByName(every.select(F.lit("all").alias("scope"), "before", "now", (F.col("now") >= F.col("before") * (1 - most_drop)).alias("passed")))
+
+
 def violations(rules: list[tuple[str, Column]]) -> Column:
     """Names of the rules (name, condition that must hold) that a row breaks. A rule on a
     null value does not count as broken."""
