@@ -1,6 +1,7 @@
 """Personal data: fixed patterns as seeds, and identifiers found by bootstrapping.
 
-Seeds are what the four fixed patterns find. The words around them make lexical
+Seeds are what the four fixed patterns find, and secrets: long words of letters and many
+digits. The words around them make lexical
 patterns; a bipartite graph links patterns with the identifiers that stand in them, and
 Spark scores it in rounds: a pattern is as sure as the share of its distinct
 identifiers that are known, an identifier as sure as its patterns make it. Identifiers
@@ -10,12 +11,10 @@ Everything is DataFrame expressions and joins; no Python runs on executors.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, shared_folder, written
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Each begins only where a run of its first class begins, or at the end of the match
@@ -41,32 +40,47 @@ _START, _BLANK = r"(?<![^\x20\x09-\x0D])", r"\x20\x09-\x0D"
 RUN = rf"{_START}[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+(?:(?<=[0-9)])\x20[^{_BLANK}\p{{L}}0-9]*+[0-9][^{_BLANK}\p{{L}}]*+(?![^{_BLANK}]))++"
 WORD = rf"{_START}[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
 _AT, _DOT = (rf"\x20[(\[]?{w}[)\]]?\x20" for w in ("at", "dot"))
-SPOKEN = rf"(?i){_START}[{_LOCAL}]++{_AT}[A-Z0-9.-]++(?:{_DOT}[A-Z0-9-]++)*+"
+SPOKEN = rf"(?i){_START}[{_LOCAL}]++{_AT}[A-Z0-9.-]++(?:{_DOT}[A-Z0-9-]++)++"
+#: Seeds beside the fixed patterns: long words of letters and many digits, as keys and tokens are.
+SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}+"
 SUPPORT = 3
 THRESHOLD = 0.8
 ROUNDS = 3
+#: Code points before and after a span in which its neighbours are looked for.
+REACH = 128
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_MATCHES, _BLOCK = 128, 4096
+
+
+def _spans(matches: Column, pieces: Column) -> Column:
+    """Places (code points, end exclusive) of the matches that split a text into pieces.
+    Lengths are summed by blocks of matches first, so that no fold grows a long list."""
+    each = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(matches) / _MATCHES).cast("int") - 1)
+    sums = F.transform(blocks, lambda j: F.aggregate(F.slice(each, j * _MATCHES + 1, F.lit(_MATCHES)), F.lit(0), lambda x, y: x + y))
+    bases = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+    def block(j):
+        own = F.slice(matches, j * _MATCHES + 1, F.lit(_MATCHES))
+        before = F.slice(pieces, j * _MATCHES + 1, F.lit(_MATCHES))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(own)),
+            F.struct(F.get(bases, j).alias("at"), F.array().cast(_SPAN).alias("out")),
+            lambda acc, i: F.struct(
+                (acc["at"] + F.length(F.element_at(before, i)) + F.length(F.element_at(own, i))).alias("at"),
+                F.array_append(
+                    acc["out"],
+                    F.struct(
+                        (acc["at"] + F.length(F.element_at(before, i))).alias("start"),
+                        (acc["at"] + F.length(F.element_at(before, i)) + F.length(F.element_at(own, i))).alias("end"),
+                        F.element_at(own, i).alias("value"),
+                    ),
+                ).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
 
-
-def _spans(text: Column, matches: Column, pieces: Column) -> Column:
-    """Places (code points, end exclusive) of the matches that split a text into pieces."""
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.size(matches)),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at(pieces, i)) + F.length(F.element_at(matches, i))).alias("at"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    (acc["at"] + F.length(F.element_at(pieces, i))).alias("start"),
-                    (acc["at"] + F.length(F.element_at(pieces, i)) + F.length(F.element_at(matches, i))).alias("end"),
-                    F.element_at(matches, i).alias("value"),
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(matches) > 0, step).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(matches) > 0, F.flatten(F.transform(blocks, block))).otherwise(F.array().cast(_SPAN))
 
 
 def _luhn(digits: Column) -> Column:
@@ -100,7 +114,7 @@ def _found(df: DataFrame, text: str, name: str, pattern: str, hint: Column) -> D
     tried = F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("_pii_m", tried)
     df = df.withColumn("_pii_p", F.when(F.size("_pii_m") > 0, F.split(text, pattern, -1)))
-    return df.withColumn(name, _spans(F.col(text), F.col("_pii_m"), F.col("_pii_p"))).drop("_pii_m", "_pii_p")
+    return df.withColumn(name, _spans(F.col("_pii_m"), F.col("_pii_p"))).drop("_pii_m", "_pii_p")
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
@@ -113,17 +127,20 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df
 
 
+def _apart(s: Column, spans: Column) -> Column:
+    return ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+
 def candidate_spans(df: DataFrame, text: str) -> DataFrame:
     """Adds ``_pii_more``: identifier-like words and runs of them, without the marks at
-    their edges, that touch no base span. A word of a free run is no candidate itself."""
-    known = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
-    apart = lambda s, spans: ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    their edges, that touch no seed. A word of a free run is no candidate itself."""
+    known = F.concat(*[F.col(f"_pii_{k}") for k in _SEEDS])
     df = _found(df, text, "_pii_run", RUN, F.col(text).rlike(r"[0-9)]\x20[^A-Za-z0-9]*+[0-9]"))
-    df = df.withColumn("_pii_run", F.filter("_pii_run", lambda s: apart(s, known)))
-    df = _found(df, text, "_pii_said", SPOKEN, F.col(text).rlike(f"(?i){_AT}"))
-    df = df.withColumn("_pii_run", F.concat("_pii_run", F.filter("_pii_said", lambda s: apart(s, F.col("_pii_run"))))).drop("_pii_said")
+    df = df.withColumn("_pii_run", F.filter("_pii_run", lambda s: _apart(s, known)))
+    df = _found(df, text, "_pii_said", SPOKEN, F.col(text).rlike(f"(?i){_DOT}"))
+    df = df.withColumn("_pii_run", F.concat("_pii_run", F.filter("_pii_said", lambda s: _apart(s, F.col("_pii_run"))))).drop("_pii_said")
     df = _found(df, text, "_pii_more", WORD, F.col(text).rlike("[0-9@]"))
-    df = df.withColumn("_pii_more", F.concat("_pii_run", F.filter("_pii_more", lambda s: apart(s, F.col("_pii_run"))))).drop("_pii_run")
+    df = df.withColumn("_pii_more", F.concat("_pii_run", F.filter("_pii_more", lambda s: _apart(s, F.col("_pii_run"))))).drop("_pii_run")
     core = lambda v: F.regexp_extract(v, r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])", 1)
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^A-Za-z0-9]*+", 0))
     trimmed = F.transform(
@@ -135,27 +152,57 @@ def candidate_spans(df: DataFrame, text: str) -> DataFrame:
         ),
     )
     df = df.withColumn("_pii_more", trimmed)
-    return df.withColumn("_pii_more", F.filter("_pii_more", lambda s: (s["value"] != "") & apart(s, known)))
+    return df.withColumn("_pii_more", F.filter("_pii_more", lambda s: (s["value"] != "") & _apart(s, known)))
+
+
+def _blocks(text: Column) -> Column:
+    """A text in blocks, so that a place far behind is reached without counting from the start."""
+    return F.transform(
+        F.sequence(F.lit(0), F.floor(F.length(text) / _BLOCK).cast("int")), lambda j: F.substring(text, j * _BLOCK + 1, F.lit(_BLOCK))
+    )
+
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    first, last = F.floor(start / _BLOCK).cast("int"), F.floor((end - 1) / _BLOCK).cast("int")
+    cut = F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * _BLOCK + 1, end - start)
+    return F.when(end > start, cut).otherwise("")
 
-def _slots(text: Column, start: Column, end: Column) -> Column:
-    """The lexical patterns of a place: the two words before, or one before and one after,
-    in lower case without marks and digits; words of marks alone are skipped."""
-    first = F.greatest(start - 60, F.lit(0))
+
+def _slots(blocks: Column, length: Column, start: Column, end: Column) -> Column:
+    """The lexical patterns of a place: the two words before; one before and one after; one
+    before if a colon or an equals sign leads to the place. In lower case without marks and
+    digits; words of marks alone are skipped, and so are words that reach beyond REACH."""
+    left, right = F.greatest(start - REACH, F.lit(0)), F.least(end + REACH, length)
+    empty = F.array().cast("array<string>")
     clean = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\x20]", ""))
-    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    before = F.slice(F.concat(F.array(F.lit(""), F.lit("")), words(F.substring(text, first + 1, start - first))), -2, 2)
-    around = F.transform(F.concat(before, F.slice(words(F.substring(text, end + 1, F.lit(40))), 1, 1), F.array(F.lit(""))), clean)
-    return F.filter(
-        F.transform(
-            F.array(around),
-            lambda w: F.array(
-                F.when((w[1] != "") & (w[0] != ""), F.concat_ws(" ", F.lit("<"), w[0], w[1])),
-                F.when((w[1] != "") & (w[2] != ""), F.concat_ws(" ", F.lit("<>"), w[1], w[2])),
+    split = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
+    words = lambda c: F.filter(c, lambda w: w.rlike(r"[\p{L}\p{N}]"))
+
+    def patterns(before, after):
+        ahead = F.when(left > 0, F.slice(split(before), F.lit(2), F.size(split(before)))).otherwise(split(before))
+        behind = F.when(right < length, F.slice(split(after), F.lit(1), F.size(split(after)) - 1)).otherwise(split(after))
+        around = F.transform(
+            F.concat(
+                F.slice(F.concat(F.array(F.lit(""), F.lit("")), words(ahead)), -2, 2),
+                F.slice(F.concat(words(behind), F.array(F.lit(""))), 1, 1),
             ),
-        )[0],
-        lambda p: p.isNotNull(),
-    )
+            clean,
+        )
+        leads = before.rlike(r"[=:][^\p{L}\p{N}]*+$")
+        return F.flatten(
+            F.transform(
+                F.array(around),
+                lambda w: F.array(
+                    F.when((w[1] != "") & (w[0] != ""), F.concat_ws(" ", F.lit("<"), w[0], w[1])),
+                    F.when((w[1] != "") & (w[2] != ""), F.concat_ws(" ", F.lit("<>"), w[1], w[2])),
+                    F.when((w[1] != "") & leads, F.concat_ws(" ", F.lit("="), w[1])),
+                ),
+            )
+        )
+
+    texts = F.array(F.struct(_between(blocks, left, start).alias("before"), _between(blocks, end, right).alias("after")))
+    found = F.flatten(F.transform(texts, lambda t: patterns(t["before"], t["after"])))
+    return F.coalesce(F.filter(found, lambda p: p.isNotNull()), empty)
 
 
 def _strong(value: Column) -> Column:
@@ -164,26 +211,40 @@ def _strong(value: Column) -> Column:
     return value.rlike(r"^(?:[^0-9]*+[0-9]){6}") | value.rlike(r"[A-Za-z0-9]@[A-Za-z0-9]")
 
 
-def _instances(df: DataFrame, text: str) -> DataFrame:
-    """One row per span and lexical pattern: kind (null for candidates), value, pattern."""
+_SEEDS = (*KINDS, "secret")
+_ALL = "array<struct<kind:string,start:int,end:int,value:string,slots:array<string>>>"
+
+
+def all_spans(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``_pii_all``: kind (null for candidates), start, end, value and slots (lexical
+    patterns) of every seed and candidate. ``text`` must not be null."""
+    df = base_spans(df, text)
+    known = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
+    df = _found(df, text, "_pii_secret", SECRET, F.col(text).rlike(SECRET))
+    secret = lambda v: (F.length(F.regexp_replace(v, "[^0-9]", "")) >= 6) & (F.length(F.regexp_replace(v, "[^A-Za-z]", "")) >= 4)
+    df = df.withColumn("_pii_secret", F.filter("_pii_secret", lambda s: secret(s["value"]) & _apart(s, known)))
+    df = candidate_spans(df, text)
     tag = lambda k, c: F.transform(
         c, lambda s: F.struct(F.lit(k).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
     )
-    every = F.concat(*[tag(k, f"_pii_{k}") for k in KINDS], tag(None, "_pii_more"))
-    rows = df.where(F.size(every) > 0).select(F.col(text).alias("_t"), F.explode(every).alias("s"))
-    return rows.select("s.kind", "s.value", F.explode(_slots(F.col("_t"), F.col("s.start"), F.col("s.end"))).alias("pattern"))
+    df = df.withColumn("_pii_all", F.concat(*[tag(k, f"_pii_{k}") for k in _SEEDS], tag(None, "_pii_more")))
+    df = df.withColumn("_pii_blocks", F.when(F.size("_pii_all") > 0, _blocks(F.col(text)))).withColumn("_pii_length", F.length(text))
+    slots = lambda s: _slots(F.col("_pii_blocks"), F.col("_pii_length"), s["start"], s["end"])
+    found = F.transform("_pii_all", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "value")], slots(s).alias("slots")))
+    df = df.withColumn("_pii_all", F.when(F.size("_pii_all") > 0, found).otherwise(F.array().cast(_ALL)))
+    return df.drop("_pii_more", "_pii_blocks", "_pii_length", *[f"_pii_{k}" for k in _SEEDS])
 
 
 def discover(
-    df: DataFrame, text: str, rounds: int = ROUNDS, support: int = SUPPORT, threshold: float = THRESHOLD
+    df: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, threshold: float = THRESHOLD
 ) -> DataFrame:
     """value, kind, patterns: identifiers that the bootstrapping accepts, and the accepted
-    patterns that they stand in. ``df`` has the span
-    columns. Copies of a text add nothing: a pattern counts distinct identifiers, and
+    patterns that they stand in. ``df`` has the spans. Copies of a text add nothing: a pattern counts distinct identifiers, and
     needs ``support`` known ones of a kind. A pattern's confidence is the sum of the
     scores of its identifiers over their number; an identifier's score is one less the
     product of what its patterns leave open; seeds keep score 1."""
-    edges = checkpoint(_instances(df, text).distinct())
+    spans = df.select(F.explode("_pii_all").alias("s"))
+    edges = checkpoint(spans.select("s.kind", "s.value", F.explode("s.slots").alias("pattern")).distinct())
     seeds = edges.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     size = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
     links = edges.select("pattern", "value").distinct()
@@ -211,111 +272,98 @@ def discover(
     return best.join(slots, ["value", "kind"]).groupBy("value", "kind").agg(F.collect_set("pattern").alias("patterns"))
 
 
-def _told(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
-    """The candidates (s, value, slots) that are accepted, with their kind."""
-    return candidates.join(accepted, "value").where(_strong(F.col("value")) | F.arrays_overlap("slots", "patterns"))
+def _told(held: DataFrame, accepted: DataFrame) -> DataFrame:
+    """_pii_row and _pii_new: the candidates of each row that are accepted, with their kind."""
+    each = held.select("_pii_row", F.explode(F.filter("_pii_all", lambda s: s["kind"].isNull())).alias("s"))
+    each = each.select("_pii_row", "s.start", "s.end", "s.value", "s.slots").join(accepted, "value")
+    each = each.where(_strong(F.col("value")) | F.arrays_overlap("slots", "patterns"))
+    return each.groupBy("_pii_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("_pii_new"))
 
 
-def _named(kind: str, spans: Column) -> Column:
-    return F.transform(
-        F.array_sort(spans),
-        lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")),
+def _of(kind: str, spans: str) -> Column:
+    named = F.transform(
+        F.filter(spans, lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     )
+    return F.coalesce(named, F.array().cast("array<struct<start:int,end:int,kind:string>>"))
 
 
-def _joined(columns: list[tuple[str, Column]]) -> Column:
-    return F.array_join(F.concat(*[_named(kind, c) for kind, c in columns]), ",")
+def _joined(columns: list[Column]) -> Column:
+    named = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.concat(*[F.transform(F.array_sort(c), named) for c in columns]), ",")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans),
-    base_sha256, spans (base and discovered), n_more (discovered). Null texts count as
-    empty; repeated rows have a result each; no rows give no rows; other columns of
-    ``docs`` are not read. Only spans move between tasks, never texts."""
+    base_sha256, spans (all: base, secrets, discovered), n_more (those beyond the base)
+    and n_spans. Null texts count as empty; repeated rows have a result each; no rows give
+    no rows; other columns of ``docs`` are not read, so their names may clash with any.
+    Only spans and their lexical patterns move between tasks, never texts. Of an
+    identifier with equally sure kinds the last by name counts."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("_pii_row"),
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("_pii_text"),
     )
-    spans = candidate_spans(base_spans(rows, "_pii_text"), "_pii_text")
-    # Texts are cut to the surroundings of spans before the checkpoint: those without any are dropped.
-    held = checkpoint(spans.withColumn("_pii_text", F.when(F.size("_pii_more") + sum(F.size(f"_pii_{k}") for k in KINDS) > 0, F.col("_pii_text"))))
-    accepted = discover(held, "_pii_text")
-    more = (
-        held.where(F.size("_pii_more") > 0)
-        .select("_pii_row", "_pii_text", F.explode("_pii_more").alias("s"))
-        .select("_pii_row", "s", F.col("s.value").alias("value"), _slots(F.col("_pii_text"), F.col("s.start"), F.col("s.end")).alias("slots"))
-    )
-    more = (
-        _told(more, accepted)
-        .groupBy("_pii_row")
-        .agg(F.collect_list(F.struct(F.col("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("value"))).alias("_pii_new"))
-    )
-    whole = held.drop("_pii_text", "_pii_more").join(more, "_pii_row", "left")
-    new = lambda k: F.transform(
-        F.filter(F.coalesce(F.col("_pii_new"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")), lambda s: s["kind"] == k),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")),
-    )
-    base = [(k, F.col(f"_pii_{k}")) for k in KINDS]
+    held = checkpoint(all_spans(rows, "_pii_text").drop("_pii_text"))
+    whole = held.join(_told(held, discover(held)), "_pii_row", "left")
+    base = [_of(k, "_pii_all") for k in KINDS]
+    every = [F.concat(_of(k, "_pii_all"), _of(k, "_pii_new")) for k in _SEEDS]
+    size = lambda columns: sum(F.size(c) for c in columns).cast("long")
     return whole.select(
         "doc_id",
-        *[F.size(f"_pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(c).cast("long").alias(f"n_{k}") for k, c in zip(KINDS, base)],
         F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined([(k, F.concat(c, new(k))) for k, c in base]).alias("spans"),
-        F.coalesce(F.size("_pii_new"), F.lit(0)).cast("long").alias("n_more"),
+        _joined(every).alias("spans"),
+        (size(every) - size(base)).alias("n_more"),
+        size(every).alias("n_spans"),
     )
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in angle brackets, and
     n_chars, if there, set to the new length. Overlapping spans become one mark, of the
-    kind that begins first. Null texts stay null. Only texts with identifier-like words
-    that no fixed pattern covers are joined with what bootstrapping accepts."""
+    kind that begins first. Null texts stay null; repeated rows are treated alike; no rows
+    give no rows. Columns whose names begin with _pii_ must not be there. Spans are found
+    once and written with the rows to the shared folder; only texts with candidates are
+    joined with what bootstrapping accepts."""
     names = docs.columns
-    rows = docs.withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
-    # The row number in conditions on spans keeps them above the projections that find
-    # spans; pushed below, each would be found many times over.
-    spans = candidate_spans(base_spans(rows, "_pii_text"), "_pii_text").withColumn("_pii_row", F.monotonically_increasing_id())
-    here = F.col("_pii_row") >= 0
-    some = F.size("_pii_more") + sum(F.size(f"_pii_{k}") for k in KINDS)
-    slim = spans.where((some > 0) & here).select("_pii_text", "_pii_more", *[f"_pii_{k}" for k in KINDS])
-    accepted = discover(checkpoint(slim), "_pii_text")
-    keyed = spans.where((F.size("_pii_more") > 0) & here).withColumn("_pii_key", F.md5("_pii_text"))
-    more = (
-        keyed.select("_pii_key", "_pii_text", F.explode("_pii_more").alias("s"))
-        .select("_pii_key", "s", F.col("s.value").alias("value"), _slots(F.col("_pii_text"), F.col("s.start"), F.col("s.end")).alias("slots"))
-        .distinct()
-    )
-    more = (
-        _told(more, accepted)
-        .groupBy("_pii_key")
-        .agg(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), "kind")).alias("_pii_new"))
-    )
-    tag = lambda k: F.transform(f"_pii_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    all_spans = F.array_sort(F.concat(*[tag(k) for k in KINDS], F.coalesce(F.col("_pii_new"), empty)))
-
-    def put(acc, s):
-        apart = s["start"] >= acc["at"]
-        between = F.substring("_pii_text", acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(acc["out"], between, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"),
-        )
+    rows = docs.withColumn("_pii_row", F.monotonically_increasing_id()).withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
+    held = written(all_spans(rows, "_pii_text").drop("_pii_text"), shared_folder(docs.sparkSession, "spans"))
+    open_ = F.exists("_pii_all", lambda s: s["kind"].isNull())
+    asked = held.where(open_)
+    more = _told(asked.select("_pii_row", "_pii_all"), discover(held.select("_pii_all")))
 
     def done(df):
-        marked = F.aggregate(
-            "_pii_spans",
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            put,
-            lambda acc: F.concat(acc["out"], F.substring("_pii_text", acc["at"] + 1, F.length("_pii_text"))),
+        spans = F.concat(*[_of(k, "_pii_all") for k in _SEEDS], F.coalesce("_pii_new", F.array().cast("array<struct<start:int,end:int,kind:string>>")))
+        df = df.withColumn("_pii_marks", F.array_sort(spans)).withColumn("_pii_blocks", F.when(F.size("_pii_marks") > 0, _blocks(F.col(text))))
+        # The farthest end before each span: that of the span before, unless it lies within an earlier one.
+        df = df.withColumn("_pii_ends", F.transform("_pii_marks", lambda s: s["end"]))
+        df = df.withColumn("_pii_ends", _running_greatest(F.col("_pii_ends")))
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get("_pii_ends", i - 1))
+        parts = F.transform(
+            "_pii_marks",
+            lambda s, i: F.when(
+                s["start"] >= before(i),
+                F.concat(_between(F.col("_pii_blocks"), before(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
+            ).otherwise(""),
         )
-        df = df.withColumn("_pii_spans", all_spans)
-        df = df.withColumn(text, F.when(F.size("_pii_spans") > 0, marked).otherwise(F.col(text)))
+        rest = _between(F.col("_pii_blocks"), F.element_at("_pii_ends", -1), F.length(text))
+        marked = F.concat(F.array_join(parts, ""), rest)
+        df = df.withColumn(text, F.when(F.size("_pii_marks") > 0, marked).otherwise(F.col(text)))
         return df.select(*[F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names])
 
-    plain = spans.where((F.size("_pii_more") == 0) & here).withColumn("_pii_new", empty)
-    return reduce(DataFrame.unionByName, [done(plain), done(keyed.join(more, "_pii_key", "left"))])
+    empty = F.lit(None).cast("array<struct<start:int,end:int,kind:string>>")
+    return done(held.where(~open_).withColumn("_pii_new", empty)).unionByName(done(asked.join(more, "_pii_row", "left")))
+
+
+def _running_greatest(values: Column) -> Column:
+    """The greatest of each value and all before it, by blocks, so that no list grows long."""
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(values) / _MATCHES).cast("int") - 1)
+    own = lambda j: F.slice(values, j * _MATCHES + 1, F.lit(_MATCHES))
+    tops = F.transform(blocks, lambda j: F.array_max(own(j)))
+    bases = F.aggregate(tops, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.greatest(F.element_at(acc, -1), x)))
+    inside = lambda j: F.transform(own(j), lambda x, i: F.greatest(F.get(bases, j), F.array_max(F.slice(own(j), F.lit(1), i + 1))))
+    return F.when(F.size(values) > 0, F.flatten(F.transform(blocks, inside))).otherwise(values)
 
 
 def op3_pii(spark, sf_dir):

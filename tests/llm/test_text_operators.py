@@ -120,3 +120,10 @@ def test_long_conversations_spread_over_rows(spark, tmp_path, monkeypatch):
     r = chat.digests(chat.render(df, str(tmp_path / "o"))).collect()[0]
     own = "".join(f"turn {i} " * 5 for i in range(9))
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (9, len(own), hashlib.sha256(own.encode()).hexdigest())
+
+
+def test_keep_leaves_columns_of_any_name_alone(spark):
+    text = "The quick brown fox and the lazy dog have a good day in the big old house by the sea. " * 5
+    text = " ".join(f"{w}{i}" if i % 3 else "the" for i, w in enumerate(text.split()))
+    df = spark.createDataFrame([(1, text, 7, "mine", -1.0), (2, "short", 8, "yours", -2.0), (3, None, 9, None, None)], "doc_id long, text string, n_words int, failed string, `stop_ratio` double")
+    assert [tuple(r) for r in quality_rules.keep(df).collect()] == [(1, text, 7, "mine", -1.0)]
