@@ -33,14 +33,26 @@ def _folds(form: str, ascii_only: bool) -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(to), several
 
 
+def _ranges(characters: dict[str, str], gap: int = 64) -> str:
+    """A pattern of few ranges that holds all characters, and some between them: the time
+    that a pattern takes for each character of a text grows with its parts."""
+    held: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if held and c - held[-1][1] <= gap:
+            held[-1][1] = c
+        else:
+            held.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in held) + "]"
+
+
 def _folded(text: Column, form: str, ascii_only: bool) -> Column:
     one, to, several = _folds(form, ascii_only)
-    found = f"[{''.join(several)}]"
-    table = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")
-    longer = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(found), F.lit(0))), text, lambda acc, c: F.replace(acc, c, F.element_at(table, c))
-    )
-    return F.translate(F.when(text.rlike(found), longer).otherwise(text), one, to) if several else F.translate(text, one, to)
+    if several:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_ranges(several)), F.lit(0)))
+        table = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")
+        known = F.filter(found, lambda c: F.map_contains_key(table, c))
+        text = F.aggregate(known, text, lambda acc, c: F.replace(acc, c, F.element_at(table, c)))
+    return F.translate(text, one, to)
 
 
 def fold(text: Column) -> Column:
