@@ -10,6 +10,7 @@ and the mix is the documents range-sorted by the time at which they are due.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,25 +134,42 @@ def assign(
     )
 
 
+def _numbered(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    return df.withColumn("_mix_number", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mixed documents in training order: the rows of ``docs``, each as often as
-    it is taken, range-sorted by the time at which each copy is due. Repeated ids are
-    told apart by nothing but their text, so each such row is taken as often as one of
-    its rows is. Columns stay those of ``docs``."""
-    plan = assign(docs, doc_id, text, source, **how).where("copies > 0")
-    # Repeated ids share a digest, so one row of each (id, source, size) speaks for all.
-    plan = plan.groupBy("doc_id", "source", "size").agg(
-        *[F.first(c).alias(c) for c in ("source_size", "target", "copies", "_start", "_end")],
-        F.min("_place").alias("_place"),
-    )
-    named = plan.select(*[F.col(c).alias(f"_mix_{c.strip('_')}") for c in plan.columns])
+    """The mixed documents in training order: the rows of ``docs``, each as often as its
+    row of ``assign`` says, range-sorted by the time at which each copy is due. Rows that
+    share id, source and size are told apart by a digest of their text, and those that
+    share that too are alike; each takes one row of the plan, so repeated ids are taken
+    as often as planned. Columns stay those of ``docs``; their names must not begin with
+    _mix_. Null texts and texts without words are never taken; no rows give no rows."""
+    key = ["doc_id", "source", "size"]
+    plan = assign(docs, doc_id, text, source, **how)
+    values = ("source_size", "target", "copies", "_start", "_end", "_place")
+    single = plan.groupBy(*key).agg(*[F.first(c).alias(c) for c in values], F.count("*").alias("rows"), F.max("copies").alias("_most"))
+    single = single.where("_most > 0").drop("_most")
+    named = single.select(*[F.col(c).alias(f"_mix_{c.strip('_')}") for c in single.columns])
+    of_docs = [F.col(doc_id), F.col(source), F.col("_mix_words")]
+    of_plan = [F.col(f"_mix_{c}") for c in key]
     joined = docs.withColumn("_mix_words", word_count(F.col(text))).join(
-        named,
-        F.col(doc_id).eqNullSafe(F.col("_mix_doc_id"))
-        & F.col(source).eqNullSafe(F.col("_mix_source"))
-        & (F.col("_mix_words") == F.col("_mix_size")),
+        named, of_docs[0].eqNullSafe(of_plan[0]) & of_docs[1].eqNullSafe(of_plan[1]) & (of_docs[2] == of_plan[2])
     )
-    copies = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
+    # Rows that share a key are numbered on both sides; the plan's row of that number holds.
+    several = _numbered(joined.where("_mix_rows > 1"), [f"_mix_{c}" for c in key], [F.xxhash64(text)])
+    several = several.drop(*[f"_mix_{c.strip('_')}" for c in values])
+    repeated = single.where("rows > 1").select(*[F.col(c).alias(f"_mix_{c}") for c in key])
+    shared = plan.join(repeated, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_mix_{c}")) for c in key]), "left_semi")
+    shared = _numbered(shared, key, [F.col("_place")]).where("copies > 0")
+    shared = shared.select(
+        *[F.col(c).alias(f"_plan_{c.removeprefix('_mix_')}") for c in (*key, "_mix_number")], *[F.col(c).alias(f"_mix_{c.strip('_')}") for c in values]
+    )
+    same = reduce(lambda x, y: x & y, [F.col(f"_mix_{c}").eqNullSafe(F.col(f"_plan_{c}")) for c in (*key, "number")])
+    several = several.join(shared, same)
+    wanted = [*docs.columns, *[f"_mix_{c.strip('_')}" for c in values]]
+    taken = joined.where("_mix_rows = 1").select(*wanted).unionByName(several.select(*wanted))
+    copies = taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
     position = due(
         F.col("_mix_source_size") * F.col("_mix_copy") + F.col("_mix_place"),
         F.col("_mix_target"),
@@ -167,9 +185,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def op8_mixing(spark, sf_dir):
-    """The plan of the mix over all documents, in training order."""
+    """The plan of the mix over all documents, range-sorted by the position of the first
+    copy; what the mix does not take comes last."""
     plan = assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    last = due(F.col("source_size") * (F.col("copies") - 1) + F.col("_place"), F.col("target"), F.col("_start"), F.col("_end"))
+    order = [F.asc_nulls_last("position"), F.asc("doc_id")]
+    return (
+        plan.withColumn("last_position", F.when(F.col("copies") > 0, last))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "size", "source_size", "target", "taken", *[F.round(c, 6).alias(c) for c in ("position", "last_position")])
+    )
 
 
 OP8_SQL = r"""
@@ -202,5 +228,6 @@ c AS (
     CASE WHEN rk % 2 = 0 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS a,
     CASE WHEN rk % 2 = 0 THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END AS b FROM p)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
-  CASE WHEN copies > 0 THEN round((sqrt(a * a + (b - a) * (place / target * (a + b) / 2) * 2) - a) / (b - a), 6) + 0.0 END AS position
+  CASE WHEN copies > 0 THEN round((sqrt(a * a + (b - a) * (place / target * (a + b) / 2) * 2) - a) / (b - a), 6) + 0.0 END AS position,
+  CASE WHEN copies > 0 THEN round((sqrt(a * a + (b - a) * ((place + (copies - 1) * source_size) / target * (a + b) / 2) * 2) - a) / (b - a), 6) + 0.0 END AS last_position
 FROM c"""

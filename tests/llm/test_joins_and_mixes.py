@@ -103,3 +103,45 @@ def test_schedules_decide_the_order(spark):
     order = [r.source for r in mixing.mix(df, weight=lambda r: r * 0 + 1).collect()]
     half = len(order) // 2
     assert order[:half].count("a") > 1.3 * order[half:].count("a")
+
+
+def test_repeated_ids_are_mixed_as_planned(spark):
+    words = lambda n, w: " ".join([w] * n)
+    rows = [(i % 7 if i % 3 else None, words(5 + i % 4, f"w{i % 5}"), "ab"[i % 9 == 0], i) for i in range(90)]
+    rows += [(3, words(6, "same"), "a", 1000 + i) for i in range(6)] + [(4, None, "a", 2000), (4, " ", None, 2001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").repartition(5)
+    planned, mixed = {}, {}
+    for r in mixing.assign(df).collect():
+        planned[r.doc_id, r.source, r["size"]] = planned.get((r.doc_id, r.source, r["size"]), 0) + r.copies
+    got = mixing.mix(df).collect()
+    for r in got:
+        key = r.doc_id, r.source, len(r.text.split())
+        mixed[key] = mixed.get(key, 0) + 1
+    assert mixed == {k: n for k, n in planned.items() if n}
+    # Each row comes three times at most, and again alike.
+    times = [sum(r["size"] == i for r in got) for i in {r["size"] for r in got}]
+    assert max(times) <= mixing.MOST_REPEATS and all(r["size"] < 2000 for r in got)
+
+
+def test_query_is_sorted_by_position(spark):
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.001"
+    out = mixing.op8_mixing(spark, folder).withColumn("part", F.spark_partition_id()).collect()
+    places = [r.position for r in sorted(out, key=lambda r: r.part) if r.position is not None]
+    assert places == sorted(places) and all(r.last_position >= r.position for r in out if r.position is not None)
+
+
+def test_repeated_rows_join_once(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f G"), (None, "a b c d e f g"), (1, "else"), (7, "a b c d e f x"), (7, "a b c d e f x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.component_ids(df, k=3, threshold=Fraction(3, 5)).collect())
+    assert got == [(0, 5, 1), (1, 1, 1), (1, 5, 1), (1, 5, 1), (2, 5, 1), (7, 5, 1), (7, 5, 1)]
+
+
+def test_a_passage_in_half_of_all_documents(spark):
+    rng, passage = random.Random(9), " ".join(f"p{i}" for i in range(80))
+    rows = [(i, f"{passage} {' '.join(f'w{rng.randrange(60)}' for _ in range(rng.choice([4, 9, 14])))}" if i % 2 else " ".join(f"x{rng.randrange(900)}" for _ in range(60))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.component_ids(df, k=3, threshold=Fraction(9, 10)).collect()}
+    assert got == brute_components(rows, 3, Fraction(9, 10))
