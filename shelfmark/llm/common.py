@@ -1,8 +1,6 @@
 """What several operators of this package share."""
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,28 +8,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.shared import checkpoint, new_folder
+
+__all__ = ["BLANKS", "WORD", "checkpoint", "running_total", "shared_folder", "small_batches", "word_count", "written"]
+
 #: Blanks that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir of
-    the session, which is set here only where nobody has set it (as in tests)."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, so that a lost executor costs no rerun of what came before."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        df.sparkSession.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """A new folder that driver and executors share: under spark.checkpoint.dir."""
+    return new_folder(spark, name)
 
 
 def written(df: DataFrame, folder: str) -> DataFrame:
@@ -62,7 +50,7 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> D
     """Adds the sum of ``value`` over all rows before each row in the given total order.
 
     Rows are range-partitioned by the order (so that no key, however frequent, must fit
-    into one task), kept in a checkpoint, and summed per partition; the driver sees one
+    into one task; only rows alike in the whole order stay together), kept in a checkpoint, and summed per partition; the driver sees one
     number per partition only. ``df`` should be cheap to read twice (a checkpoint)."""
     ranged = checkpoint(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())

@@ -124,8 +124,9 @@ def train(buckets: list[np.ndarray], statistics: np.ndarray, labels: np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Machine:
     """Fits on at most ``most`` rows of ``labels`` (doc_id, label), those with the least
-    digest of their id; both tables may hold more. Null labels and null ids are left out.
-    The driver holds the inputs of those rows, a few kB each."""
+    digest of their id; both tables may hold more. Null labels and null ids are left out. Of
+    documents that share an id one counts (that with the least inputs), and so the driver
+    holds no more than ``most`` rows, a few kB each. Without rows a text's score is 0.5."""
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
         .select(F.col(doc_id).alias("_l"), F.col(label).cast("int").alias("label"))
@@ -151,14 +152,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         F.broadcast(chosen), F.col("doc_id") == F.col("_l")
     )
     got = rows.select("doc_id", "text", "label").mapInArrow(inputs, "doc_id long, label int, buckets binary, statistics binary")
-    got = sorted(map(tuple, got.collect()))
+    once = got.groupBy("doc_id", "label").agg(F.min(F.struct("buckets", "statistics")).alias("x")).select("doc_id", "label", "x.*")
+    got = sorted(map(tuple, once.collect()))
     buckets = [np.frombuffer(r[2], np.int32) for r in got]
     statistics = np.array([np.frombuffer(r[3], np.float32) for r in got], np.float64).reshape(-1, STATISTICS)
     return train(buckets, statistics, np.array([r[1] for r in got], np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of every row. Null texts count as empty; they have a score too."""
+    """doc_id and score of every row. Null texts count as empty; they have a score too. Texts
+    of any length are read whole; repeated rows have a score each; no rows give no rows;
+    other columns of ``docs`` are not read, so their names may clash."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.vectors))
 
     def run(batches):

@@ -166,11 +166,13 @@ def judge(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) ->
 
 
 def keep(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects. The row number in the condition keeps
-    the optimizer from copying the measures into a filter below their projection, which
-    would compute each many times over."""
-    judged = judge(docs, text, base, rules).withColumn("_q_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
+    """The rows of ``docs`` that no rule rejects, with all their columns as they are: these
+    travel in one struct, so that no measure can take the place of a column of that name.
+    The row number in the condition keeps the optimizer from copying the measures into a
+    filter below their projection, which would compute each many times over."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_doc"), F.col(text).alias("_q_own"))
+    judged = judge(packed, "_q_own", base, rules).withColumn("_q_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_q_row") >= 0)).select("_q_doc.*")
 
 
 def op2_quality_rules(spark, sf_dir):
