@@ -69,10 +69,23 @@ def confidence_split(spark, d):
     return g.select("block", "cluster", "members", state.alias("state"))
 
 
-@named("""SELECT lower(p_name) AS alias, arg_max(p_name, (length(p_name), p_name)) AS display, count(DISTINCT p_partkey) AS beans, round(avg(p_size), 6) AS elevation FROM part GROUP BY 1""")
+@named(_CLUSTERS + """, e2 AS (SELECT p.block, c.cluster, avg(p.confidence) AS confidence FROM p JOIN c ON c.block = p.block AND c.name = p.a GROUP BY ALL)
+SELECT block, cluster, count(*) AS members, sum(n)::BIGINT AS total, coalesce(round(max(confidence), 6), 1.0)::DOUBLE AS confidence FROM c JOIN n USING (block, name) LEFT JOIN e2 USING (block, cluster) GROUP BY ALL""")
+def cluster_summary(spark, d):
+    """Members and rows of each cluster with the mean confidence of its merges; a name on
+    its own has 1."""
+    c = clusters(spark, d)
+    edges = merges(spark, d).where("merge").select("block", F.col("a").alias("name"), "confidence").join(c.select("block", "name", "cluster"), ["block", "name"])
+    mean = edges.groupBy("block", "cluster").agg(F.avg("confidence").alias("confidence"))
+    g = c.groupBy("block", "cluster").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    return g.join(mean, ["block", "cluster"], "left").withColumn("confidence", F.coalesce(F.round("confidence", 6), F.lit(1.0)))
+
+
+@named("""WITH x AS (SELECT *, lower(p_name) AS alias FROM part), k AS (SELECT alias, p_brand, count(*) AS n FROM x GROUP BY ALL), m AS (SELECT alias, p_brand AS producer FROM k QUALIFY row_number() OVER (PARTITION BY alias ORDER BY n DESC, p_brand) = 1)
+SELECT alias, arg_max(p_name, (length(p_name), p_name)) AS display, count(DISTINCT p_partkey) AS beans, round(avg(p_size), 6) AS elevation, any_value(producer) AS producer FROM x JOIN m USING (alias) GROUP BY alias""")
 def alias_group_profile(spark, d):
     g = table(spark, d, "part").groupBy(bare_name(F.col("p_name")).alias("alias"))
-    return g.agg(F.max_by("p_name", F.struct(F.length("p_name"), "p_name")).alias("display"), F.count_distinct("p_partkey").alias("beans"), F.round(F.avg("p_size"), 6).alias("elevation"))
+    return g.agg(F.max_by("p_name", F.struct(F.length("p_name"), "p_name")).alias("display"), F.count_distinct("p_partkey").alias("beans"), F.round(F.avg("p_size"), 6).alias("elevation"), F.mode("p_brand", True).alias("producer"))
 
 
 @named("""WITH saved(name, cluster) AS (VALUES ('red bolt', 'bolts'), ('blue bolt', 'bolts'), ('gone', 'none')) SELECT coalesce(cluster, p_name) AS cluster, count(DISTINCT p_name) AS members, count(*) AS n FROM part LEFT JOIN saved ON name = p_name GROUP BY 1""")

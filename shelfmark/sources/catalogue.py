@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfmark.functions.text import bare_name
+
 #: Read-time schemas (fixed field names of the file formats).
 SNAPSHOT = (
     "name string, roaster string, url string, is_single_origin boolean, price_paid_for_green_coffee double, "
@@ -91,9 +93,14 @@ def region_mappings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def farm_mappings(spark: SparkSession, path: str) -> DataFrame:
-    """country, region, alias, farm: one row per alias."""
-    rows = spark.read.schema("country string, region string, canonical_farm_name string, normalized_farm_names array<string>").option("multiLine", True).json(path)
-    return rows.select("country", "region", F.explode("normalized_farm_names").alias("alias"), F.col("canonical_farm_name").alias("farm"))
+    """country, region, alias, farm: one row per alias. Names as they were found are
+    normalised here, those of the list of normalised names once more."""
+    schema = "country string, region string, canonical_farm_name string, normalized_farm_names array<string>, original_farm_names array<string>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    none = F.array().cast("array<string>")
+    every = F.concat(F.coalesce("normalized_farm_names", none), F.coalesce("original_farm_names", none))
+    named = rows.select("country", "region", F.explode(every).alias("raw"), F.col("canonical_farm_name").alias("farm"))
+    return named.select("country", "region", bare_name(F.col("raw")).alias("alias"), "farm").where("alias <> ''").distinct()
 
 
 def rates(spark: SparkSession, path: str, fetched_at: str) -> DataFrame:
@@ -124,12 +131,41 @@ def unprocessed(spark: SparkSession, folder: str, glob: str, ledger: DataFrame |
     """file_path, checksum of files that the ledger (file_path, checksum) lacks; with
     ``by_content`` also those that changed. Contents are hashed where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    listed = files.select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("checksum"))
+    listed = files.select(F.col("_metadata.file_path").alias("file_path"), F.sha2("content", 256).alias("checksum"))
     if ledger is None:
         return listed
     return listed.join(ledger, ["file_path", "checksum"] if by_content else ["file_path"], "left_anti").select("file_path", "checksum")
 
 
+def refreshed(spark: SparkSession, folder: str, raw: DataFrame | None = None, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Snapshot rows and ledger after a folder has changed: rows of files that are gone or
+    changed leave, new and changed files are read, all other rows stay as they are. Without
+    ``raw`` everything is read. The star schema follows from the rows by pure functions.
+    The driver lists the files to read, as it does for any scan."""
+    now = unprocessed(spark, folder, "*.json", None)
+    if raw is None or ledger is None:
+        return snapshots(spark, folder), now
+    fresh = now.join(ledger, ["file_path", "checksum"], "left_anti")
+    stale = ledger.join(now, ["file_path", "checksum"], "left_anti").select(F.col("file_path").alias("filename"))
+    kept = raw.join(stale, "filename", "left_anti").select(*raw.columns)
+    return kept.unionByName(snapshots(spark, [r.file_path for r in fresh.select("file_path").collect()]).select(*raw.columns)), now
+
+
+def with_audio(episodes: DataFrame, audio: DataFrame, columns: list[str], kind: str, kinds: str = "media_type") -> DataFrame:
+    """Audio columns (by id) merged into episodes of one kind; values that are there stay
+    where the metadata has none, and other kinds keep theirs."""
+    found = audio.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_a_{c}") for c in columns])
+    joined = episodes.join(found, (F.col("id") == F.col("_id")) & (F.col(kinds) == kind), "left")
+    put = lambda c: F.coalesce(f"_a_{c}", c).alias(c) if c in episodes.columns else F.col(f"_a_{c}").alias(c)
+    rest = [c for c in episodes.columns if c not in columns]
+    return joined.select(*rest, *[put(c) for c in columns])
+
+
+def written_sorted(df: DataFrame, path: str, order: list[str], form: str = "json") -> None:
+    """A small table as one file in a total order, so that equal tables give equal files."""
+    df.orderBy(*order).coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").format(form).option("header", True).option("ignoreNullFields", False).save(path)
+
+
 def failed_days(spark: SparkSession, path: str) -> DataFrame:
     """owner, day, failed from a log whose header lines (``=== yyyy-mm-dd``) date the
     lines after them (``OK owner`` or ``FAIL owner``); a success on a day beats a

@@ -83,3 +83,45 @@ def test_mapping_and_media(spark, tmp_path):
     assert t["episodes"].collect()[0].podcast_name == "show one"
     assert [r.entity_id for r in t["entities"].collect()] == ["e1_0_0"]
     assert t["segments"].select(F.col("episode_id")).collect()[0][0] == "e1"
+
+
+def test_refresh_reads_only_what_changed(spark, tree):
+    folder = str(tree / "in")
+    raw, ledger = C.refreshed(spark, folder)
+    kept = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    raw, ledger = kept(raw), kept(ledger)
+    new = {"name": "Three", "url": "u4", "scraped_at": "2025-01-03T00:00:00+00:00"}
+    (tree / "in/acme/20250103").mkdir()
+    (tree / "in/acme/20250103/three_101010.json").write_text(json.dumps(new))
+    (tree / "in/acme/20250101/two_101010.json").write_text(json.dumps({**new, "name": "Two!", "url": "u2"}))
+    (tree / "in/acme/20250101/one_101010.json").unlink()
+    # A row that no file has any more tells what was kept and what was read again.
+    marked = raw.withColumn("description", F.lit("kept"))
+    after, now = C.refreshed(spark, folder, marked, ledger)
+    rows = sorted((r.filename.rpartition("/")[2], r.description) for r in after.collect())
+    assert rows == [("nameless_101010.json", "kept"), ("one_111111.json", "kept"), ("three_101010.json", None), ("two_101010.json", None)]
+    assert sorted(map(tuple, etl.beans(after).select("url", "name").collect())) == sorted(map(tuple, etl.beans(C.refreshed(spark, folder)[0]).select("url", "name").collect()))
+    again, _ = C.refreshed(spark, folder, kept(after), kept(now))
+    assert again.count() == 4 and C.snapshots(spark, [str(tree / "in/acme/20250103/three_101010.json")]).first().name == "Three"
+
+
+def test_farm_names_are_normalised_when_read(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps([{"country": "CO", "region": "huila", "canonical_farm_name": "La Paz", "normalized_farm_names": ["la paz"], "original_farm_names": ["Finca La Paz", "La Páz Coffee Farm", "Lapaz "]}]))
+    assert sorted(r.alias for r in C.farm_mappings(spark, str(tmp_path / "f.json")).collect()) == ["la paz", "lapaz"]
+
+
+def test_patch_days_and_dimensions(spark, tree):
+    assert [tuple(r) for r in C.patch_days(spark, str(tree / "in")).collect()] == [("acme", "20250102")]
+    (tree / "d.csv").write_text("a,code\n1,007\n2,\n")
+    assert [tuple(r) for r in C.dimension(spark, str(tree / "d.csv"), "a int, code string").collect()] == [(1, "007"), (2, None)]
+
+
+def test_audio_merge_and_sorted_files(spark, tmp_path):
+    e = spark.createDataFrame([("a", "podcast", None), ("b", "podcast", 5), ("c", "video", None)], "id string, media_type string, seconds int")
+    audio = spark.createDataFrame([("a", 7), ("b", None), ("c", 9)], "id string, seconds int")
+    assert sorted(tuple(r) for r in C.with_audio(e, audio, ["seconds"], "podcast").fillna(-1).collect()) == [("a", "podcast", 7), ("b", "podcast", 5), ("c", "video", -1)]
+    texts = []
+    for n in (1, 4):
+        C.written_sorted(e.repartition(n), str(tmp_path / f"o{n}"), ["id"])
+        texts.append("".join(p.read_text() for p in sorted((tmp_path / f"o{n}").glob("part-*"))))
+    assert texts[0] == texts[1] and texts[0].splitlines()[0] == '{"id":"a","media_type":"podcast","seconds":null}'
