@@ -1,9 +1,9 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A text's bytes, padded with zeros to rows of 64, become an 8-bit grayscale PNG. Each
-distinct payload is stored once, as a member of a tar shard named by its digest; rows
-carry digest, shard, offset and length. Metadata columns need only the first bytes of a
-member; features need all of them.
+distinct payload is stored once, as a member of a tar shard named by its SHA-256; rows
+carry digest, shard, offset and length. Texts that pad to one payload share it. Metadata
+columns need only the first bytes of a member; features need all of them.
 """
 from __future__ import annotations
 
@@ -23,11 +23,11 @@ from .common import checkpoint, shared_folder, small_batches
 WIDTH = 64
 LEVEL = 6
 SHARD_BYTES = 64 << 20
-#: Rows of a broadcast (some 60 bytes each); beyond it the same join shuffles.
-MOST_BROADCAST = 200_000
+#: Bits of the broadcast map of digests that several rows have (8 MB), at any size of input.
+BITS = 1 << 26
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _HEADER_BYTES = 33
-INDEX = "key binary, digest string, shard string, start long, length long"
+INDEX = "digest binary, shard string, start long, length long"
 
 
 def payload(text: str | None) -> bytes:
@@ -110,50 +110,77 @@ class _Shards:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, n_bytes and the digest of the payload."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.unhex(F.md5(body)).alias("key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.octet_length(body).alias("n_bytes"))
+    pad = F.when(F.col("n_bytes") == 0, WIDTH).otherwise(F.pmod(-F.col("n_bytes"), F.lit(WIDTH)))
+    padded = F.concat(F.col("text"), F.repeat(F.lit("\0"), pad))
+    return rows.select("doc_id", "text", F.col("n_bytes").cast("long").alias("n_bytes"), F.unhex(F.sha2(padded, 256)).alias("digest"))
 
 
-def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Writes the shards; returns rows (doc_id, n_bytes, key), one per row of ``docs``,
-    and the index (columns as in INDEX), one row per distinct text.
+def _bits(digest: str):
+    """The word and the bit that stand for a digest."""
+    place = F.pmod(F.xxhash64(digest), F.lit(BITS))
+    return F.floor(place / 64), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({digest}), {BITS}L), 64L) as int))")
+
 
-    The document with the smallest id of those with one text stores it; texts stay in
-    the task that read them. Only which rows are such copies is joined in: by broadcast
-    up to MOST_BROADCAST rows, by a shuffle beyond. Rows that repeat both id and text may
-    be stored by several tasks; the index names one. Null texts count as empty."""
+def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Writes the shards; returns rows (doc_id, n_bytes, digest, shard, start, length), one
+    per row of ``docs``, and the index (columns as in INDEX), one row per payload.
+
+    A bitmap of the digests that several rows have, of the same size for any input, is
+    broadcast; payloads not in it are stored by the task that reads them. The others (and
+    the few that share a bit with one) move once a task to the task that owns their
+    digest. Null texts count as empty; rows may repeat; no rows give no rows; other columns
+    of ``docs`` are not read."""
     keyed = _keyed(docs, doc_id, text)
-    rows = checkpoint(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "key"))
-    owners = rows.groupBy("key").agg(F.min("doc_id").alias("_owner"), F.count("*").alias("_n")).where("_n > 1")
-    copies = checkpoint(
-        rows.join(owners, "key").where(~F.col("doc_id").eqNullSafe(F.col("_owner"))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    )
-    if copies.count() <= MOST_BROADCAST:
-        copies = F.broadcast(copies)
-    first = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left_anti")
+    rows = checkpoint(keyed.select("doc_id", "n_bytes", "digest"))
+    word, bit = _bits("digest")
+    several = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    bitmap = several.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    marked = keyed.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
+    marked = marked.select("digest", "text", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)).alias("moves"))
+
+    def placed(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", "shard", "start", "length", "text"]
+        )
 
     def write(batches):
-        shards, seen = _Shards(folder), set()
-        for batch in batches:
-            for part in small_batches([batch], "text"):
-                out: list[tuple] = []
-                for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
-                    if key not in seen:
-                        data = payload(text)
-                        digest = hashlib.sha256(data).hexdigest()
-                        out.append((key, digest, *shards.add(digest, encode_png(data))))
-                # Only repeats of one row can be met twice here; those stand close together.
-                seen = {o[0] for o in out}
-                columns = list(zip(*out)) or [[]] * 5
-                kinds = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "digest", "shard", "start", "length"]
-                )
+        """Stores each payload that stays; of those that move, passes one on of what was met lately."""
+        shards, lately = _Shards(folder), set()
+        for batch in small_batches(batches, "text"):
+            out: list[tuple] = []
+            for digest, text, moves in zip(*[batch.column(c).to_pylist() for c in ("digest", "text", "moves")]):
+                if not moves:
+                    out.append((digest, *shards.add(digest.hex(), encode_png(payload(text))), None))
+                elif digest not in lately:
+                    lately.add(digest)
+                    out.append((digest, None, None, None, text))
+            if len(lately) > 1 << 16:
+                lately.clear()
+            yield placed(out)
+        shards.close()
+
+    def write_once(batches):
+        """Rows in order of their digest: the first of each is stored."""
+        shards, last = _Shards(folder), None
+        for batch in small_batches(batches, "text"):
+            out: list[tuple] = []
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
+                if digest != last:
+                    last = digest
+                    out.append((digest, *shards.add(digest.hex(), encode_png(payload(text))), None))
+            yield placed(out)
         shards.close()
 
-    index = checkpoint(first.select("key", "text").mapInArrow(write, INDEX))
-    once = index.groupBy("key").agg(F.min(F.struct("shard", "start", "length", "digest")).alias("i"))
-    return rows, once.select("key", "i.digest", "i.shard", "i.start", "i.length")
+    schema = f"{INDEX}, text string"
+    first = checkpoint(marked.mapInArrow(write, schema))
+    moved = first.where("shard IS NULL").select("digest", "text").repartition("digest").sortWithinPartitions("digest")
+    index = first.where("shard IS NOT NULL").unionByName(checkpoint(moved.mapInArrow(write_once, schema))).drop("text")
+    return rows.join(index, "digest"), index
 
 
 def _reading(folder: str, names: list[str], schema, each):
@@ -188,42 +215,42 @@ def _by_shard(index: DataFrame) -> DataFrame:
 
 
 def metadata(index: DataFrame, folder: str) -> DataFrame:
-    """key, width, height, bits: from the first 33 bytes of each member."""
+    """digest, width, height, bits: from the first 33 bytes of each member."""
 
     def each(read, row):
-        return row["key"], *png_header(read(row["start"], _HEADER_BYTES))
+        return row["digest"], *png_header(read(row["start"], _HEADER_BYTES))
 
-    names, kinds = ["key", "width", "height", "bits"], [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-    return _by_shard(index).mapInArrow(_reading(folder, names, kinds, each), "key binary, width long, height long, bits int")
+    names, kinds = ["digest", "width", "height", "bits"], [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    return _by_shard(index).mapInArrow(_reading(folder, names, kinds, each), "digest binary, width long, height long, bits int")
 
 
 def features(index: DataFrame, folder: str) -> DataFrame:
-    """key and what the stored bytes say: payload_bytes, payload_sha256, tail_crc32,
+    """digest and what the stored bytes say: payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature (size from the header; sum, largest and number of
     distinct samples). A payload that does not match its digest raises."""
 
     def each(read, row):
         raw = read(row["start"], row["length"])
         data = decode_png(raw)
-        digest = hashlib.sha256(data).hexdigest()
-        if digest != row["digest"]:
-            raise ValueError(f"payload {row['digest']} is damaged")
+        digest = hashlib.sha256(data)
+        if digest.digest() != row["digest"]:
+            raise ValueError(f"payload {row['digest'].hex()} is damaged")
         samples = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         total, top = int(samples @ np.arange(256)), int(np.flatnonzero(samples)[-1])
         width, height, bits = png_header(raw[:_HEADER_BYTES])
         feature = f"{width}x{height}x{bits}:{total}:{top}:{int((samples > 0).sum())}"
-        return row["key"], len(data), digest, zlib.crc32(data[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
+        return row["digest"], len(data), digest.hexdigest(), zlib.crc32(data[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
 
-    names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     return _by_shard(index).mapInArrow(
         _reading(folder, names, kinds, each),
-        "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
 
 
 def op5_media(spark, sf_dir):
     folder = shared_folder(spark, "media")
     rows, index = store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    sizes = metadata(index, folder).select("key", "width", "height")
-    return rows.join(features(index, folder), "key").join(sizes, "key").drop("key")
+    sizes = metadata(index, folder).select("digest", "width", "height")
+    return rows.join(features(index, folder).join(sizes, "digest"), "digest").drop("digest")
