@@ -157,10 +157,11 @@ _CLASSED = """WITH x AS (SELECT l.doc_id, l.quality, length(regexp_replace(text,
 
 
 def classed(spark, d):
-    """Labelled documents with the share of odd marks as a score."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    """Labelled documents with the share of odd marks as a score, which is made before the
+    join, so that no text moves."""
     share = F.length(F.regexp_replace("text", "[^#*$%&|<>!]", "")).cast("double") / (F.length("text") + 1)
-    return table(spark, d, "labels").select("doc_id", "quality").join(docs, "doc_id").select("doc_id", "quality", share.alias("s"))
+    docs = table(spark, d, "documents").select("doc_id", share.alias("s"))
+    return table(spark, d, "labels").select("doc_id", "quality").join(docs, "doc_id").select("doc_id", "quality", "s")
 
 
 @named(_CLASSED + """, t AS (SELECT i / 100.0::DOUBLE AS th FROM range(101) r(i)), c AS (SELECT th, count(*) FILTER (s >= th AND quality = 0) AS tp, count(*) FILTER (s >= th AND quality = 1) AS fp, count(*) FILTER (s < th AND quality = 0) AS fn FROM t, x GROUP BY th)
