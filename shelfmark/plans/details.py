@@ -3,6 +3,7 @@ by the target's own facets, limits, caches, drift gates and metrics."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions import classes as C
 from shelfmark.functions.text import slug
 from shelfmark.operators import boolsearch as B
 from shelfmark.operators import quality as Q
@@ -320,3 +321,20 @@ def point_metrics(spark, d):
     ratio = lambda a, b: F.coalesce(F.round(F.try_divide(a, b), 6), F.lit(0.0))
     tp, fp, fn = (F.col(x) for x in ("tp", "fp", "fn"))
     return c.select("tp", "fp", "fn", "tn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(tp * 2, tp * 2 + fp + fn).alias("f1"))
+
+
+_SAMPLES = ("Washed", "Honey Anaerobic", "Natural, rose infused", "Swiss Water", "Wet-Hulled", "Long fermentation", "Experimental lot", "SL28, SL14", "Red Catuai", "Pink Bourbon", "F1", "")
+
+
+def _class_sql(column, classes):
+    whens = " ".join(f"WHEN regexp_matches({column}, '{C.pattern(name, words)}') THEN '{name}'" for name, words in classes)
+    return f"CASE {whens} ELSE 'other' END"
+
+
+@named(f"""WITH s AS (SELECT unnest({list(_SAMPLES)}) AS sample, unnest(range({len(_SAMPLES)})) AS i), x AS (SELECT p_brand, lower(sample || ' ' || p_name) AS t FROM part JOIN s ON i = p_partkey % {len(_SAMPLES)})
+SELECT {_class_sql("t", C.PROCESS_CLASSES)} AS process, {_class_sql("t", C.VARIETY_CLASSES)} AS variety, count(*) AS n, count(DISTINCT p_brand) AS brands FROM x GROUP BY ALL""")
+def keyword_classes(spark, d):
+    """Parts by the classes of their process and variety, by ordered keyword rules."""
+    sample = F.element_at(F.array(*[F.lit(x) for x in _SAMPLES]), (F.col("p_partkey") % len(_SAMPLES) + 1).cast("int"))
+    p = table(spark, d, "part").withColumn("t", F.concat_ws(" ", sample, "p_name"))
+    return p.groupBy(C.process_class(F.col("t")).alias("process"), C.variety_class(F.col("t")).alias("variety")).agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("brands"))

@@ -65,3 +65,13 @@ def test_bm25_counts_whole_words(spark):
     idf, mean = (lambda df_: np.log(1 + (4 - df_ + 0.5) / (df_ + 0.5))), (3 + 1 + 0 + 2) / 4
     part = lambda tf, n, df_: idf(df_) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
     assert got.keys() == {1, 4} and np.isclose(got[1], part(2, 3, 1) + part(1, 3, 2)) and np.isclose(got[4], part(1, 2, 2))
+
+
+def test_keyword_classes(spark):
+    from shelfmark.functions import classes as C
+
+    processes = {"Washed Anaerobic": "anaerobic_carbonic", "Lavado": "washed", "Peach Co-Ferment": "infused_cofermented", "Barrel aged natural": "barrel_aged", "Sun-Dried": "natural", "Mosto": "advanced_technical", "Giling Basah": "wet_hulled", None: "other", "": "other"}
+    varieties = {"Pink Bourbon": "heirloom", "Red Bourbon": "bourbon", "SL14": "sl_varieties", "Red Catuai": "bourbon", "Gesha": "geisha", "Castillo": "hybrid", "Maragogype": "large_bean", "Bourbon Ají": "heirloom", None: "other"}
+    for cases, of in ((processes, C.process_class), (varieties, C.variety_class)):
+        df = spark.createDataFrame([(x,) for x in cases], "t string").select("t", of(F.col("t")).alias("c"))
+        assert {r.t: r.c for r in df.collect()} == cases
