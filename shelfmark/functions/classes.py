@@ -100,3 +100,80 @@ def process_class(text: Column) -> Column:
 
 def variety_class(text: Column) -> Column:
     return first_class(text, VARIETY_CLASSES)
+
+
+#: Texts anywhere in a URL that no product page has.
+EXCLUDED_IN_URL = (
+    "v60",
+    "chemex",
+    "aeropress",
+    "bialetti",
+    "kalita",
+    "hario",
+    "timemore",
+    "origami",
+    "abaca",
+    "baratza",
+    "comandante",
+    "wilfa",
+    "bonavita",
+    "moccamaster",
+    "grinder",
+    "tumbler",
+    "shirt",
+    "t-shirt",
+    "tote",
+    "hoodie",
+    "clothing",
+    "capsules",
+    "capsulas",
+    "compostables",
+    "k-cup",
+    "gift-card",
+    "tarjetas-regalo",
+    "giftcard",
+    "subscription",
+    "surprise",
+    "cupping",
+    "ticket",
+    "workshop",
+    "-tote-",
+    "test-roast",
+    "discovery",
+    "descubrimiento",
+    "equipment",
+    "grinder",
+    "merch",
+    "merchandise",
+    "checkout",
+    "account",
+    "login",
+    "contact",
+    "about",
+    "shipping",
+    "privacy",
+    "terms",
+    "admin",
+    "advent",
+)
+#: Texts in the path of a URL that no product page has.
+EXCLUDED_IN_PATH = ("/cart", "/checkout", "/account", "/login", "/contact", "/about", "/shipping", "/privacy", "/terms", "/admin", "/api")
+#: A product page has one of these, unless others are asked for.
+PRODUCT_PATHS = ("/product/", "/products/", "/shop/p/")
+#: Marks of a kit for tasting.
+KIT_MARKS = ("taster-pack", "taster_pack", "sample-pack", "sampler", "tasting-kit", "tasting-set")
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "|".join(map(re.escape, dict.fromkeys(words)))
+
+
+def product_url(url: Column, required: tuple[str, ...] = PRODUCT_PATHS) -> Column:
+    """Whether a URL may be a product page; null and empty ones are not."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    path = F.regexp_extract(low, r"^(?:[a-z][a-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return low.rlike(_any(required)) & ~low.rlike(_any(EXCLUDED_IN_URL)) & ~path.rlike(_any(EXCLUDED_IN_PATH))
+
+
+def kit_url(url: Column) -> Column:
+    return F.lower(F.coalesce(url, F.lit(""))).rlike(_any(KIT_MARKS))

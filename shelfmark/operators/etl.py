@@ -7,10 +7,10 @@ with a full country name gets its canonical region too.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import bare_name, fold, slug
+from shelfmark.functions.text import bare_name, fold, slug, title
 from shelfmark.operators.money import to_base_for_load, with_rate
 from shelfmark.operators.versions import apply_patches, latest_by, stock_status, surrogate_ids
 
@@ -57,6 +57,28 @@ def beans(raw: DataFrame, patch_days: DataFrame | None = None) -> DataFrame:
     return surrogate_ids(joined, ["name", "owner_dir", "url"], "id")
 
 
+def row_rules() -> list[tuple[str, Column]]:
+    """What a snapshot's row must keep to (names and conditions, for ``quality.violations``);
+    nulls keep to all, and so do heights of 0, which stand for unknown ones."""
+    number = lambda c: F.col(c).try_cast("double")
+    heights = F.transform("origins", lambda o: F.array(o["elevation_min"].try_cast("double"), o["elevation_max"].try_cast("double")))
+    places = lambda field, most: F.forall("origins", lambda o: F.coalesce(o[field].try_cast("double").between(-most, most), F.lit(True)))
+    return [
+        ("price", number("price") >= 0),
+        ("weight", number("weight").between(50, 10_000)),
+        ("cupping_score", F.col("cupping_score").between(70, 100)),
+        ("elevation", F.forall(F.flatten(heights), lambda h: F.coalesce(h.between(0, 3000), F.lit(True)))),
+        ("latitude", places("latitude", 90)),
+        ("longitude", places("longitude", 180)),
+    ]
+
+
+def clean_notes(notes: Column) -> Column:
+    """Notes without blanks at their ends, in title case, each once in order; null if none."""
+    cleaned = F.array_distinct(F.filter(F.transform(notes, lambda n: title(F.btrim(n))), lambda n: n.isNotNull() & (n != "")))
+    return F.when(F.size(cleaned) > 0, cleaned)
+
+
 def origins(beans: DataFrame, countries: DataFrame, regions: DataFrame, farms: DataFrame) -> DataFrame:
     """One row per distinct origin of a bean, with canonical region and farm.
     ``countries``: name, code. ``regions``: country, region, state (a null state marks an

@@ -338,3 +338,16 @@ def keyword_classes(spark, d):
     sample = F.element_at(F.array(*[F.lit(x) for x in _SAMPLES]), (F.col("p_partkey") % len(_SAMPLES) + 1).cast("int"))
     p = table(spark, d, "part").withColumn("t", F.concat_ws(" ", sample, "p_name"))
     return p.groupBy(C.process_class(F.col("t")).alias("process"), C.variety_class(F.col("t")).alias("variety")).agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("brands"))
+
+
+_LEAVES = ("/products/red", "/product/v60-set", "/shop/p/tasting-kit?x=/cart", "/products/x#/api", "/api/products/y", "/collections/z", "/PRODUCTS/Sampler", "/products/about-us")
+
+
+@named(f"""WITH s AS (SELECT unnest({list(_LEAVES)}) AS leaf, unnest(range({len(_LEAVES)})) AS i), x AS (SELECT page_id, lower(regexp_extract(url, 'https?://[^/]+') || leaf) AS u FROM pages JOIN s ON i = page_id % {len(_LEAVES)})
+SELECT page_id, regexp_matches(u, '{C._any(C.PRODUCT_PATHS)}') AND NOT regexp_matches(u, '{C._any(C.EXCLUDED_IN_URL)}') AND NOT regexp_matches(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1), '{C._any(C.EXCLUDED_IN_PATH)}') AS product,
+ regexp_matches(u, '{C._any(C.KIT_MARKS)}') AS kit FROM x""")
+def product_urls(spark, d):
+    """Product pages and kits by excluded and required parts of their URLs."""
+    leaf = F.element_at(F.array(*[F.lit(x) for x in _LEAVES]), (F.col("page_id") % len(_LEAVES) + 1).cast("int"))
+    p = table(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("url", "https?://[^/]+", 0), leaf).alias("u"))
+    return p.select("page_id", C.product_url(F.col("u")).alias("product"), C.kit_url(F.col("u")).alias("kit"))

@@ -125,3 +125,19 @@ def test_audio_merge_and_sorted_files(spark, tmp_path):
         C.written_sorted(e.repartition(n), str(tmp_path / f"o{n}"), ["id"])
         texts.append("".join(p.read_text() for p in sorted((tmp_path / f"o{n}").glob("part-*"))))
     assert texts[0] == texts[1] and texts[0].splitlines()[0] == '{"id":"a","media_type":"podcast","seconds":null}'
+
+
+def test_rows_break_the_bounds_they_break(spark, tmp_path):
+    from shelfmark.operators.quality import violations
+
+    rows = [
+        {"name": "a", "price": "-1", "weight": "49", "cupping_score": 69.5, "origins": [{"elevation_min": "3001", "latitude": "91", "longitude": "-181"}]},
+        {"name": "b", "price": "0", "weight": "10000", "cupping_score": 100, "origins": [{"elevation_min": "0", "elevation_max": None, "latitude": "x"}, {}]},
+        {"name": "c", "tasting_notes": [" plum ", "PLUM", "", "green apple", None]},
+    ]
+    for r in rows:
+        (tmp_path / f"o/20250101/{r['name']}_101010.json").parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"o/20250101/{r['name']}_101010.json").write_text(json.dumps(r))
+    raw = C.snapshots(spark, str(tmp_path)).select("name", violations(etl.row_rules()).alias("broken"), etl.clean_notes(F.col("tasting_notes")).alias("notes"))
+    got = {r.name: (r.broken, r.notes) for r in raw.collect()}
+    assert got == {"a": (["price", "weight", "cupping_score", "elevation", "latitude", "longitude"], None), "b": ([], None), "c": ([], ["Plum", "Green Apple"])}
