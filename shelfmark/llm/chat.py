@@ -103,7 +103,8 @@ def render(turns: DataFrame, folder: str, visitor: Visitor | None = None) -> Dat
     then role and parts, so that ties have one order; null roles are empty, null parts
     too, a null conv_id is a conversation of its own. A conversation streams through its
     task turn by turn; one longer than MOST_CHARS is spread over several rows, of whole
-    turns each. No turns give no rows."""
+    turns each. Repeated turns are kept. No turns give no rows; other columns of ``turns``
+    are not read, so their names may clash."""
     visitor = visitor or Visitor()
 
     def write(batches):

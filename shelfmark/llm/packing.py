@@ -163,8 +163,9 @@ def pack(
     keep_ids: bool = False,
 ) -> DataFrame:
     """The pieces with their sequence_id and offset. The driver sees the histogram of
-    lengths (``capacity`` rows at most). Repeated rows are packed once each; no rows give
-    no rows. With ``keep_ids`` the ids stay with each piece, for ``sequences``."""
+    lengths (``capacity`` rows at most). Repeated rows are packed once each, pieces alike in
+    length, id and number in any order among themselves; no rows give no rows; other columns
+    of ``docs`` are not read, so their names may clash. With ``keep_ids`` the ids stay with each piece, for ``sequences``."""
     cut = checkpoint(pieces(docs, doc_id, text, path, capacity, end_id, keep_ids))
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     first, sequences, offsets = _slots(histogram, capacity)

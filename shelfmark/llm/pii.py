@@ -52,20 +52,21 @@ _SPAN = "array<struct<start:int,end:int,value:string>>"
 _MATCHES, _BLOCK = 128, 4096
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though lambdas within use it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(matches: Column, pieces: Column) -> Column:
     """Places (code points, end exclusive) of the matches that split a text into pieces.
     Lengths are summed by blocks of matches first, so that no fold grows a long list."""
-    each = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
     blocks = F.sequence(F.lit(0), F.ceil(F.size(matches) / _MATCHES).cast("int") - 1)
-    sums = F.transform(blocks, lambda j: F.aggregate(F.slice(each, j * _MATCHES + 1, F.lit(_MATCHES)), F.lit(0), lambda x, y: x + y))
-    bases = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    cut = lambda array, j: F.slice(array, j * _MATCHES + 1, F.lit(_MATCHES))
 
-    def block(j):
-        own = F.slice(matches, j * _MATCHES + 1, F.lit(_MATCHES))
-        before = F.slice(pieces, j * _MATCHES + 1, F.lit(_MATCHES))
+    def block(own, before, at):
         return F.aggregate(
             F.sequence(F.lit(1), F.size(own)),
-            F.struct(F.get(bases, j).alias("at"), F.array().cast(_SPAN).alias("out")),
+            F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")),
             lambda acc, i: F.struct(
                 (acc["at"] + F.length(F.element_at(before, i)) + F.length(F.element_at(own, i))).alias("at"),
                 F.array_append(
@@ -80,7 +81,16 @@ def _spans(matches: Column, pieces: Column) -> Column:
             lambda acc: acc["out"],
         )
 
-    return F.when(F.size(matches) > 0, F.flatten(F.transform(blocks, block))).otherwise(F.array().cast(_SPAN))
+    def placed(each):
+        sums = F.transform(blocks, lambda j: F.aggregate(cut(each, j), F.lit(0), lambda x, y: x + y))
+        bases = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+        whole = lambda b: F.flatten(
+            F.transform(blocks, lambda j: _let(cut(matches, j), lambda own: _let(cut(pieces, j), lambda before: block(own, before, F.get(b, j)))))
+        )
+        return _let(bases, whole)
+
+    each = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+    return F.when(F.size(matches) > 0, _let(each, placed)).otherwise(F.array().cast(_SPAN))
 
 
 def _luhn(digits: Column) -> Column:
@@ -127,39 +137,55 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df
 
 
-def _apart(s: Column, spans: Column) -> Column:
-    return ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+#: Stands for each character of a span that is known, where more is looked for.
+_MASK = "\x01"
+
 
+def _masked(df: DataFrame, spans: str) -> DataFrame:
+    """Overwrites spans (in order, none within another) in the column _pii_mask."""
 
-def candidate_spans(df: DataFrame, text: str) -> DataFrame:
+    def parts(blocks, own):
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(own, i - 1)["end"])
+        each = F.transform(
+            own, lambda s, i: F.concat(_between(blocks, before(i), s["start"]), F.repeat(F.lit(_MASK), s["end"] - s["start"]))
+        )
+        return F.concat(F.array_join(each, ""), _between(blocks, F.element_at(own, -1)["end"], F.length("_pii_mask")))
+
+    masked = _let(_blocks(F.col("_pii_mask")), lambda blocks: _let(F.col(spans), lambda own: parts(blocks, own)))
+    return df.withColumn("_pii_mask", F.when(F.size(spans) > 0, masked).otherwise(F.col("_pii_mask")))
+
+
+def candidate_spans(df: DataFrame) -> DataFrame:
     """Adds ``_pii_more``: identifier-like words and runs of them, without the marks at
-    their edges, that touch no seed. A word of a free run is no candidate itself."""
-    known = F.concat(*[F.col(f"_pii_{k}") for k in _SEEDS])
-    df = _found(df, text, "_pii_run", RUN, F.col(text).rlike(r"[0-9)]\x20[^A-Za-z0-9]*+[0-9]"))
-    df = df.withColumn("_pii_run", F.filter("_pii_run", lambda s: _apart(s, known)))
-    df = _found(df, text, "_pii_said", SPOKEN, F.col(text).rlike(f"(?i){_DOT}"))
-    df = df.withColumn("_pii_run", F.concat("_pii_run", F.filter("_pii_said", lambda s: _apart(s, F.col("_pii_run"))))).drop("_pii_said")
-    df = _found(df, text, "_pii_more", WORD, F.col(text).rlike("[0-9@]"))
-    df = df.withColumn("_pii_more", F.concat("_pii_run", F.filter("_pii_more", lambda s: _apart(s, F.col("_pii_run"))))).drop("_pii_run")
+    their edges, that touch no seed. A word of a free run is no candidate itself. What is
+    known is overwritten in ``_pii_mask`` first, so that nothing that touches it is left."""
+    here = F.col("_pii_mask")
+    free = lambda name: F.filter(name, lambda s: ~s["value"].contains(_MASK))
+    df = _found(df, "_pii_mask", "_pii_run", RUN, here.rlike(r"[0-9)]\x20[^A-Za-z0-9]*+[0-9]")).withColumn("_pii_run", free("_pii_run"))
+    df = _masked(df, "_pii_run")
+    df = _found(df, "_pii_mask", "_pii_said", SPOKEN, here.rlike(f"(?i){_DOT}")).withColumn("_pii_said", free("_pii_said"))
+    df = _masked(df, "_pii_said")
+    df = _found(df, "_pii_mask", "_pii_word", WORD, here.rlike("[0-9@]")).withColumn("_pii_word", free("_pii_word"))
     core = lambda v: F.regexp_extract(v, r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])", 1)
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^A-Za-z0-9]*+", 0))
     trimmed = F.transform(
-        "_pii_more",
+        F.concat("_pii_run", "_pii_said", "_pii_word"),
         lambda s: F.struct(
             (s["start"] + lead(s["value"])).alias("start"),
             (s["start"] + lead(s["value"]) + F.length(core(s["value"]))).alias("end"),
             core(s["value"]).alias("value"),
         ),
     )
-    df = df.withColumn("_pii_more", trimmed)
-    return df.withColumn("_pii_more", F.filter("_pii_more", lambda s: (s["value"] != "") & _apart(s, known)))
+    df = df.withColumn("_pii_more", F.filter(trimmed, lambda s: s["value"] != ""))
+    return df.drop("_pii_run", "_pii_said", "_pii_word")
 
 
 def _blocks(text: Column) -> Column:
     """A text in blocks, so that a place far behind is reached without counting from the start."""
-    return F.transform(
-        F.sequence(F.lit(0), F.floor(F.length(text) / _BLOCK).cast("int")), lambda j: F.substring(text, j * _BLOCK + 1, F.lit(_BLOCK))
+    cut = lambda t: F.transform(
+        F.sequence(F.lit(0), F.floor(F.length(t) / _BLOCK).cast("int")), lambda j: F.substring(t, j * _BLOCK + 1, F.lit(_BLOCK))
     )
+    return _let(text, cut)
 
 
 def _between(blocks: Column, start: Column, end: Column) -> Column:
@@ -179,9 +205,7 @@ def _slots(blocks: Column, length: Column, start: Column, end: Column) -> Column
     words = lambda c: F.filter(c, lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
     def patterns(before, after):
-        ahead = F.when(left > 0, F.slice(split(before), F.lit(2), F.size(split(before)))).otherwise(split(before))
-        behind = F.when(right < length, F.slice(split(after), F.lit(1), F.size(split(after)) - 1)).otherwise(split(after))
-        around = F.transform(
+        around = lambda ahead, behind: F.transform(
             F.concat(
                 F.slice(F.concat(F.array(F.lit(""), F.lit("")), words(ahead)), -2, 2),
                 F.slice(F.concat(words(behind), F.array(F.lit(""))), 1, 1),
@@ -189,16 +213,15 @@ def _slots(blocks: Column, length: Column, start: Column, end: Column) -> Column
             clean,
         )
         leads = before.rlike(r"[=:][^\p{L}\p{N}]*+$")
-        return F.flatten(
-            F.transform(
-                F.array(around),
-                lambda w: F.array(
-                    F.when((w[1] != "") & (w[0] != ""), F.concat_ws(" ", F.lit("<"), w[0], w[1])),
-                    F.when((w[1] != "") & (w[2] != ""), F.concat_ws(" ", F.lit("<>"), w[1], w[2])),
-                    F.when((w[1] != "") & leads, F.concat_ws(" ", F.lit("="), w[1])),
-                ),
-            )
+        told = lambda w: F.array(
+            F.when((w[1] != "") & (w[0] != ""), F.concat_ws(" ", F.lit("<"), w[0], w[1])),
+            F.when((w[1] != "") & (w[2] != ""), F.concat_ws(" ", F.lit("<>"), w[1], w[2])),
+            F.when((w[1] != "") & leads, F.concat_ws(" ", F.lit("="), w[1])),
         )
+        # A word that the edge of the window may have cut is left out.
+        first = lambda ws: F.when(left > 0, F.slice(ws, F.lit(2), F.size(ws))).otherwise(ws)
+        last = lambda ws: F.when(right < length, F.slice(ws, F.lit(1), F.size(ws) - 1)).otherwise(ws)
+        return _let(split(before), lambda b: _let(split(after), lambda a: _let(around(first(b), last(a)), told)))
 
     texts = F.array(F.struct(_between(blocks, left, start).alias("before"), _between(blocks, end, right).alias("after")))
     found = F.flatten(F.transform(texts, lambda t: patterns(t["before"], t["after"])))
@@ -218,12 +241,13 @@ _ALL = "array<struct<kind:string,start:int,end:int,value:string,slots:array<stri
 def all_spans(df: DataFrame, text: str) -> DataFrame:
     """Adds ``_pii_all``: kind (null for candidates), start, end, value and slots (lexical
     patterns) of every seed and candidate. ``text`` must not be null."""
-    df = base_spans(df, text)
-    known = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
-    df = _found(df, text, "_pii_secret", SECRET, F.col(text).rlike(SECRET))
+    df = base_spans(df, text).withColumn("_pii_mask", F.col(text))
+    for kind in KINDS:
+        df = _masked(df, f"_pii_{kind}")
+    df = _found(df, "_pii_mask", "_pii_secret", SECRET, F.col("_pii_mask").rlike(SECRET))
     secret = lambda v: (F.length(F.regexp_replace(v, "[^0-9]", "")) >= 6) & (F.length(F.regexp_replace(v, "[^A-Za-z]", "")) >= 4)
-    df = df.withColumn("_pii_secret", F.filter("_pii_secret", lambda s: secret(s["value"]) & _apart(s, known)))
-    df = candidate_spans(df, text)
+    df = df.withColumn("_pii_secret", F.filter("_pii_secret", lambda s: secret(s["value"])))
+    df = candidate_spans(_masked(df, "_pii_secret"))
     tag = lambda k, c: F.transform(
         c, lambda s: F.struct(F.lit(k).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
     )
@@ -232,7 +256,7 @@ def all_spans(df: DataFrame, text: str) -> DataFrame:
     slots = lambda s: _slots(F.col("_pii_blocks"), F.col("_pii_length"), s["start"], s["end"])
     found = F.transform("_pii_all", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "value")], slots(s).alias("slots")))
     df = df.withColumn("_pii_all", F.when(F.size("_pii_all") > 0, found).otherwise(F.array().cast(_ALL)))
-    return df.drop("_pii_more", "_pii_blocks", "_pii_length", *[f"_pii_{k}" for k in _SEEDS])
+    return df.drop("_pii_more", "_pii_blocks", "_pii_length", "_pii_mask", *[f"_pii_{k}" for k in _SEEDS])
 
 
 def discover(
@@ -337,18 +361,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         spans = F.concat(*[_of(k, "_pii_all") for k in _SEEDS], F.coalesce("_pii_new", F.array().cast("array<struct<start:int,end:int,kind:string>>")))
         df = df.withColumn("_pii_marks", F.array_sort(spans)).withColumn("_pii_blocks", F.when(F.size("_pii_marks") > 0, _blocks(F.col(text))))
         # The farthest end before each span: that of the span before, unless it lies within an earlier one.
-        df = df.withColumn("_pii_ends", F.transform("_pii_marks", lambda s: s["end"]))
-        df = df.withColumn("_pii_ends", _running_greatest(F.col("_pii_ends")))
-        before = lambda i: F.when(i == 0, 0).otherwise(F.get("_pii_ends", i - 1))
-        parts = F.transform(
-            "_pii_marks",
-            lambda s, i: F.when(
-                s["start"] >= before(i),
-                F.concat(_between(F.col("_pii_blocks"), before(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
-            ).otherwise(""),
-        )
-        rest = _between(F.col("_pii_blocks"), F.element_at("_pii_ends", -1), F.length(text))
-        marked = F.concat(F.array_join(parts, ""), rest)
+        ends = _let(F.transform("_pii_marks", lambda s: s["end"]), _running_greatest)
+
+        def parts(marks, ends, blocks):
+            before = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+            put = lambda s, i: F.concat(_between(blocks, before(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            each = F.transform(marks, lambda s, i: F.when(s["start"] >= before(i), put(s, i)).otherwise(""))
+            return F.concat(F.array_join(each, ""), _between(blocks, F.element_at(ends, -1), F.length(text)))
+
+        marked = _let(F.col("_pii_marks"), lambda m: _let(ends, lambda e: _let(F.col("_pii_blocks"), lambda b: parts(m, e, b))))
         df = df.withColumn(text, F.when(F.size("_pii_marks") > 0, marked).otherwise(F.col(text)))
         return df.select(*[F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names])
 
@@ -359,11 +380,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 def _running_greatest(values: Column) -> Column:
     """The greatest of each value and all before it, by blocks, so that no list grows long."""
     blocks = F.sequence(F.lit(0), F.ceil(F.size(values) / _MATCHES).cast("int") - 1)
-    own = lambda j: F.slice(values, j * _MATCHES + 1, F.lit(_MATCHES))
-    tops = F.transform(blocks, lambda j: F.array_max(own(j)))
+    cut = lambda j: F.slice(values, j * _MATCHES + 1, F.lit(_MATCHES))
+    tops = F.transform(blocks, lambda j: F.array_max(cut(j)))
     bases = F.aggregate(tops, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.greatest(F.element_at(acc, -1), x)))
-    inside = lambda j: F.transform(own(j), lambda x, i: F.greatest(F.get(bases, j), F.array_max(F.slice(own(j), F.lit(1), i + 1))))
-    return F.when(F.size(values) > 0, F.flatten(F.transform(blocks, inside))).otherwise(values)
+    inside = lambda own, base: F.transform(own, lambda x, i: F.greatest(base, F.array_max(F.slice(own, F.lit(1), i + 1))))
+    whole = lambda b: F.flatten(F.transform(blocks, lambda j: _let(cut(j), lambda own: inside(own, F.get(b, j)))))
+    return F.when(F.size(values) > 0, _let(bases, whole)).otherwise(values)
 
 
 def op3_pii(spark, sf_dir):

@@ -1,3 +1,9 @@
+import random
+import re
+import time
+
+from pyspark.sql import functions as F
+
 from shelfmark.llm import pii
 
 
@@ -27,3 +33,71 @@ def test_marks_before_an_identifier_are_skipped(spark):
     seed = lambda i: f"my tel - +1 555 000 {1000 + i} is new"
     found, _ = told(spark, seed, 'my tel = "5550001234" is new', "1.2.3.4 5551234 x")
     assert found == [[("phone", "5550001234")], [("ip", "1.2.3.4")]]
+
+
+def test_secrets_are_seeds_and_lead_to_others(spark):
+    key = lambda i: f"{i:04d}" + "0c497b5014f705c0be648d68b816f88c2091"
+    seed = lambda i: f'word{i % 5}x token = "{key(i)}" then'
+    found, red = told(spark, seed, 'here token = "short99" then', "a long_but_harmless_word_without_any_figures b", "token 77 of 99", "abcdefghijklmnopqrstuvwxyz123456")
+    assert found == [[("secret", "short99")], [], [], [("secret", "abcdefghijklmnopqrstuvwxyz123456")]]
+    assert red[0] == 'here token = "<SECRET>" then' and red[2] == "token 77 of 99"
+
+
+def brute_discover(rows, rounds, support, threshold):
+    links = {(v, p) for _, v, slots in rows for p in slots}
+    seeds = {(v, k) for k, v, slots in rows if k and slots}
+    of_pattern, of_value = {}, {}
+    for v, p in links:
+        of_pattern.setdefault(p, set()).add(v)
+        of_value.setdefault(v, set()).add(p)
+    known = {s: 1.0 for s in seeds}
+    for _ in range(rounds):
+        sure = {}
+        for p, values in of_pattern.items():
+            for kind in {k for _, k in known}:
+                scores = [known[v, kind] for v in values if (v, kind) in known]
+                if sum(s >= threshold for s in scores) >= support and sum(scores) / len(values) >= threshold:
+                    sure[p, kind] = sum(scores) / len(values)
+        told_ = {}
+        for (p, kind), c in sure.items():
+            for v in of_pattern[p]:
+                if v not in {s for s, _ in seeds}:
+                    told_[v, kind] = told_.get((v, kind), 1.0) * (1 - min(c, 1 - 1e-9))
+        known = {s: 1.0 for s in seeds} | {k: 1 - x for k, x in told_.items()}
+    best = {}
+    for (v, kind), x in known.items():
+        if (v, kind) not in seeds and v not in {s for s, _ in seeds} and x >= threshold:
+            best[v] = max(best.get(v, (0.0, "")), (x, kind))
+    return {v: (kind, sorted(p for p in of_value[v] if (p, kind) in sure)) for v, (_, kind) in best.items()}
+
+
+def test_discovery_equals_brute_force(spark):
+    rng = random.Random(7)
+    words = ["call", "fax", "ring", "mail", "code", "no"]
+    rows = []
+    for i in range(400):
+        a, b, c = (rng.choice(words) for _ in range(3))
+        if a in ("call", "mail") and rng.random() < 0.9:  # contexts of seeds
+            value = f"+1 555 000 {1000 + rng.randrange(60)}" if a == "call" else f"u{rng.randrange(60)}@x{rng.randrange(9)}.org"
+        else:
+            value = rng.choice([f"5550{rng.randrange(40):04d}", f"id{rng.randrange(30)}", f"n{rng.randrange(9)}@host"])
+        rows.append((i, f"{a} {b}{rng.choice([' ', ': ', ' = '])}{value} {c} end"))
+    df = spark.createDataFrame(rows, "doc_id long, t string")
+    held = pii.checkpoint(pii.all_spans(df, "t").select("_pii_all"))
+    spans = [(s.kind, s.value, s.slots) for r in held.collect() for s in r._pii_all]
+    for support, threshold in ((3, 0.8), (2, 0.6)):
+        got = {r.value: (r.kind, sorted(r.patterns)) for r in pii.discover(held, support=support, threshold=threshold).collect()}
+        assert got and got == brute_discover(spans, pii.ROUNDS, support, threshold)
+
+
+def test_texts_with_very_many_spans(spark):
+    text = " ".join(f"+1 555 {i:07d} é" for i in range(50_000))
+    rows = [(1, text, "clash"), (2, "x" * 1_000_000 + " a@b.cd " + "y " * 100_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert got[1].n_phone == 50_000 and got[1].spans.split(",") == [f"phone:{m.start()}:{m.end()}" for m in re.finditer(r"\+1 555 [0-9]{7}", text)]
+    assert got[2].spans == "email:1000001:1000007"
+    red = {r.doc_id: r.text for r in pii.redact(df).where(F.col("doc_id") > 0).collect()}
+    assert red[1] == re.sub(r"\+1 555 [0-9]{7}", "<PHONE>", text) and red[2] == rows[1][1].replace("a@b.cd", "<EMAIL>")
+    assert time.time() - began < 150
