@@ -2,13 +2,14 @@
 
 Three Parquet tables in one folder of the shared store:
 
-* ``packed/kind=chunk``: each distinct chunk once: its SHA-256, number of ids and ids
-  (``width`` bytes each, little-endian). A rolling hash over the last WINDOW ids decides
+* ``packed/kind=chunk``: each distinct chunk once: its ids (``width`` bytes each, as few as
+  hold them, little-endian), their number, and the SHA-256 of those bytes. A rolling hash over the last WINDOW ids decides
   where a chunk ends, so that equal passages give equal chunks wherever they stand.
 * ``recipes``: one row per document in ascending doc_id order: start, n_tokens, the
   digests of its chunks in order, and the Merkle root over them.
-* ``manifest``: one row per segment of SEGMENT tokens: its documents and the root over
-  theirs. Reading recomputes digests, roots and segments, and stops at any mismatch.
+* ``manifest``: a Merkle tree over the documents' roots. At level 0 a row for each segment
+  of SEGMENT tokens, above it one for FANOUT nodes below, up to the one root of the store.
+  Reading recomputes digests, roots and nodes, and stops at any mismatch.
 """
 from __future__ import annotations
 
@@ -29,6 +30,7 @@ WINDOW = 16
 ZERO_BITS = 9
 LEAST, MOST = 64, 4096
 SEGMENT = 1 << 20
+FANOUT = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POLY = 0xEDB88320
 
@@ -106,28 +108,35 @@ def crc_shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return _times(shift, crc)
 
 
+def _digest(body: bytes, width: int) -> bytes:
+    """Of a chunk's bytes; one more byte tells wide ids from as many bytes of narrow ones."""
+    return hashlib.sha256(body if width == 2 else body + b"\x04").digest()
+
+
 def _chunks(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) -> DataFrame:
     def cut(batches):
-        for batch in small_batches(batches, "text", 1 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             ids, counts = encoder(path).encode(batch.column("text"))
-            wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+            wide = max(end_id, int(ids.max()) if len(ids) else 0) > 0xFFFF
             out: list[list] = [[] for _ in range(8)]
-            seen, width = set(), 4 if wide else 2
+            seen: set[bytes] = set()
             ends = np.cumsum(counts) + np.arange(1, len(counts) + 1)
             whole = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
+            narrow = whole.astype("<u2").tobytes()
             asked = marks(whole) if len(whole) else whole
             slots = np.searchsorted(asked, np.append(0, ends), side="right")
             first = 0
             for k, (row, doc, last) in enumerate(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), ends.tolist())):
                 begin, n = 0, last - first
                 for end in cuts((asked[slots[k] : slots[k + 1]] - first).tolist(), n):
-                    part = whole[first + begin : first + end]
-                    raw = part.tobytes()
-                    digest = hashlib.sha256(raw).digest()
+                    raw, width = narrow[(first + begin) * 2 : (first + end) * 2], 2
+                    if wide and int(whole[first + begin : first + end].max()) > 0xFFFF:
+                        raw, width = whole[first + begin : first + end].tobytes(), 4
+                    digest = _digest(raw, width)
                     body = None
                     if digest not in seen:
                         seen.add(digest)
-                        body = raw if wide else part.astype("<u2").tobytes()
+                        body = raw
                     for c, v in zip(out, (digest, body, row, doc, begin, end - begin, n, width)):
                         c.append(v)
                     begin = end
@@ -162,15 +171,26 @@ def _once(batches):
             )
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    parts = recipes.groupBy(F.floor(F.col("start") / SEGMENT).alias("segment")).agg(
-        F.count("*").alias("n_docs"),
-        F.min("start").alias("first"),
-        F.sort_array(F.collect_list(F.struct("start", F.hex("root").alias("root")))).alias("roots"),
-    )
-    return parts.select(
-        "segment", "n_docs", "first", F.sha2(F.array_join(F.transform("roots", lambda r: r["root"]), ""), 256).alias("root")
+def _nodes(below: DataFrame, level: int, place: str, size: int, n_docs) -> DataFrame:
+    """Nodes over what stands below (``place`` in order, root in hex): a digest of digests."""
+    parts = below.groupBy(F.floor(F.col(place) / size).alias("node")).agg(
+        n_docs.alias("n_docs"), F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct(place, "root"))).alias("roots")
     )
+    root = F.sha2(F.array_join(F.transform("roots", lambda r: r["root"]), ""), 256)
+    return parts.select(F.lit(level).alias("level"), "node", "n_docs", "first", root.alias("root"))
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """level, node, n_docs, first (token), root. A segment holds no more documents than
+    tokens; the levels above are as many as the number of segments has digits."""
+    leaves = recipes.select("start", F.col("start").alias("first"), F.hex("root").alias("root"))
+    level = checkpoint(_nodes(leaves, 0, "start", SEGMENT, F.count("*")))
+    every, last, k = level, level.agg(F.max("node")).first()[0] or 0, 0
+    while last:
+        last, k = last // FANOUT, k + 1
+        level = _nodes(level, k, "node", FANOUT, F.sum("n_docs"))
+        every = every.unionByName(level)
+    return every
 
 
 _RECIPE = "row long, doc_id long, start long, n_tokens long, chunks array<struct<begin:long,n:long,digest:binary>>, root binary"
@@ -222,12 +242,12 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _checked(batches):
-    """Chunks as read from the files: their digest must be that of their ids."""
+    """Chunks as read from the files: their digest must be that of their bytes."""
     for batch in batches:
         out: list[list] = [[], [], []]
         for digest, body, width in zip(*[batch.column(c).to_pylist() for c in ("digest", "body", "width")]):
             raw = body if width == 4 else np.frombuffer(body, "<u2").astype("<u4").tobytes()
-            if hashlib.sha256(raw).digest() != digest:
+            if _digest(body, width) != digest:
                 raise ValueError(f"chunk {digest.hex()} does not match its digest")
             for c, v in zip(out, (digest, len(raw) // 4, zlib.crc32(raw))):
                 c.append(v)
@@ -270,11 +290,11 @@ _USES = "row long, doc_id long, start long, n_tokens long, begin long, n long, d
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> None:
-    """Raises if a segment of the recipes does not match the manifest."""
+    """Raises if a node over the recipes does not match the manifest."""
     again = _manifest(spark.read.schema(_RECIPE).parquet(f"{folder}/recipes"))
     stored = spark.read.schema(again.schema).parquet(f"{folder}/manifest")
     if wrong := again.exceptAll(stored).union(stored.exceptAll(again)).take(1):
-        raise ValueError(f"segment {wrong[0]['segment']} does not match the manifest")
+        raise ValueError(f"node {wrong[0]['node']} of level {wrong[0]['level']} does not match the manifest")
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:

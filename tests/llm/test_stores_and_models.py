@@ -1,4 +1,5 @@
 import glob
+import hashlib
 import random
 import tarfile
 import zlib
@@ -61,6 +62,30 @@ def test_token_store_round_trip(spark, tmp_path):
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
+def test_store_of_a_whole_table_gives_every_document_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SEGMENT", 4096)
+    monkeypatch.setattr(token_store, "FANOUT", 4)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long_ = spark.createDataFrame([(10**9, "the end " * 250_000), (10**9 + 1, None)], "doc_id long, text string")
+    docs, folder = docs.select("doc_id", "text").unionByName(long_), str(tmp_path / "store")
+    token_store.write(docs, folder)
+    file = Tokenizer.from_file(default_path())
+    want = {r.doc_id: np.array([*file.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
+    got = {r.doc_id: r for r in token_store.read(spark, folder).collect()}
+    sums = {r.doc_id: r for r in token_store.checksums(spark, folder).collect()}
+    assert got.keys() == want.keys() == sums.keys()
+    start = 0
+    for i in sorted(want):
+        own = want[i].tobytes()
+        assert bytes(got[i].ids) == own and (got[i].start, got[i].n_tokens) == (start, len(want[i]))
+        assert (sums[i].start, sums[i].n_tokens, sums[i].ids_crc32) == (start, len(want[i]), zlib.crc32(own))
+        start += len(want[i])
+    tree = spark.read.parquet(f"{folder}/manifest").collect()
+    top = max(r.level for r in tree)
+    assert top >= 3 and [r.n_docs for r in tree if r.level == top] == [len(want)]
+    assert all(sum(r.n_docs for r in tree if r.level == k) == len(want) for k in range(top + 1))
+
+
 def test_damaged_store_is_noticed(spark, tmp_path):
     folder = str(tmp_path / "store")
     token_store.write(frame(spark), folder)
@@ -88,17 +113,25 @@ def test_crc_of_parts_is_that_of_the_whole():
 
 
 def test_media_round_trip(spark, tmp_path):
-    folder = str(tmp_path / "media")
-    rows, index = media.store(frame(spark), folder)
-    assert index.count() == len({t or "" for t in TEXTS})  # one for each distinct text
-    members = {m.name for f in glob.glob(f"{folder}/*.tar") for m in tarfile.open(f)}
-    found = {r.doc_id: r for r in rows.join(media.features(index, folder), "key").join(media.metadata(index, folder), "key").collect()}
-    for i, t in enumerate(TEXTS):
-        data, r = media.payload(t), found[i]
-        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len((t or "").encode()), len(data), zlib.crc32(data[-64:]))
-        assert f"{r.payload_sha256}.png" in members and (r.width, r.height, r.bits) == (64, len(data) // 64, 8)
-        assert media.decode_png(media.encode_png(data)) == data
-    assert found[6].feature == found[7].feature
+    folder, texts = str(tmp_path / "media"), TEXTS + ["\0" * 64, "a\0", "a", "long " * 300_000]
+    df = frame(spark, texts)
+    rows, index = media.store(df.unionByName(df.where("doc_id in (2, 5)")), folder)
+    distinct = {media.payload(t) for t in texts}
+    assert index.count() == len(distinct)  # one for each payload
+    members = [m.name for f in glob.glob(f"{folder}/*.tar") for m in tarfile.open(f)]
+    assert sorted(members) == sorted(f"{hashlib.sha256(p).hexdigest()}.png" for p in distinct)
+    every = rows.join(media.features(index, folder), "digest").join(media.metadata(index, folder), "digest").collect()
+    assert len(every) == len(texts) + 2
+    for r in every:
+        data = media.payload(texts[r.doc_id])
+        stored = open(f"{folder}/{r.shard}", "rb").read()[r.start : r.start + r.length]
+        samples = np.frombuffer(data, np.uint8)
+        assert media.decode_png(stored) == data and media.decode_png(media.encode_png(data)) == data
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((texts[r.doc_id] or "").encode()), len(data), hashlib.sha256(data).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.width, r.height, r.bits) == (64, len(data) // 64, 8)
+        assert r.feature == f"64x{len(data) // 64}x8:{int(samples.sum(dtype=np.int64))}:{samples.max()}:{len(set(data))}"
+    assert media.store(df.limit(0), folder)[0].count() == 0
 
 
 def test_packing_places_every_piece_without_gaps(spark):
