@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A cache of this many segments becomes the old one, and a new one begins.
-MOST_KEPT = 140_000
+MOST_KEPT = 170_000
 #: Bytes that tell which segments were met once, by a digest; most never come again.
 _MET = 1 << 21
 #: Bytes of texts whose segments are told apart at a time.
