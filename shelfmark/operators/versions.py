@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.shared import checkpoint
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key with the greatest order columns (give a total order). Null
@@ -25,9 +27,13 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 def surrogate_ids(df: DataFrame, order: list[str], out: str = "id", after: int = 0) -> DataFrame:
     """Dense numbers from ``after`` + 1 in a total order: numbers within range
-    partitions plus the sizes of those before, so that no task sees all rows."""
+    partitions plus the sizes of those before, so that no task sees all rows.
+
+    The ranges are kept in a checkpoint before sizes and rows are read from them: a range
+    exchange samples its own bounds each time it is planned, and adaptive execution may
+    merge its partitions otherwise, so two plans of it never agree on partition numbers."""
     parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    parted = parted.withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33))
+    parted = checkpoint(parted.withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33)))
     sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -29,6 +29,23 @@ def test_surrogate_ids_are_dense(spark):
     assert [r.n for r in got] == list(range(6, 1006))
 
 
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_surrogate_ids_over_many_partitions(spark, merged):
+    """Wide rows, small partitions: sizes and rows must come from one partitioning."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.enabled": merged}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        wide = spark.range(0, 60_000, 1, 9).select((F.col("id") * 7919 % 60_000).alias("id"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 4).alias("filler"))
+        got = V.surrogate_ids(wide, ["id"], "n")
+        assert got.count() == 60_000
+        assert got.where("n <> id + 1").isEmpty() and got.select("n").distinct().count() == 60_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_merge_with_tombstones_and_upserts(spark):
     df = spark.createDataFrame([("k", 1, False), ("k", 2, True), ("j", 1, False)], "k string, v int, gone boolean")
     assert [r.k for r in V.lww_merge(df, "k", ["v"], F.col("gone")).collect()] == ["j"]
