@@ -8,6 +8,7 @@ from .packing import op10_packing
 from .pii import op3_pii
 from .quality_model import op6_quality_model
 from .quality_rules import OP2_SQL, op2_quality_rules
+from .token_counts import op13_token_counts
 from .token_store import op4_token_store
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE = {
     "op1_ngram_join": OP1_SQL,
