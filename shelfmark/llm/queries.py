@@ -1,6 +1,7 @@
 """The registered queries of this package, and SQL where SQL can express them."""
 from .chat import OP7_SQL, op7_chat
 from .html_text import op9_html_text
+from .lexical import OP11_SQL, op11_lexical_search
 from .media import op5_media
 from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
+    "op11_lexical_search": op11_lexical_search,
     "op13_token_counts": op13_token_counts,
 }
 ORACLE = {
@@ -29,4 +31,5 @@ ORACLE = {
     "op2_quality_rules": OP2_SQL,
     "op7_chat": OP7_SQL,
     "op8_mixing": OP8_SQL,
+    "op11_lexical_search": OP11_SQL,
 }
