@@ -4,6 +4,7 @@ from .html_text import op9_html_text
 from .lexical import OP11_SQL, op11_lexical_search
 from .media import op5_media
 from .mixing import OP8_SQL, op8_mixing
+from .negatives import OP12_SQL, op12_hard_negatives
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .packing import op10_packing
 from .pii import op3_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_counts": op13_token_counts,
 }
 ORACLE = {
@@ -32,4 +34,5 @@ ORACLE = {
     "op7_chat": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op11_lexical_search": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
