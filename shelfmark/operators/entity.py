@@ -7,32 +7,136 @@ from pyspark.sql import functions as F
 from shelfmark.shared import checkpoint
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 less the edit distance over the longer length; 1 for two empty names."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
-
-
-def token_set_similarity(a: Column, b: Column) -> Column:
-    """The best similarity among the shared words, and the shared words with each side's
-    own: word order and repeats do not count."""
-    words = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
-    wa, wb = words(a), words(b)
-    both = F.array_join(F.array_intersect(wa, wb), " ")
-    left = F.btrim(F.concat_ws(" ", both, F.array_join(F.array_except(wa, wb), " ")))
-    right = F.btrim(F.concat_ws(" ", both, F.array_join(F.array_except(wb, wa), " ")))
-    shared = F.when(both == "", 0.0).otherwise(F.greatest(similarity(both, left), similarity(both, right)))
-    return F.greatest(shared, similarity(left, right))
-
-
-def candidate_pairs(df: DataFrame, block: str, key: str, name: str, signature: Column) -> DataFrame:
-    """Pairs of a block that share a signature (an array of keys, exploded): an equi-join,
-    so a block's pairs that share nothing are never made. Use it with signatures that few
-    rows have; for edit distances see ``close_pairs``."""
-    rows = df.select(block, F.col(key), F.col(name), F.explode(F.array_distinct(signature)).alias("_s"))
-    a = rows.select(block, "_s", F.col(key).alias("a"), F.col(name).alias("name_a"))
-    b = rows.select(block, "_s", F.col(key).alias("b"), F.col(name).alias("name_b"))
-    return a.join(b, [block, "_s"]).where("a < b").select(block, "a", "b", "name_a", "name_b").distinct()
+#: Characters that one whole number holds a bit for, with room for the carry of a sum.
+_BITS = 61
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts, a row of its table at a time.
+
+    Where ``a`` has up to 61 characters a row is one whole number, whose zero bits mark the
+    steps of the row (Hyyro, 2004); each character of ``b`` makes the next row by a sum.
+    Longer texts keep the row as an array."""
+    cut = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+
+    def in_bits(x, y):
+        places = lambda c: F.aggregate(
+            F.sequence(F.lit(0), F.size(x) - 1), F.lit(0).cast("long"), lambda m, i: m + F.when(F.get(x, i) == c, F.get(F.lit([1 << k for k in range(_BITS)]), i)).otherwise(0)
+        )
+        full = F.get(F.lit([(1 << k) - 1 for k in range(_BITS + 1)]), F.size(x))
+        kinds = F.array_distinct(x)
+
+        def rows(masks):
+            def row(v, c):
+                met = v.bitwiseAND(F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("long")))
+                return (v + met).bitwiseOR(v - met).bitwiseAND(full)
+
+            return F.size(x) - F.bit_count(F.aggregate(y, full, row))
+
+        return F.transform(F.array(F.map_from_arrays(kinds, F.transform(kinds, places))), rows)[0]
+
+    def in_arrays(x, y):
+        def row(last, c):
+            # The row so far ends with the cell to the left; the row above has a 0 before it.
+            cell = lambda acc, j: F.array_append(acc, F.when(F.get(y, j) == c, F.get(last, j) + 1).otherwise(F.greatest(F.get(last, j + 1), F.element_at(acc, -1))))
+            return F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), F.array(F.lit(0)), cell)
+
+        return F.element_at(F.aggregate(x, F.transform(F.sequence(F.lit(0), F.size(y)), lambda i: F.lit(0)), row), -1)
+
+    parts = F.array(F.struct(cut(a).alias("x"), cut(b).alias("y")))
+    short = F.length(a) <= _BITS
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(
+        F.transform(parts, lambda s: F.when(short, in_bits(s["x"], s["y"])).otherwise(in_arrays(s["x"], s["y"])))[0]
+    )
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """1 less the insertions and deletions between two texts over their joint length: twice
+    the longest common subsequence over it; 1 for two empty texts."""
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 1.0).when(a == b, 1.0).otherwise(common_length(a, b) * 2.0 / both)
+
+
+def token_words(name: Column) -> Column:
+    """Distinct words of a name, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(name, r"\s+"), lambda w: w != "")))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """The greatest of three indel ratios: shared words against these and one side's own,
+    for either side, and both sides whole, all sorted. So word order, repeats and words
+    that only one side has do not count; a side without words has 0 with any other. The
+    first two need no subsequence, as one text begins with the other."""
+    both = F.array_intersect(token_words(a), token_words(b))
+    parts = F.struct(
+        F.array_join(both, " ").alias("s"), F.array_join(F.array_except(token_words(a), token_words(b)), " ").alias("x"), F.array_join(F.array_except(token_words(b), token_words(a)), " ").alias("y")
+    )
+
+    def ratio(p):
+        n, x, y = F.length(p["s"]), F.length(p["x"]), F.length(p["y"])
+        gap = F.when(n > 0, 1).otherwise(0)
+        left, right = n + F.when(x > 0, x + gap).otherwise(0), n + F.when(y > 0, y + gap).otherwise(0)
+        # Shared words stand at the front of both, so they are common to every subsequence.
+        whole = (n + gap + common_length(p["x"], p["y"])) * 2.0 / (left + right)
+        of = lambda side: F.when(n > 0, n * 2.0 / (n + side)).otherwise(0.0)
+        return F.when((n + x == 0) | (n + y == 0), 0.0).when((n > 0) & ((x == 0) | (y == 0)), 1.0).otherwise(F.greatest(whole, of(left), of(right)))
+
+    return F.transform(F.array(parts), ratio)[0]
+
+
+def _rarest_first(rows: DataFrame, block: str, item: str) -> DataFrame:
+    """Adds ``df``: how many names of the block hold the item (counts meet, not names)."""
+    return rows.join(rows.groupBy(block, item).agg(F.count("*").alias("df")), [block, item])
+
+
+def token_set_pairs(df: DataFrame, block: str, key: str, name: str, least: float = 0.9) -> DataFrame:
+    """block, a, b, name_a, name_b, ratio of all pairs of a block whose token-set ratio is
+    ``least`` or more; ``key`` must be unique in its block. Two prefix filters make the
+    candidates, so that a frequent word pairs nothing by itself, and miss none:
+
+    * If the shared words against one side's own reach the ratio, that side lacks few: of
+      its words, rarest first, those that together are longer than what it may lack have a
+      shared one among them.
+    * If both sides' own words do, an insertion or deletion breaks two pairs of neighbours
+      within words at most on its own side and one on the other. So of the shorter side's
+      distinct neighbour pairs, rarest first, one more than may break have one among them
+      that the longer side has, whose length lies within the edits allowed. Names with too
+      few of them meet by length alone."""
+    words = token_words(F.col(name))
+    n = df.select(block, F.col(key).alias("k"), F.col(name).alias("x"), words.alias("w")).where(F.size("w") > 0)
+    n = n.withColumn("len", F.length(F.array_join("w", " ")))
+    share = 2 * (1 - least) / least
+    lacks = F.greatest(F.lit(0.0), (share * (F.col("len") - 1) - 1) / (1 + share) + 1e-9)
+    each = checkpoint(_rarest_first(n.select(block, "k", "x", "len", F.explode("w").alias("item")), block, "item"))
+    told = each.groupBy(block, "k", "x", "len").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    sums = F.aggregate(
+        "items",
+        F.struct(F.lit(0).alias("sum"), F.array().cast("array<string>").alias("kept")),
+        lambda acc, i: F.struct((acc["sum"] + F.length(i["item"])).alias("sum"), F.when(acc["sum"] <= lacks, F.array_append(acc["kept"], i["item"])).otherwise(acc["kept"]).alias("kept")),
+        lambda acc: acc["kept"],
+    )
+    prefix = told.select(block, "k", F.explode(sums).alias("item"))
+    by_word = prefix.join(each.select(block, "item", F.col("k").alias("l")), [block, "item"]).select(block, "k", "l")
+
+    # Edits of two names of joint length s: (1 - least) * s; the longer has len * (2 - least) / least at most.
+    longest = F.floor(F.col("len") * (2 - least) / least + 1e-9).cast("int")
+    edits = F.floor((1 - least) * (F.col("len") + longest) + 1e-9)
+    breaks = F.floor(edits * 1.5).cast("int")
+    grams = F.array_distinct(F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2))))))
+    n = n.withColumn("g", F.filter(grams, lambda g: F.length(g) == 2)).withColumns({"longest": longest, "breaks": breaks})
+    few = F.size("g") <= F.col("breaks")
+    pieces = checkpoint(_rarest_first(n.select(block, "k", "len", "longest", "breaks", F.explode("g").alias("item")), block, "item"))
+    chosen = pieces.groupBy(block, "k", "len", "longest", "breaks").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items")).where(F.size("items") > F.col("breaks"))
+    lengths = F.explode(F.sequence("len", "longest"))
+    asked = chosen.select(block, "k", "longest", "len", F.explode(F.slice("items", F.lit(1), F.col("breaks") + 1)).alias("i")).select(block, "k", "i.item", lengths.alias("len"))
+    by_gram = asked.join(pieces.select(block, "item", "len", F.col("k").alias("l")), [block, "item", "len"]).select(block, "k", "l")
+    by_length = n.where(few).select(block, "k", lengths.alias("len")).join(n.select(block, "len", F.col("k").alias("l")), [block, "len"]).select(block, "k", "l")
+
+    pairs = by_word.unionByName(by_gram).unionByName(by_length).where("k <> l")
+    pairs = pairs.select(block, F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b")).distinct()
+    of = lambda k, x: n.select(block, F.col("k").alias(k), F.col("x").alias(x))
+    joined = pairs.join(of("a", "name_a"), [block, "a"]).join(of("b", "name_b"), [block, "b"])
+    return joined.withColumn("ratio", token_set_ratio(F.col("name_a"), F.col("name_b"))).where(F.col("ratio") >= least - 1e-12).select(block, "a", "b", "name_a", "name_b", "ratio")
 
 
 def close_pairs(df: DataFrame, block: str, key: str, name: str, share: int = 10) -> DataFrame:

@@ -2,7 +2,9 @@
 from pyspark.sql import functions as F
 
 from shelfmark.operators import quality as Q
+from shelfmark.operators.postings import Index, kept
 from shelfmark.plans.registry import Plans
+from shelfmark.shared import new_folder
 from shelfmark.sources.tables import table
 
 PLANS = Plans()
@@ -86,9 +88,20 @@ def row_validators(spark, d):
 @named("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM documents)
 SELECT count(DISTINCT doc_id) AS docs, count(DISTINCT w) AS terms, count(DISTINCT CASE WHEN w = 'the' THEN doc_id END) AS hits, (SELECT count(*) FROM documents) - count(DISTINCT doc_id) <= 200 AS passed FROM t""")
 def dq_search_index(spark, d):
-    from shelfmark.operators.search import words
-
+    """Counts of the stored index, against the table."""
     docs = table(spark, d, "documents")
-    t = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
-    g = t.agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("w").alias("terms"), F.count_distinct(F.when(F.col("w") == "the", F.col("doc_id"))).alias("hits"))
-    return g.join(F.broadcast(docs.agg(F.count("*").alias("all")))).select("docs", "terms", "hits", (F.col("all") - F.col("docs") <= 200).alias("passed"))
+    index = kept(docs, docs, "doc_id", ["text"], "documents")
+    n = index.forward().agg(F.count_if(F.col("len") > 0).alias("docs"))
+    terms = spark.read.parquet(*[f"{s['home']}/blocks" for s in index.segments]).agg(F.count_distinct("term").alias("terms"))
+    hits = F.lit(index.statistics(["the"])[2]["the"]).cast("long").alias("hits")
+    all_ = docs.agg(F.count("*").alias("all"))
+    return n.join(F.broadcast(terms)).join(F.broadcast(all_)).select("docs", "terms", hits, (F.col("all") - F.col("docs") <= 200).alias("passed"))
+
+
+@named("""SELECT count(*) FILTER (doc_id % 13 <> 5)::BIGINT AS docs, coalesce(sum(len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> ''))) FILTER (doc_id % 13 <> 5), 0)::BIGINT AS words,
+count(*) FILTER (doc_id % 13 <> 5) AS listed, count(*) FILTER (doc_id % 13 = 5 AND doc_id % 17 <> 2) AS missing, count(*) FILTER (doc_id % 13 <> 5 AND doc_id % 17 = 2) AS extra FROM documents""")
+def dq_index_divergence(spark, d):
+    """An index that has not seen some new documents, nor that others are gone."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = Index(spark, new_folder(spark, "index-behind"), "doc_id", ["text"]).build(docs.where("doc_id % 13 <> 5"))
+    return index.compared(docs.where("doc_id % 17 <> 2"))

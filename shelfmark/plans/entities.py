@@ -9,12 +9,20 @@ from shelfmark.sources.tables import table
 PLANS = Plans()
 named = PLANS.named
 
+_LCS = "CASE WHEN length(@X) = 0 OR length(@Y) = 0 THEN 0 ELSE list_reduce(string_split(@X, ''), lambda line, ch: list_reduce(range(1, length(@Y) + 1), lambda acc, j: list_append(acc, CASE WHEN (@Y)[j] = ch THEN line[j] + 1 ELSE greatest(line[j + 1], acc[-1]) END), [0::BIGINT]), list_resize([0::BIGINT], length(@Y) + 1, 0))[-1] END"
+#: Token-set ratio of all pairs of a block, by the table of the longest common subsequence.
+_RATIO = """t AS (SELECT *, list_sort(list_distinct(list_filter(string_split(name, ' '), lambda x: x <> ''))) AS toks FROM n),
+q AS (SELECT block, a.name AS a, b.name AS b, array_to_string(list_sort(list_intersect(a.toks, b.toks)), ' ') AS s, array_to_string(list_filter(a.toks, lambda x: NOT list_contains(b.toks, x)), ' ') AS l,
+ array_to_string(list_filter(b.toks, lambda x: NOT list_contains(a.toks, x)), ' ') AS r FROM t a JOIN t b USING (block) WHERE a.name < b.name AND len(a.toks) > 0 AND len(b.toks) > 0),
+k AS (SELECT *, length(trim(s || ' ' || l)) AS la, length(trim(s || ' ' || r)) AS lb, @LCS AS c FROM q),
+y AS (SELECT block, a, b, CASE WHEN s <> '' AND (l = '' OR r = '') THEN 1.0::DOUBLE ELSE greatest(1 - (length(l) + length(r) - 2 * c)::DOUBLE / (la + lb),
+ CASE WHEN s = '' THEN 0 ELSE greatest(2.0::DOUBLE * length(s) / (length(s) + la), 2.0::DOUBLE * length(s) / (length(s) + lb)) END) END AS sim FROM k)""".replace("@LCS", _LCS.replace("@X", "l").replace("@Y", "r"))
 _NAMES = """WITH n AS (SELECT p_type AS block, p_name || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS name, count(*) AS n FROM part GROUP BY ALL),
-w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z]{3,}'), lambda x: x NOT IN (@STOP))) AS words FROM n),
-x AS (SELECT block, a.name AS a, b.name AS b, 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS sim,
- len(list_intersect(a.words, b.words))::INTEGER AS shared, len(a.words) = 0 OR len(b.words) = 0 AS bare FROM w a JOIN w b USING (block) WHERE a.name < b.name),
+w AS (SELECT block, name, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z]{3,}'), lambda x: x NOT IN (@STOP))) AS words FROM n),
+@RATIO,
+x AS (SELECT y.*, len(list_intersect(u.words, v.words))::INTEGER AS shared, len(u.words) = 0 OR len(v.words) = 0 AS bare FROM y JOIN w u ON u.block = y.block AND u.name = a JOIN w v ON v.block = y.block AND v.name = b),
 p AS (SELECT *, CASE WHEN shared >= 1 AND sim >= 0.9 THEN (sim + least(shared / 2.0, 1.0)) / 2 ELSE sim * 0.8 END AS confidence FROM x WHERE shared >= 1 AND sim >= 0.9 OR bare AND sim >= 0.99)
-""".replace("@STOP", ", ".join(f"'{x}'" for x in NOT_SURNAMES))
+""".replace("@STOP", ", ".join(f"'{x}'" for x in NOT_SURNAMES)).replace("@RATIO", _RATIO)
 
 
 def names(spark, d):
@@ -24,10 +32,10 @@ def names(spark, d):
 
 def merges(spark, d):
     """Pairs of a block that are close, with the decision to merge them."""
-    pairs = E.close_pairs(names(spark, d).withColumn("key", F.col("name")), "block", "key", "name")
+    pairs = E.token_set_pairs(names(spark, d).withColumn("key", F.col("name")), "block", "key", "name")
     a, b = surnames(F.col("name_a")), surnames(F.col("name_b"))
     bare = (F.size(a) == 0) | (F.size(b) == 0)
-    return E.decide(pairs, E.similarity(F.col("name_a"), F.col("name_b")), F.size(F.array_intersect(a, b)), bare)
+    return E.decide(pairs, F.col("ratio"), F.size(F.array_intersect(a, b)), bare)
 
 
 @named(_NAMES + "SELECT block, a, b, round(confidence, 6)::DOUBLE AS confidence FROM p")
@@ -109,9 +117,17 @@ def representative_expand(spark, d):
     return r.select("region", "key", "n", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@named()
+@named(f"""WITH n AS (SELECT DISTINCT p_type AS block, p_name || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS name FROM part), {_RATIO}
+SELECT block, a, b, round(sim, 6)::DOUBLE AS ratio FROM y WHERE sim >= 0.8 - 1e-12""")
 def token_set_pairs(spark, d):
-    """Names of a type that are equal as sets of words; rows only, tests hold the measure."""
-    n = table(spark, d, "part").select(F.col("p_type").alias("block"), F.col("p_name").alias("key"), F.col("p_name").alias("name")).distinct()
-    pairs = E.candidate_pairs(n, "block", "key", "name", F.split("name", " "))
-    return pairs.withColumn("sim", F.round(E.token_set_similarity(F.col("name_a"), F.col("name_b")), 6)).where("sim >= 0.6")
+    """Names of a type that are alike as sets of words."""
+    n = names(spark, d).withColumn("key", F.col("name"))
+    return E.token_set_pairs(n, "block", "key", "name", 0.8).select("block", "a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@named("""WITH n AS (SELECT n_nationkey % 2 AS block, n_name AS name FROM nation)
+SELECT block, a.name AS a, b.name AS b FROM n a JOIN n b USING (block) WHERE a.name < b.name AND levenshtein(a.name, b.name) * 8 <= greatest(length(a.name), length(b.name))""")
+def close_names(spark, d):
+    """Names within an edit distance of an eighth of the longer."""
+    n = table(spark, d, "nation").select((F.col("n_nationkey") % 2).alias("block"), F.col("n_name").alias("key"), F.col("n_name").alias("name"))
+    return E.close_pairs(n, "block", "key", "name", 8).select("block", "a", "b")

@@ -1,8 +1,10 @@
 """Search and ranking queries. Where a rank is a column, its order is total."""
 from pyspark.sql import functions as F
 
+from shelfmark.operators.postings import Index, kept
 from shelfmark.operators.search import bm25, diversified, ordinal_closeness, position_decay, ranked
 from shelfmark.plans.registry import Plans
+from shelfmark.shared import new_folder
 from shelfmark.sources.tables import table
 
 PLANS = Plans()
@@ -105,11 +107,57 @@ def _bm25_sql(key, name, terms):
 
 @named(_bm25_sql("doc_id", "documents", ["erha", "thble", "stti"]) + """SELECT k AS doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, k) AS rk FROM s QUALIFY rk <= 20""")
 def bm25_topk(spark, d):
+    """From stored postings: blocks of the terms' buckets, and of these what may be among the best."""
     docs = table(spark, d, "documents")
-    scored = bm25(docs, "doc_id", "text", ["erha", "thble", "stti"]).withColumn("score", F.round("score", 6))
+    scored = kept(docs, docs, "doc_id", ["text"], "documents").top(["erha", "thble", "stti"], 20).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
     return ranked(scored, [F.desc("score"), F.asc("doc_id")], last=20)
 
 
+@named(_bm25_sql("doc_id", "documents", ["erha", "thble", "stti"]) + """SELECT k AS doc_id, round(score, 6) AS score FROM s""")
+def bm25_scan(spark, d):
+    """All scores by one scan of the texts, without an index."""
+    return bm25(table(spark, d, "documents"), "doc_id", "text", ["erha", "thble", "stti"]).withColumn("score", F.round("score", 6))
+
+
+_CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(text, ' erha stti') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
+
+
+@named(_bm25_sql("doc_id", _CHANGED, ["erha", "thble", "stti"]) + """SELECT k AS doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, k) AS rk FROM s QUALIFY rk <= 20""")
+def fts_refreshed_topk(spark, d):
+    """An index over older texts, brought up to date by what has changed, come and gone."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    now = docs.where(i % 7 != 3).withColumn("text", F.when(i % 5 == 0, F.concat("text", F.lit(" erha stti"))).otherwise(F.col("text")))
+    index = Index(spark, new_folder(spark, "index-refreshed"), "doc_id", ["text"]).build(docs.where(i % 11 != 4))
+    index.update(now.where((i % 5 == 0) | (i % 11 == 4)), docs.where(i % 7 == 3))
+    scored = index.top(["erha", "thble", "stti"], 20).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return ranked(scored, [F.desc("score"), F.asc("doc_id")], last=20)
+
+
+_FIELDS = ["p_name", "p_brand", "p_type", "nations", "regions", "suppliers", "flags", "priorities", "statuses", "segments"]
+_CORPUS = """(SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type, nations, regions, suppliers, flags, priorities, statuses, segments) AS text FROM part LEFT JOIN (
+SELECT l_partkey, string_agg(DISTINCT n_name, ' ') AS nations, string_agg(DISTINCT r_name, ' ') AS regions, string_agg(DISTINCT s_name, ' ') AS suppliers, string_agg(DISTINCT l_returnflag, ' ') AS flags,
+ string_agg(DISTINCT o_orderpriority, ' ') AS priorities, string_agg(DISTINCT o_orderstatus, ' ') AS statuses, string_agg(DISTINCT c_mktsegment, ' ') AS segments
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+GROUP BY l_partkey) ON l_partkey = p_partkey)"""
+
+
+@named(_bm25_sql("p_partkey", _CORPUS, ["gear", "urgent", "machinery", "small"]) + """SELECT k AS p_partkey, round(score, 5) AS score, row_number() OVER (ORDER BY round(score, 5) DESC, k) AS rk FROM s QUALIFY rk <= 25""")
+def fts_ten_fields_topk(spark, d):
+    """One document per part of ten fields: its own, and those of its lines' dimensions."""
+    t = lambda n: table(spark, d, n)
+    lines = (
+        t("lineitem").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+        .join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    )
+    columns = ("n_name", "r_name", "s_name", "l_returnflag", "o_orderpriority", "o_orderstatus", "c_mktsegment")
+    sets = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(*[F.collect_set(c).alias(f) for c, f in zip(columns, _FIELDS[3:])])
+    docs = t("part").join(sets, "p_partkey", "left").select("p_partkey", *_FIELDS)
+    index = kept(t("lineitem"), docs, "p_partkey", _FIELDS, "parts")
+    scored = index.top(["gear", "urgent", "machinery", "small"], 25, slack=1e-5).select(F.col("key").alias("p_partkey"), F.round("score", 5).alias("score"))
+    return ranked(scored, [F.desc("score"), F.asc("p_partkey")], last=25)
+
+
 _SEGMENTS = _bm25_sql("(conv_id, turn)", "conversations", ["erha", "thble"]) + """, r AS (
 SELECT c.conv_id, c.turn, round(coalesce(s.score, 0) + CASE WHEN c.role = 'user' AND contains(lower(c.text), 'thble') THEN 10 ELSE 0 END
  + CASE WHEN contains(lower(c.text), 'stti') THEN 5 ELSE 0 END + CASE WHEN c.role = 'system' THEN 20 ELSE 0 END, 6) AS relevance
@@ -119,8 +167,9 @@ FROM conversations c LEFT JOIN s ON s.k = (c.conv_id, c.turn) WHERE s.score IS N
 
 def segment_relevance(spark, d):
     """BM25 plus fixed boosts; a segment needs a text hit or an entity match."""
-    c = table(spark, d, "conversations").withColumn("k", F.struct("conv_id", "turn"))
-    scored = bm25(c, "k", "text", ["erha", "thble"])
+    turns = table(spark, d, "conversations")
+    c = turns.withColumn("k", F.struct("conv_id", "turn"))
+    scored = kept(turns, c, "k", ["text"], "conversations").scores(["erha", "thble"]).withColumnRenamed("key", "k")
     low = F.lower("text")
     boost = (
         F.when((F.col("role") == "user") & low.contains("thble"), 10).otherwise(0)

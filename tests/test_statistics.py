@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import entity as E
@@ -53,10 +54,55 @@ def test_close_pairs_miss_none(spark):
     assert got == want
 
 
-def test_token_set_similarity(spark):
-    cases = [("red small bolt", "bolt red small", 1.0), ("red bolt", "red bolt big", 1.0), ("a b", "c d", 1 - 2 / 3), ("", "", 1.0), ("same same", "same", 1.0)]
-    df = spark.createDataFrame([c[:2] for c in cases], "a string, b string").select(F.round(E.token_set_similarity(F.col("a"), F.col("b")), 6).alias("s"))
-    assert [r.s for r in df.collect()] == [round(c[2], 6) for c in cases]
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
+    return row[-1]
+
+
+def token_set(a, b):
+    """The measure by its definition: three ratios of joined words."""
+    u, v = set(a.split()), set(b.split())
+    if not u or not v:
+        return 0.0
+    shared, left, right = (" ".join(sorted(x)) for x in (u & v, u - v, v - u))
+    if shared and not (left and right):
+        return 1.0
+    whole = lambda x: " ".join(filter(None, (shared, x)))
+    ratio = lambda x, y: 2 * common(x, y) / (len(x) + len(y))
+    own = 1 - (len(left) + len(right) - 2 * common(left, right)) / (len(whole(left)) + len(whole(right)))
+    return max(own, *(ratio(shared, whole(x)) if shared else 0.0 for x in (left, right)))
+
+
+def test_common_length_and_token_set_ratio(spark):
+    rng = random.Random(4)
+    text = lambda n, s: "".join(rng.choice(s) for _ in range(rng.randrange(n)))
+    cases = [("", ""), ("", "a"), ("las flores", "flores"), ("a b", "c d"), ("same same", "same"), ("  ", "x"), ("x" * 200, "y" + "x" * 150), ("q" * 61, "q" * 62), ("q" * 62, "q" * 61)]
+    cases += [(text(14, "ab "), text(14, "ab ")) for _ in range(200)] + [(text(90, "abcd "), text(90, "abcd ")) for _ in range(40)] + [(text(70, "xyz\xe9漢"), text(70, "xyz\xe9漢")) for _ in range(40)]
+    df = spark.createDataFrame(cases, "a string, b string").select("a", "b", E.common_length(F.col("a"), F.col("b")).alias("n"), E.token_set_ratio(F.col("a"), F.col("b")).alias("r"))
+    for r in df.collect():
+        assert r.n == common(r.a, r.b), (r.a, r.b)
+        assert abs(r.r - token_set(r.a, r.b)) < 1e-9, (r.a, r.b)
+
+
+@pytest.mark.parametrize("least", [0.9, 0.8])
+def test_token_set_pairs_miss_none(spark, least):
+    rng = random.Random(9)
+    words = ["finca", "la", "las", "flores", "floress", "buena", "vista", "esperanza", "esperansa", "el", "a", "b", "aa", "aaa", "quebraditas", "quebradita", "san", "juan"]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(230)} | {"laflores", "", "  "}
+    for base in list(names)[:80]:
+        own = list(base)
+        if own:
+            own[rng.randrange(len(own))] = rng.choice(["", "x", " "])
+            names.add("".join(own))
+    names = sorted(names)
+    df = spark.createDataFrame([("t", i, x) for i, x in enumerate(names)], "t string, k int, name string")
+    got = {(r.a, r.b) for r in E.token_set_pairs(df, "t", "k", "name", least).collect()}
+    want = {(i, j) for (i, x), (j, y) in itertools.combinations(enumerate(names), 2) if token_set(x, y) >= least - 1e-12}
+    assert got == want and len(want) > 100
 
 
 def test_bm25_counts_whole_words(spark):
