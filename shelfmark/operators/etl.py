@@ -24,6 +24,11 @@ def whole(text: str):
 
 
 def beans(raw: DataFrame, patch_days: DataFrame | None = None) -> DataFrame:
+    """One row per owner and url, as ``bean_rows`` makes them, numbered by name."""
+    return surrogate_ids(bean_rows(raw, patch_days), ["name", "owner_dir", "url"], "id")
+
+
+def bean_rows(raw: DataFrame, patch_days: DataFrame | None = None) -> DataFrame:
     """One row per owner and url: the newest version, first_seen as date_added, in_stock
     if the owner's latest day has it. Rows without a url or name are left out."""
     rows = raw.where((F.coalesce("url", F.lit("")) != "") & F.col("name").isNotNull())
@@ -31,7 +36,7 @@ def beans(raw: DataFrame, patch_days: DataFrame | None = None) -> DataFrame:
     newest = latest_by(rows, ["owner_dir", "url"], ["scrape_date", "at", "filename"])
     stock = stock_status(rows, "owner_dir", "url", "scrape_date", "at", patch_days)
     leaf = F.regexp_replace(F.regexp_replace(F.split_part("filename", F.lit("/"), F.lit(-1)), r"\.json$", ""), r"_\d{6}$", "")
-    joined = newest.drop("in_stock").join(stock, ["owner_dir", "url"]).select(
+    return newest.drop("in_stock").join(stock, ["owner_dir", "url"]).select(
         "owner_dir",
         "url",
         "name",
@@ -54,7 +59,6 @@ def beans(raw: DataFrame, patch_days: DataFrame | None = None) -> DataFrame:
         "origins",
         "price_options",
     )
-    return surrogate_ids(joined, ["name", "owner_dir", "url"], "id")
 
 
 def row_rules() -> list[tuple[str, Column]]:
