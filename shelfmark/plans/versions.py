@@ -255,3 +255,32 @@ def streaming_incremental_counts(spark, d):
     from shelfmark.streaming.feeds import counts_stream
 
     return counts_stream(spark, f"{d}/events.parquet", "ts", "event_type").withColumn("day", F.col("day").cast("string"))
+
+
+@named("""SELECT user_id, event_id, epoch_us(ts) AS at, event_type, value FROM (
+SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'""")
+def lww_stream(spark, d):
+    """Upserts and tombstones as a stream with state per key."""
+    from shelfmark.streaming.state import lww_stream
+
+    rows = lww_stream(spark, f"{d}/events.parquet", "user_id", "ts", "event_id", "event_type = 'error'")
+    return rows.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
+
+
+@named("""WITH c AS (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS in_window FROM events)
+SELECT event_id, user_id, in_window, in_window < 3 AS allowed FROM c WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 3600000 FROM events)""")
+def rate_limit_stream(spark, d):
+    """Rolling counts of a day per user, as the stream gives them out behind its watermark."""
+    from shelfmark.streaming.state import rolling_counts_stream
+
+    rows = rolling_counts_stream(spark, f"{d}/events.parquet", "user_id", "ts", "event_id", 86_400)
+    return rows.select("event_id", "user_id", "in_window", (F.col("in_window") < 3).alias("allowed"))
+
+
+@named("""WITH w AS (SELECT event_type, unnest(range(0, 4)) AS i, epoch_us(ts) AS t FROM events), x AS (SELECT event_type, (t // 21600000000 - i) * 21600000000 AS start FROM w)
+SELECT event_type, start, count(*) AS n FROM x WHERE start + 86400000000 <= ((SELECT max(epoch_ms(ts)) FROM events) - 3600000) * 1000 GROUP BY ALL""")
+def sliding_windows_stream(spark, d):
+    """Counts of closed windows of a day that begin every six hours."""
+    from shelfmark.streaming.state import window_counts_stream
+
+    return window_counts_stream(spark, f"{d}/events.parquet", "event_type", "ts", "24 hours", "6 hours")
