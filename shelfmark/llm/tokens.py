@@ -18,17 +18,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A cache of this many segments becomes the old one, and a new one begins.
-MOST_KEPT = 170_000
+MOST_KEPT = 120_000
 #: Bytes that tell which segments were met once, by a digest; most never come again.
 _MET = 1 << 21
 #: Bytes of texts whose segments are told apart at a time.
 _SPAN = 2 << 20
+#: Words that the model encodes at a time.
+_JOINED = 64
 #: Segments of more bytes are told apart by Python's hash.
 _SHORT = 32
 #: Latin letters, after a space or not.
 _WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
-#: Bytes of ASCII letters and digits; of marks but the apostrophe, which begins contractions.
-_PLAIN, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+#: Bytes of Latin letters (U+00C0 to U+023F, two signs among them); of ASCII letters and
+#: digits; of marks but the apostrophe, which begins contractions.
+_LETTER, _PLAIN, _MARK = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[b for b in range(128) if chr(b).isalpha()] + [*range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
 _PLAIN[[b for b in range(128) if chr(b).isalnum()]] = True
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = True
 
@@ -130,6 +134,13 @@ class Encoder:
         self._old: dict[bytes, bytes] = {}
         self._added = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._met = bytearray(_MET)
+        names = self._tokenizer.get_vocab()
+        #: Which ids begin with a space. Where no token of letters has one behind a letter, no
+        #: merge crosses the space before a word, and many words can be encoded as one.
+        self._begins = np.zeros(max(names.values(), default=0) + 1, bool)
+        self._begins[[i for t, i in names.items() if t.startswith(self._space)]] = True
+        letter = "[" + "".join(self._names[i] for i in np.flatnonzero(_LETTER)) + "]"
+        self._joins = self._cut and not any(re.fullmatch(f"({self._space}|{letter})*{letter}{self._space}({self._space}|{letter})*", t) for t in names)
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self._code, ids).tobytes()
@@ -146,23 +157,46 @@ class Encoder:
             named = key.decode("latin-1").translate(self._names)
         return self._packed([t.id for t in self._model.tokenize(named)])
 
-    def _found(self, keys: list[bytes]) -> list[bytes]:
-        """The ids of distinct segments; those met before are kept."""
+    def _learned(self, keys: list[bytes], plain: list[bool]) -> list[bytes]:
+        """The ids of segments, those that are plain by many at a time."""
+        out = [b""] * len(keys)
+        for i, p in enumerate(plain):
+            if not p:
+                out[i] = self._learn(keys[i])
+        words = [i for i, p in enumerate(plain) if p]
+        for at in range(0, len(words), _JOINED):
+            own = words[at : at + _JOINED]
+            named = b"".join([keys[i] for i in own]).decode("latin-1").translate(self._names)
+            ids = np.array([t.id for t in self._model.tokenize(named)], self._kind)
+            first = np.flatnonzero(self._begins[ids])
+            raw, edges = ids.tobytes(), (np.append(first, len(ids)) * ids.itemsize).tolist()
+            if len(first) != len(own):  # a file in which a space stands in no token
+                for i in own:
+                    out[i] = self._learn(keys[i])
+                continue
+            for i, a, z in zip(own, edges, edges[1:]):
+                out[i] = raw[a:z]
+        return out
+
+    def _found(self, keys: list[bytes], plain: np.ndarray) -> list[bytes]:
+        """The ids of distinct segments; those met before are kept. ``plain``: whether one is
+        Latin letters after a space, in a file that lets many be encoded as one."""
         new, old, met = self._new, self._old, self._met
         parts = list(map(new.get, keys))
-        for i, part in enumerate(parts):
+        missed = [i for i, part in enumerate(parts) if part is None]
+        unknown = []
+        for i in missed:
+            part = old.get(keys[i])
             if part is None:
-                key = keys[i]
-                part = old.get(key)
-                if part is None:
-                    part, place = self._learn(key), hash(key) % _MET
-                    if met[place]:
-                        new[key] = part
-                    else:
-                        met[place] = 1
-                else:
-                    new[key] = part
-                parts[i] = part
+                unknown.append(i)
+            else:
+                new[keys[i]] = parts[i] = part
+        for i, part in zip(unknown, self._learned([keys[i] for i in unknown], plain[unknown].tolist())):
+            parts[i], place = part, hash(keys[i]) % _MET
+            if met[place]:
+                new[keys[i]] = part
+            else:
+                met[place] = 1
         if len(new) > MOST_KEPT:
             self._old, self._new, self._met = new, {}, bytearray(_MET)
         return parts
@@ -173,7 +207,13 @@ class Encoder:
         first = segments(b, starts, not any(t in raw for t in self._added)) if self._cut else starts
         size = np.diff(np.append(first, len(b)))
         _, at, which = np.unique(_digests(b, first, size, raw), return_index=True, return_inverse=True)
-        parts = self._found([raw[a : a + n] for a, n in zip(first[at].tolist(), size[at].tolist())])
+        other = np.zeros(len(b) + 1, np.int32)
+        np.cumsum(~_LETTER[b], out=other[1:])
+        if len(b) > 1:  # the two signs among the letters
+            other[2:] += np.cumsum((b[:-1] == 0xC3) & ((b[1:] == 0x97) | (b[1:] == 0xB7)), dtype=np.int32)
+        own, end = first[at], first[at] + size[at]
+        plain = (b[own] == 32) & (size[at] > 1) & (other[end] == other[np.minimum(own + 1, end)]) & self._joins
+        parts = self._found([raw[a:z] for a, z in zip(own.tolist(), end.tolist())], plain)
         held = np.fromiter(map(len, parts), np.int64, len(parts)) // self._kind.itemsize
         flat = np.frombuffer(b"".join(parts), self._kind)
         counts = held[which]
