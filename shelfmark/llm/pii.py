@@ -1,17 +1,21 @@
 """Personal data: fixed patterns as seeds, and identifiers found by bootstrapping.
 
 Seeds are what the four fixed patterns find, and secrets: long words of letters and many
-digits. The words around them make lexical
-patterns; a bipartite graph links patterns with the identifiers that stand in them, and
-Spark scores it in rounds: a pattern is as sure as the share of its distinct
-identifiers that are known, an identifier as sure as its patterns make it. Identifiers
-that end above a threshold are spans too, of the kind of the seeds that led to them.
+digits. Small numbers are seeds too, of what is no identifier. The words around them make
+lexical patterns, exact ones and general ones: a word with the kind of characters that
+follow it, a label that an equals sign or colon ends, the make of the word itself, and the
+letters that it begins with. A bipartite graph links patterns with the identifiers that
+stand in them, and Spark scores it in rounds, as Snowball does (Agichtein and Gravano,
+2000): a pattern is as sure as the share of one kind among its known identifiers (unknown
+ones speak neither for it nor against it), an identifier as sure as its patterns make it.
+What a round finds makes further patterns in the next. Identifiers that end above a
+threshold are spans too, of the kind of the seeds that led to them.
 
 Everything is DataFrame expressions and joins; no Python runs on executors.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, shared_folder, written
@@ -166,8 +170,10 @@ def candidate_spans(df: DataFrame) -> DataFrame:
     df = _found(df, "_pii_mask", "_pii_said", SPOKEN, here.rlike(f"(?i){_DOT}")).withColumn("_pii_said", free("_pii_said"))
     df = _masked(df, "_pii_said")
     df = _found(df, "_pii_mask", "_pii_word", WORD, here.rlike("[0-9@]")).withColumn("_pii_word", free("_pii_word"))
-    core = lambda v: F.regexp_extract(v, r"^[^A-Za-z0-9]*+(.*[A-Za-z0-9])", 1)
-    lead = lambda v: F.length(F.regexp_extract(v, r"^[^A-Za-z0-9]*+", 0))
+    # A label before an equals sign or colon is context.
+    front = r"^[^A-Za-z0-9]*+(?:[A-Za-z_-]{2,32}+[=:][^A-Za-z0-9]*+(?=[A-Za-z0-9]))?+"
+    core = lambda v: F.regexp_extract(v, front + "(.*[A-Za-z0-9])", 1)
+    lead = lambda v: F.length(F.regexp_extract(v, front, 0))
     trimmed = F.transform(
         F.concat("_pii_run", "_pii_said", "_pii_word"),
         lambda s: F.struct(
@@ -194,10 +200,28 @@ def _between(blocks: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, cut).otherwise("")
 
 
-def _slots(blocks: Column, length: Column, start: Column, end: Column) -> Column:
+def _make(value: Column) -> Column:
+    """Which kinds of characters a value has, and how long it is as a power of two."""
+    has = lambda mark, pattern: F.when(value.rlike(pattern), mark).otherwise("")
+    marks = [has("a", "[a-z]"), has("A", "[A-Z]"), has("0", "[0-9]"), has("@", "@"), has(".", r"\."), has("-", "[-() ]")]
+    return F.concat(F.lit("~"), *marks, F.floor(F.log2(F.greatest(F.length(value), F.lit(1)))).cast("string"))
+
+
+def _own_patterns(value: Column) -> Column:
+    """Patterns of a value that looks drawn at random, 16 characters or more with four
+    letters and four digits at least: that it does, and its first four letters."""
+    count = lambda c: F.length(F.regexp_replace(value, f"[^{c}]", ""))
+    drawn = value.rlike("^[A-Za-z0-9_]{16,}+$") & (count("0-9") >= 4) & (count("A-Za-z") >= 4)
+    begins = F.when(value.rlike("^[A-Za-z]{4}"), F.concat(F.lit("^"), F.substring(value, 1, 4)))
+    found = F.filter(F.array(F.lit("~drawn"), begins), lambda p: p.isNotNull())
+    return F.when(drawn, found).otherwise(F.array().cast("array<string>"))
+
+
+def _slots(blocks: Column, length: Column, start: Column, end: Column, make: Column) -> Column:
     """The lexical patterns of a place: the two words before; one before and one after; one
-    before if a colon or an equals sign leads to the place. In lower case without marks and
-    digits; words of marks alone are skipped, and so are words that reach beyond REACH."""
+    before if a colon or an equals sign leads to the place; one before with the make of
+    what stands there. In lower case without marks and digits; words of marks alone are
+    skipped, and so are words that reach beyond REACH."""
     left, right = F.greatest(start - REACH, F.lit(0)), F.least(end + REACH, length)
     empty = F.array().cast("array<string>")
     clean = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\x20]", ""))
@@ -217,6 +241,7 @@ def _slots(blocks: Column, length: Column, start: Column, end: Column) -> Column
             F.when((w[1] != "") & (w[0] != ""), F.concat_ws(" ", F.lit("<"), w[0], w[1])),
             F.when((w[1] != "") & (w[2] != ""), F.concat_ws(" ", F.lit("<>"), w[1], w[2])),
             F.when((w[1] != "") & leads, F.concat_ws(" ", F.lit("="), w[1])),
+            F.when(w[1] != "", F.concat_ws(" ", F.lit("<"), w[1], make)),
         )
         # A word that the edge of the window may have cut is left out.
         first = lambda ws: F.when(left > 0, F.slice(ws, F.lit(2), F.size(ws))).otherwise(ws)
@@ -253,35 +278,43 @@ def all_spans(df: DataFrame, text: str) -> DataFrame:
     )
     df = df.withColumn("_pii_all", F.concat(*[tag(k, f"_pii_{k}") for k in _SEEDS], tag(None, "_pii_more")))
     df = df.withColumn("_pii_blocks", F.when(F.size("_pii_all") > 0, _blocks(F.col(text)))).withColumn("_pii_length", F.length(text))
-    slots = lambda s: _slots(F.col("_pii_blocks"), F.col("_pii_length"), s["start"], s["end"])
+    slots = lambda s: F.concat(_slots(F.col("_pii_blocks"), F.col("_pii_length"), s["start"], s["end"], _make(s["value"])), _own_patterns(s["value"]))
     found = F.transform("_pii_all", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "value")], slots(s).alias("slots")))
     df = df.withColumn("_pii_all", F.when(F.size("_pii_all") > 0, found).otherwise(F.array().cast(_ALL)))
     return df.drop("_pii_more", "_pii_blocks", "_pii_length", "_pii_mask", *[f"_pii_{k}" for k in _SEEDS])
 
 
+#: The kind of what is no identifier: at most four digits, no letter.
+_NONE = "none"
+
+
+def _ordinary(value: Column) -> Column:
+    return value.rlike(r"^[^\p{L}@]*+$") & (F.length(F.regexp_replace(value, "[^0-9]", "")) <= 4)
+
+
 def discover(
     df: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """value, kind, patterns: identifiers that the bootstrapping accepts, and the accepted
-    patterns that they stand in. ``df`` has the spans. Copies of a text add nothing: a pattern counts distinct identifiers, and
-    needs ``support`` known ones of a kind. A pattern's confidence is the sum of the
-    scores of its identifiers over their number; an identifier's score is one less the
-    product of what its patterns leave open; seeds keep score 1."""
+    """value, kind, pattern: identifiers that the bootstrapping accepts, a row for each
+    accepted pattern that they stand in. ``df`` has the spans. Copies of a text add
+    nothing: a pattern counts distinct identifiers, and needs ``support`` known ones of a
+    kind. A pattern's confidence is the sum of the scores of its identifiers of the kind
+    over that of all its known ones and one; an identifier's score is one less the product
+    of what its patterns leave open; seeds keep score 1."""
     spans = df.select(F.explode("_pii_all").alias("s"))
-    edges = checkpoint(spans.select("s.kind", "s.value", F.explode("s.slots").alias("pattern")).distinct())
+    kind = F.coalesce("s.kind", F.when(_ordinary(F.col("s.value")), _NONE))
+    edges = checkpoint(spans.select(kind.alias("kind"), "s.value", F.explode("s.slots").alias("pattern")).distinct())
     seeds = edges.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct()
-    size = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
     links = edges.select("pattern", "value").distinct()
-    known = seeds
+    known, of_pattern = seeds, Window.partitionBy("pattern")  # a row for each kind
     for _ in range(rounds):
         patterns = (
             links.join(known, "value")
             .groupBy("pattern", "kind")
             .agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= threshold).alias("sure"))
-            .where(F.col("sure") >= support)
-            .join(size, "pattern")
-            .select("pattern", "kind", (F.col("sum") / F.col("n")).alias("confidence"))
-            .where(F.col("confidence") >= threshold)
+            .withColumn("confidence", F.col("sum") / (F.sum("sum").over(of_pattern) + 1))
+            .where((F.col("sure") >= support) & (F.col("confidence") >= threshold) & (F.col("kind") != _NONE))
+            .select("pattern", "kind", "confidence")
         )
         told = (
             links.join(patterns, "pattern")
@@ -293,15 +326,19 @@ def discover(
     best = known.join(seeds.select("value").distinct(), "value", "left_anti").where(F.col("score") >= threshold)
     best = best.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     slots = links.join(patterns, "pattern").select("value", "kind", "pattern")
-    return best.join(slots, ["value", "kind"]).groupBy("value", "kind").agg(F.collect_set("pattern").alias("patterns"))
+    return best.join(slots, ["value", "kind"])
 
 
 def _told(held: DataFrame, accepted: DataFrame) -> DataFrame:
-    """_pii_row and _pii_new: the candidates of each row that are accepted, with their kind."""
+    """_pii_row and _pii_new: the candidates of each row that are accepted, with their kind:
+    those that speak for themselves wherever they stand, others in an accepted pattern."""
     each = held.select("_pii_row", F.explode(F.filter("_pii_all", lambda s: s["kind"].isNull())).alias("s"))
-    each = each.select("_pii_row", "s.start", "s.end", "s.value", "s.slots").join(accepted, "value")
-    each = each.where(_strong(F.col("value")) | F.arrays_overlap("slots", "patterns"))
-    return each.groupBy("_pii_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("_pii_new"))
+    place = ["_pii_row", "s.start", "s.end", "s.value"]
+    accepted = checkpoint(accepted)
+    alone = each.where(_strong(F.col("s.value"))).select(*place).join(accepted.select("value", "kind").distinct(), "value")
+    weak = each.where(~_strong(F.col("s.value"))).select(*place, F.explode("s.slots").alias("pattern")).join(accepted, ["value", "pattern"])
+    found = alone.select("_pii_row", "start", "end", "kind").unionByName(weak.select("_pii_row", "start", "end", "kind").distinct())
+    return found.groupBy("_pii_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("_pii_new"))
 
 
 def _of(kind: str, spans: str) -> Column:
@@ -351,6 +388,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     once and written with the rows to the shared folder; only texts with candidates are
     joined with what bootstrapping accepts."""
     names = docs.columns
+    if own := [c for c in names if c.lower().startswith("_pii_")]:
+        raise ValueError(f"columns in use here: {own}")
     rows = docs.withColumn("_pii_row", F.monotonically_increasing_id()).withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
     held = written(all_spans(rows, "_pii_text").drop("_pii_text"), shared_folder(docs.sparkSession, "spans"))
     open_ = F.exists("_pii_all", lambda s: s["kind"].isNull())

@@ -44,31 +44,35 @@ def test_secrets_are_seeds_and_lead_to_others(spark):
 
 
 def brute_discover(rows, rounds, support, threshold):
+    ordinary = lambda v: not re.search(r"[^\W\d_]|@", v) and len(re.sub("[^0-9]", "", v)) <= 4
+    rows = [(k or ("none" if ordinary(v) else None), v, slots) for k, v, slots in rows]
     links = {(v, p) for _, v, slots in rows for p in slots}
     seeds = {(v, k) for k, v, slots in rows if k and slots}
-    of_pattern, of_value = {}, {}
+    of_pattern = {}
     for v, p in links:
         of_pattern.setdefault(p, set()).add(v)
-        of_value.setdefault(v, set()).add(p)
-    known = {s: 1.0 for s in seeds}
+    known, taken = {s: 1.0 for s in seeds}, {s for s, _ in seeds}
     for _ in range(rounds):
         sure = {}
         for p, values in of_pattern.items():
-            for kind in {k for _, k in known}:
-                scores = [known[v, kind] for v in values if (v, kind) in known]
-                if sum(s >= threshold for s in scores) >= support and sum(scores) / len(values) >= threshold:
-                    sure[p, kind] = sum(scores) / len(values)
+            own = {}
+            for (v, kind), x in known.items():
+                if v in values:
+                    own.setdefault(kind, []).append(x)
+            for kind, scores in own.items():
+                confidence = sum(scores) / (sum(map(sum, own.values())) + 1)
+                if kind != "none" and sum(s >= threshold for s in scores) >= support and confidence >= threshold:
+                    sure[p, kind] = confidence
         told_ = {}
         for (p, kind), c in sure.items():
-            for v in of_pattern[p]:
-                if v not in {s for s, _ in seeds}:
-                    told_[v, kind] = told_.get((v, kind), 1.0) * (1 - min(c, 1 - 1e-9))
+            for v in of_pattern[p] - taken:
+                told_[v, kind] = told_.get((v, kind), 1.0) * (1 - min(c, 1 - 1e-9))
         known = {s: 1.0 for s in seeds} | {k: 1 - x for k, x in told_.items()}
     best = {}
     for (v, kind), x in known.items():
-        if (v, kind) not in seeds and v not in {s for s, _ in seeds} and x >= threshold:
+        if v not in taken and x >= threshold:
             best[v] = max(best.get(v, (0.0, "")), (x, kind))
-    return {v: (kind, sorted(p for p in of_value[v] if (p, kind) in sure)) for v, (_, kind) in best.items()}
+    return {(v, kind, p) for v, (_, kind) in best.items() for p in of_pattern if v in of_pattern[p] and (p, kind) in sure}
 
 
 def test_discovery_equals_brute_force(spark):
@@ -80,13 +84,13 @@ def test_discovery_equals_brute_force(spark):
         if a in ("call", "mail") and rng.random() < 0.9:  # contexts of seeds
             value = f"+1 555 000 {1000 + rng.randrange(60)}" if a == "call" else f"u{rng.randrange(60)}@x{rng.randrange(9)}.org"
         else:
-            value = rng.choice([f"5550{rng.randrange(40):04d}", f"id{rng.randrange(30)}", f"n{rng.randrange(9)}@host"])
+            value = rng.choice([f"5550{rng.randrange(40):04d}", f"id{rng.randrange(30)}", f"n{rng.randrange(9)}@host", f"{rng.randrange(40)}", f"ABCD{rng.randrange(30):012d}", f"{rng.randrange(30):020d}abcdef"])
         rows.append((i, f"{a} {b}{rng.choice([' ', ': ', ' = '])}{value} {c} end"))
     df = spark.createDataFrame(rows, "doc_id long, t string")
     held = pii.checkpoint(pii.all_spans(df, "t").select("_pii_all"))
     spans = [(s.kind, s.value, s.slots) for r in held.collect() for s in r._pii_all]
     for support, threshold in ((3, 0.8), (2, 0.6)):
-        got = {r.value: (r.kind, sorted(r.patterns)) for r in pii.discover(held, support=support, threshold=threshold).collect()}
+        got = {(r.value, r.kind, r.pattern) for r in pii.discover(held, support=support, threshold=threshold).collect()}
         assert got and got == brute_discover(spans, pii.ROUNDS, support, threshold)
 
 
@@ -101,3 +105,38 @@ def test_texts_with_very_many_spans(spark):
     red = {r.doc_id: r.text for r in pii.redact(df).where(F.col("doc_id") > 0).collect()}
     assert red[1] == re.sub(r"\+1 555 [0-9]{7}", "<PHONE>", text) and red[2] == rows[1][1].replace("a@b.cd", "<EMAIL>")
     assert time.time() - began < 150
+
+
+def test_identifiers_of_an_unseen_make_are_found_in_random_contexts(spark):
+    """Keys like none of the seeds, at random places: what is drawn like the seeds leads to
+    them, they lead to a label and a beginning, and these to what is not drawn like any."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(rng.randrange(2, 9)))
+    draw = lambda n, s="0123456789abcdef": "".join(rng.choice(s) for _ in range(n))
+    def key(n, s="0123456789abcdef"):
+        while True:
+            k = draw(n, s)
+            if sum(c.isdigit() for c in k) in range(4, n - 3):
+                return k
+
+    planted, rows = {}, []
+    for i in range(160):
+        before, after = " ".join(word() for _ in range(5)), " ".join(word() for _ in range(4))
+        kind = i % 5
+        own = [f'token = "{key(40)}"', f"password={key(18)}", "AKIA" + key(16, "ABCDEFGHJK234567"), f"{rng.randrange(2000)}", f"version {rng.randrange(9)}.{rng.randrange(9)}"][kind]
+        if i in (31, 61):
+            own = f"password=sh0rt{i}"  # by its label alone
+        rows.append((i, f"{before} {own} {after}"))
+        value = own.split('"')[1] if kind == 0 else own.partition("=")[2] if kind == 1 else own
+        if kind < 3:
+            planted[i] = (rows[-1][1].index(value), value)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert got == {i: (f"secret:{planted[i][0]}:{planted[i][0] + len(planted[i][1])}" if i in planted else "") for i, _ in rows}
+
+
+def test_columns_in_use_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="_pii_x"):
+        pii.redact(spark.createDataFrame([("a", 1)], "text string, _pii_x int"))
