@@ -2,6 +2,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfmark.operators.substring import substring_join
 from shelfmark.operators.versions import latest_by
 from shelfmark.plans.registry import Plans
 from shelfmark.sources.tables import table
@@ -85,11 +86,11 @@ def left_keep_zero(spark, d):
 
 @named("""WITH n(note) AS (VALUES ('re'), ('ring'), ('bol'), ('zz'), ('ear')) SELECT note, count(*) AS parts, round(avg(p_retailprice), 6) AS price FROM n JOIN part ON p_name LIKE '%' || note || '%' GROUP BY 1""")
 def theta_contains_join(spark, d):
-    """Substring join against a small list of terms: the list becomes an array in the
-    plan, and each row yields the terms that it contains."""
-    terms = [r[0] for r in spark.createDataFrame([("re",), ("ring",), ("bol",), ("zz",), ("ear",)], "note string").collect()]
-    hits = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.col("p_name").contains(t))
-    return table(spark, d, "part").select("p_retailprice", F.explode(hits).alias("note")).groupBy("note").agg(F.count("*").alias("parts"), F.round(F.avg("p_retailprice"), 6).alias("price"))
+    """Substring join with a table of terms."""
+    terms = spark.createDataFrame([("re",), ("ring",), ("bol",), ("zz",), ("ear",)], "note string")
+    part = table(spark, d, "part")
+    hits = substring_join(part, "p_partkey", "p_name", terms, "note").join(part.select("p_partkey", "p_retailprice"), "p_partkey")
+    return hits.groupBy("note").agg(F.count("*").alias("parts"), F.round(F.avg("p_retailprice"), 6).alias("price"))
 
 
 @named("""WITH s AS (SELECT user_id, epoch(ts)::BIGINT AS a, coalesce(lead(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id), epoch(ts)::BIGINT + 3600) AS b, event_id AS seg FROM events WHERE event_type = 'signup'),

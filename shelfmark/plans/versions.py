@@ -257,14 +257,14 @@ def streaming_incremental_counts(spark, d):
     return counts_stream(spark, f"{d}/events.parquet", "ts", "event_type").withColumn("day", F.col("day").cast("string"))
 
 
-@named("""SELECT user_id, event_id, epoch_us(ts) AS at, event_type, value FROM (
+@named("""SELECT user_id, event_id, epoch_us(ts) AS at_us, event_type, value FROM (
 SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'""")
 def lww_stream(spark, d):
     """Upserts and tombstones as a stream with state per key."""
     from shelfmark.streaming.state import lww_stream
 
     rows = lww_stream(spark, f"{d}/events.parquet", "user_id", "ts", "event_id", "event_type = 'error'")
-    return rows.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
+    return rows.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_type", "value")
 
 
 @named("""WITH c AS (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS in_window FROM events)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfmark.functions.text import bare_name
+from shelfmark.shared import checkpoint
 
 #: Read-time schemas (fixed field names of the file formats).
 SNAPSHOT = (
@@ -167,13 +168,15 @@ def written_sorted(df: DataFrame, path: str, order: list[str], form: str = "json
 
 
 def failed_days(spark: SparkSession, path: str) -> DataFrame:
-    """owner, day, failed from a log whose header lines (``=== yyyy-mm-dd``) date the
-    lines after them (``OK owner`` or ``FAIL owner``); a success on a day beats a
-    failure. A log is read by one task, which sees its lines in order."""
-    from pyspark.sql import Window
-
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("n", "line"), F.col("_metadata.file_path").alias("f"))
-    header = F.nullif(F.regexp_extract("line", r"^=== (\d{4}-\d{2}-\d{2})", 1), F.lit(""))
-    day = F.last(header, ignorenulls=True).over(Window.partitionBy("f").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    outcome = lines.select(day.alias("day"), F.regexp_extract("line", r"^(OK|FAIL) (\S+)", 1).alias("o"), F.regexp_extract("line", r"^(OK|FAIL) (\S+)", 2).alias("owner"))
+    """owner, day, failed from logs whose header lines (``=== yyyy-mm-dd``) date the lines
+    after them (``OK owner`` or ``FAIL owner``); a success on a day beats a failure. A log
+    is read by as many tasks as its size asks for: a line's place is the block that it is
+    read with, and its number there; days are carried over from block to block."""
+    from shelfmark.operators.scans import last_seen
+
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = checkpoint(text)
+    header = F.nullif(F.regexp_extract("value", r"^=== (\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    dated = last_seen(lines, ["f"], ["block", "n"], header, "day")
+    outcome = dated.select("day", F.regexp_extract("value", r"^(OK|FAIL) (\S+)", 1).alias("o"), F.regexp_extract("value", r"^(OK|FAIL) (\S+)", 2).alias("owner"))
     return outcome.where("o <> '' AND day IS NOT NULL").groupBy("owner", "day").agg(F.bool_and(F.col("o") == "FAIL").alias("failed"))

@@ -18,6 +18,10 @@ from shelfmark.shared import new_folder
 from shelfmark.streaming.feeds import BUCKETS, _read, _Versions, files
 
 
+#: Times as text without loss.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def _run(rows: DataFrame, put, state: str) -> None:
     query = rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -36,7 +40,7 @@ def lww_stream(spark: SparkSession, path: str, key: str, time: str, tie: str, de
     source = files(spark, path)
     columns = [c for c in source.columns]
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    data = F.to_json(F.struct(*columns))
+    data = F.to_json(F.struct(*columns), _EXACT)
     rows = source.select(F.col(key).alias("k"), F.col(time).cast("timestamp").alias("_t"), at.alias("at"), F.col(tie).cast("long").alias("tie"), F.coalesce(F.expr(deleted), F.lit(False)).alias("gone"), data.alias("data"))
     kind = source.schema[key].dataType.simpleString()
 
@@ -62,7 +66,7 @@ def lww_stream(spark: SparkSession, path: str, key: str, time: str, tie: str, de
 
     def put(batch: DataFrame, n: int) -> None:
         own = batch.sparkSession
-        new = batch.select("gone", F.from_json("data", source.schema).alias("d")).select("gone", "d.*").persist()
+        new = batch.select("gone", F.from_json("data", source.schema, _EXACT).alias("d")).select("gone", "d.*").persist()
         touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]
         before = kept.listed(own, n)
         old = kept.rows(own, {b: v for b, v in before.items() if b in touched})
