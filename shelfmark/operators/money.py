@@ -36,15 +36,23 @@ def convert(amount: Column, source: Column, target: Column, source_rate: Column,
     return F.when((source == target) | (amount == 0), amount).otherwise(amount / source_rate * target_rate)
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float], weight: str | None = None) -> DataFrame:
+def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """groups, value and _c, how many rows have it, in ranges of values (_part), for
+    ``quantiles`` by any of the groups. Nulls do not count. Ranges lie in a checkpoint, as
+    every quantile reads them more than once."""
+    counted = df.groupBy(*groups, value).agg(F.count(value).alias("_c"))
+    return checkpoint(counted.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
     """groups, n, q: exact quantiles of each group (of all rows without groups), between
-    neighbouring values in proportion. Nulls do not count. ``weight`` is a column of counts.
+    neighbouring values in proportion. Nulls do not count. ``df``: rows, or what
+    ``value_counts`` makes of them.
 
-    Rows become counts of values first; these are range-partitioned, so that neither a
-    group nor all rows must fit into one task: ranks are sums within a range and one sum
-    per range and group."""
-    counted = df.groupBy(*groups, value).agg((F.sum(F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(0)) if weight else F.count(value)).alias("_c"))
-    ranged = checkpoint(counted.repartitionByRange(*groups, value).withColumn("_part", F.spark_partition_id()))
+    Counts of values are range-partitioned, so that neither a group nor all rows must fit
+    into one task: ranks are sums within a range and one sum per range and group."""
+    ranged = df if "_part" in df.columns else value_counts(df, groups, value)
+    ranged = ranged.groupBy("_part", *groups, value).agg(F.sum("_c").alias("_c"))
     before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # A row per range and group.
     sums = ranged.groupBy("_part", *groups).agg(F.sum("_c").alias("_c"))
@@ -65,11 +73,10 @@ def quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float],
 
 def shrunk_median(df: DataFrame, groups: list[str], value: str, least: int, out: str) -> DataFrame:
     """One row per group: the group's median if it has ``least`` values or more, else that
-    of all rows. Both come from the same counts."""
-    counted = checkpoint(df.groupBy(*groups, value).agg(F.count("*").alias("_w")))
-    everything = quantiles(counted, [], value, [0.5], "_w").select(F.col("q")[0].alias("_all"))
-    grouped = quantiles(counted, groups, value, [0.5], "_w")
-    joined = grouped.join(F.broadcast(everything))
+    of all rows. Both come from the same counts (``df``: rows, or their ``value_counts``)."""
+    counted = df if "_part" in df.columns else value_counts(df, groups, value)
+    everything = quantiles(counted, [], value, [0.5]).select(F.col("q")[0].alias("_all"))
+    joined = quantiles(counted, groups, value, [0.5]).join(F.broadcast(everything))
     return joined.select(*groups, "n", F.when(F.col("n") >= least, F.col("q")[0]).otherwise(F.col("_all")).alias(out))
 
 

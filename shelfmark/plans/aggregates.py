@@ -3,6 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators import reports as R
+from shelfmark.operators.money import quantiles
 from shelfmark.plans.registry import Plans
 from shelfmark.sources.tables import table
 
@@ -37,7 +38,9 @@ def null_guarded_avg_min_max(spark, d):
 @named("SELECT l_returnflag, round(median(l_extendedprice / l_quantity * 100), 6) AS med, round_even(median(l_quantity), 0)::INTEGER AS whole FROM lineitem WHERE l_quantity > 0 GROUP BY 1")
 def median_unit_price(spark, d):
     l = table(spark, d, "lineitem").where("l_quantity > 0").withColumn("v", F.col("l_extendedprice") / F.col("l_quantity") * 100)
-    return l.groupBy("l_returnflag").agg(F.round(F.median("v"), 6).alias("med"), F.rint(F.median("l_quantity")).cast("int").alias("whole"))
+    of = lambda c: quantiles(l, ["l_returnflag"], c, [0.5]).select("l_returnflag", F.col("q")[0].alias("q"))
+    med, whole = of("v").select("l_returnflag", F.round("q", 6).alias("med")), of("l_quantity").select("l_returnflag", F.rint("q").cast("int").alias("whole"))
+    return med.join(whole, "l_returnflag")
 
 
 @named("""WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part WHERE p_type <> 'PROMO' GROUP BY ALL)
@@ -235,7 +238,7 @@ def natural_order_numbering(spark, d):
 @named("SELECT p_partkey, round(median(p_retailprice) OVER (PARTITION BY p_brand), 6) AS med, count(*) OVER (PARTITION BY p_brand) AS n FROM part")
 def group_stat_back_to_rows(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
-    g = p.groupBy("p_brand").agg(F.round(F.median("p_retailprice"), 6).alias("med"), F.count("*").alias("n"))
+    g = quantiles(p, ["p_brand"], "p_retailprice", [0.5]).select("p_brand", F.round(F.col("q")[0], 6).alias("med"), "n")
     return p.join(g, "p_brand").select("p_partkey", "med", "n")
 
 
@@ -250,17 +253,17 @@ def frequency_promotion(spark, d):
     return t.groupBy("w").agg(F.count("*").alias("n")).where("n >= 25").join(lexicon, "w", "left_anti")
 
 
-@named("""WITH c AS (SELECT note, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS note FROM part WHERE p_size = 1 AND p_brand = 'Brand#1') GROUP BY 1),
+@named("""WITH c AS (SELECT note, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS note FROM part) GROUP BY 1),
 u AS (SELECT note, n FROM c UNION ALL SELECT f, 0 FROM (VALUES ('fresh'), ('sweet'), ('round'), ('dry')) v(f) WHERE f NOT IN (SELECT note FROM c))
-SELECT note, n, row_number() OVER (ORDER BY n DESC, note) AS rk FROM u QUALIFY rk <= 8""")
+SELECT note, n, row_number() OVER (ORDER BY n DESC, note) AS rk FROM u QUALIFY rk <= 40""")
 def count_merge_pad(spark, d):
     """Counts, filled up with defaults."""
     from shelfmark.operators.search import ranked
 
-    p = table(spark, d, "part").where("p_size = 1 AND p_brand = 'Brand#1'").select(F.explode(F.split("p_name", " ")).alias("note"))
+    p = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("note"))
     c = p.groupBy("note").agg(F.count("*").alias("n"))
     pad = spark.createDataFrame([("fresh",), ("sweet",), ("round",), ("dry",)], "note string").join(c, "note", "left_anti").withColumn("n", F.lit(0).cast("long"))
-    return ranked(c.unionByName(pad), [F.desc("n"), F.asc("note")], last=8)
+    return ranked(c.unionByName(pad), [F.desc("n"), F.asc("note")], last=40)
 
 
 @named("SELECT conv_id, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1")
@@ -270,8 +273,9 @@ def entity_match_counts(spark, d):
     return g.select("conv_id", "users", "assistants", F.array_join(F.transform("l", lambda x: x["role"]), ",").alias("roles"))
 
 
-@named("""SELECT p_type, count(*) AS n, round(quantile_cont(p_retailprice, 0.25), 6) AS p25, round(median(p_retailprice), 6) AS p50 FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') GROUP BY 1 HAVING count(*) >= 5""")
+@named("""SELECT p_type, p_brand, count(*) AS n, round(quantile_cont(p_retailprice, 0.25), 6) AS p25, round(median(p_retailprice), 6) AS p50 FROM part WHERE p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL') GROUP BY ALL HAVING count(*) >= 5""")
 def min_sample_class_stats(spark, d):
-    p = table(spark, d, "part").where(F.col("p_brand").isin("Brand#1", "Brand#2")).groupBy("p_type")
-    q = F.expr("percentile(p_retailprice, array(0.25, 0.5))")
-    return p.agg(F.count("*").alias("n"), F.round(q[0], 6).alias("p25"), F.round(q[1], 6).alias("p50")).where("n >= 5")
+    """Quartile and median per brand of the classes of a fixed list, where a sample is large enough."""
+    classes = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")
+    found = quantiles(table(spark, d, "part").where(F.col("p_type").isin(*classes)), ["p_type", "p_brand"], "p_retailprice", [0.25, 0.5])
+    return found.where("n >= 5").select("p_type", "p_brand", "n", F.round(F.col("q")[0], 6).alias("p25"), F.round(F.col("q")[1], 6).alias("p50"))

@@ -7,6 +7,7 @@ from shelfmark.functions import classes as C
 from shelfmark.functions.text import slug
 from shelfmark.operators import boolsearch as B
 from shelfmark.operators import quality as Q
+from shelfmark.operators.money import quantiles
 from shelfmark.operators.search import ranked
 from shelfmark.operators.versions import latest_by
 from shelfmark.plans.registry import Plans
@@ -88,7 +89,7 @@ def farm_detail(spark, d):
 
 @named("""WITH v AS (SELECT p_type, p_name, p_brand, max(p_partkey) AS p_partkey, max_by(p_size, p_partkey) AS p_size FROM part GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_partkey) AS rk, count(*) OVER (PARTITION BY p_type) AS total FROM v),
-o AS (SELECT l_partkey, string_agg(q::VARCHAR || 'x' || n::VARCHAR, ',' ORDER BY q) AS options FROM (SELECT l_partkey, l_quantity::INTEGER AS q, count(*) AS n FROM lineitem WHERE l_quantity <= 5 GROUP BY ALL) GROUP BY 1)
+o AS (SELECT l_partkey, string_agg(q::VARCHAR || 'x' || n::VARCHAR, ',' ORDER BY q) AS options FROM (SELECT l_partkey, l_quantity::INTEGER AS q, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1)
 SELECT p_type, p_partkey, p_name, p_size, rk, total, ceil(total / 10.0)::BIGINT AS pages, coalesce(options, '') AS options FROM r LEFT JOIN o ON l_partkey = p_partkey WHERE rk BETWEEN 11 AND 20""")
 def process_parts_page(spark, d):
     """The second page of ten of each type: newest version per name and brand, with the
@@ -96,7 +97,7 @@ def process_parts_page(spark, d):
     v = latest_by(table(spark, d, "part").select("p_type", "p_name", "p_brand", "p_partkey", "p_size"), ["p_type", "p_name", "p_brand"], ["p_partkey"])
     own = Window.partitionBy("p_type")
     page = v.withColumn("rk", F.row_number().over(own.orderBy("p_name", "p_partkey"))).withColumn("total", F.count("*").over(own)).where("rk BETWEEN 11 AND 20")
-    q = table(spark, d, "lineitem").where("l_quantity <= 5").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("int").alias("q"))
+    q = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("int").alias("q"))
     # Ten rows for each type.
     q = q.join(page.select("p_partkey"), "p_partkey", "left_semi").groupBy("p_partkey", "q").agg(F.count("*").alias("n"))
     o = q.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("q", "n"))).alias("l"))
@@ -108,7 +109,7 @@ def process_parts_page(spark, d):
 def process_detail(spark, d):
     """Each type: parts, brands, median price, most common notes."""
     p = table(spark, d, "part")
-    stats = p.groupBy("p_type").agg(F.count("*").alias("parts"), F.count_distinct("p_brand").alias("brands"), F.round(F.median("p_retailprice"), 4).alias("price"))
+    stats = p.groupBy("p_type").agg(F.count("*").alias("parts"), F.count_distinct("p_brand").alias("brands")).join(quantiles(p, ["p_type"], "p_retailprice", [0.5]).select("p_type", F.round(F.col("q")[0], 4).alias("price")), "p_type")
     return stats.join(top(p.select("p_type", F.explode(F.split("p_name", " ")).alias("note")), "p_type", "note", 5, "notes"), "p_type")
 
 
@@ -135,7 +136,8 @@ def variety_detail(spark, d):
     """Each word with what stands at its place in a second list: the two are zipped."""
     p = table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.arrays_zip(F.split("p_name", " ").alias("variety"), F.array("p_brand", "p_type").alias("origin"))).alias("z"))
     z = p.select("p_partkey", "p_size", "z.variety", "z.origin")
-    stats = z.groupBy("variety").agg(F.count_distinct("p_partkey").alias("parts"), F.round(F.median("p_size"), 4).alias("size"))
+    size = quantiles(z, ["variety"], "p_size", [0.5]).select("variety", F.round(F.col("q")[0], 4).alias("size"))
+    stats = z.groupBy("variety").agg(F.count_distinct("p_partkey").alias("parts")).join(size, "variety")
     return stats.join(top(z, "variety", "origin", 3, "origins"), "variety")
 
 
@@ -183,7 +185,7 @@ def sort_key_whitelist(spark, d):
     return page("unit_price", True).unionByName(page("1; DROP", False))
 
 
-_TARGETS = "WITH t AS (SELECT * FROM part WHERE p_partkey % 500 = 7), n AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, string_split(p_name, ' ') AS notes FROM part)"
+_TARGETS = "WITH t AS (SELECT * FROM part WHERE p_partkey % 50 = 7), n AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, string_split(p_name, ' ') AS notes FROM part)"
 
 
 @named(_TARGETS + """, c AS (SELECT t.p_partkey AS target, n.p_partkey, n.p_name, (CASE WHEN list_contains(n.notes, split_part(t.p_name, ' ', 1)) THEN 3.0 ELSE 0 END + CASE WHEN list_contains(n.notes, split_part(t.p_name, ' ', 2)) THEN 3.0 ELSE 0 END
@@ -200,7 +202,7 @@ def recommend_by_target_facets(spark, d):
         F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value"), F.lit(0.5).alias("weight")) for c in ("p_type", "p_size")]),
     )
     rows = p.select("p_partkey", "p_name", "p_brand", "p_size", F.explode(facets).alias("f")).select("p_partkey", "p_name", "p_brand", "p_size", "f.*")
-    t = rows.where(F.col("p_partkey") % 500 == 7).select(F.col("p_partkey").alias("target"), F.col("p_brand").alias("own"), "kind", "value")
+    t = rows.where(F.col("p_partkey") % 50 == 7).select(F.col("p_partkey").alias("target"), F.col("p_brand").alias("own"), "kind", "value")
     hits = rows.where("p_size > 1").join(t, ["kind", "value"]).where("p_partkey <> target")
     scored = hits.groupBy("target", "own", "p_partkey", "p_name", "p_brand").agg(F.sum("weight").alias("facets"))
     scored = scored.withColumn("score", F.col("facets") + F.when(F.col("p_brand") != F.col("own"), 10.0).otherwise(0.0))

@@ -129,9 +129,9 @@ def full_outer_reconcile(spark, d):
 
 
 @named("""SELECT p_brand, string_agg(q::VARCHAR || 'x' || n::VARCHAR, ';' ORDER BY q) AS options FROM (
-SELECT p_brand, l_quantity::INTEGER AS q, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity <= 3 GROUP BY ALL) GROUP BY 1""")
+SELECT p_brand, l_quantity::INTEGER AS q, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) GROUP BY 1""")
 def nested_child_list(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    c = table(spark, d, "lineitem").where("l_quantity <= 3").join(p, "l_partkey").groupBy("p_brand", F.col("l_quantity").cast("int").alias("q")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "lineitem").join(p, "l_partkey").groupBy("p_brand", F.col("l_quantity").cast("int").alias("q")).agg(F.count("*").alias("n"))
     g = c.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("q", "n"))).alias("l"))
     return g.select("p_brand", F.array_join(F.transform("l", lambda x: F.concat_ws("x", x["q"].cast("string"), x["n"].cast("string"))), ";").alias("options"))

@@ -89,9 +89,9 @@ def quantile_bands_with_fallback(spark, d):
     """Quartiles per brand; brands with few rows take those of all rows."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     x = table(spark, d, "lineitem").where("l_quantity > 0").join(p, "l_partkey").select("p_brand", (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
-    counted = checkpoint(x.groupBy("p_brand", "v").agg(F.count("*").alias("w")))
-    own = M.quantiles(counted, ["p_brand"], "v", [0.25, 0.5, 0.75], "w").where("n >= 3")
-    bands = own.join(F.broadcast(M.quantiles(counted, [], "v", [0.25, 0.5, 0.75], "w").select(F.col("q").alias("g"))))
+    counted = M.value_counts(x, ["p_brand"], "v")
+    own = M.quantiles(counted, ["p_brand"], "v", [0.25, 0.5, 0.75]).where("n >= 3")
+    bands = own.join(F.broadcast(M.quantiles(counted, [], "v", [0.25, 0.5, 0.75]).select(F.col("q").alias("g"))))
     pick = lambda i: F.round(F.when(F.col("n") < 2400, F.col("g")[i]).otherwise(F.col("q")[i]), 6)
     return bands.select("p_brand", "n", pick(0).alias("p25"), pick(1).alias("p50"), pick(2).alias("p75"))
 
@@ -136,9 +136,10 @@ def ensemble(spark, d):
     """Two detectors (distance from the brand's and the type's median), each scaled to
     0..1, and their mean."""
     x = table(spark, d, "part").where("p_size > 0").select("p_partkey", "p_name", "p_size", "p_brand", "p_type", (F.col("p_retailprice") / F.col("p_size")).alias("v"))
-    rows = x.join(M.shrunk_median(x, ["p_brand"], "v", 5, "ma").drop("n"), "p_brand").join(M.shrunk_median(x, ["p_type"], "v", 5, "mb").drop("n"), "p_type")
+    counted = M.value_counts(x, ["p_brand", "p_type"], "v")
+    rows = x.join(M.shrunk_median(counted, ["p_brand"], "v", 5, "ma").drop("n"), "p_brand").join(M.shrunk_median(counted, ["p_type"], "v", 5, "mb").drop("n"), "p_type")
     far = lambda m: F.abs(F.log(F.col("v") / F.col(m) + 1e-4))
-    scaled = M.min_max(rows.select("p_partkey", "p_name", "p_size", far("ma").alias("sf"), far("mb").alias("sg")), ["sf", "sg"])
+    scaled = M.min_max(checkpoint(rows.select("p_partkey", "p_name", "p_size", far("ma").alias("sf"), far("mb").alias("sg"))), ["sf", "sg"])
     return scaled.withColumn("score", F.col("sf") * 0.5 + F.col("sg") * 0.5)
 
 

@@ -5,6 +5,7 @@ Child rows are joined to the few rows of a page, never fetched one by one.
 from pyspark.sql import functions as F
 
 from shelfmark.operators.boolsearch import array_term, matches
+from shelfmark.operators.money import quantiles
 from shelfmark.operators.search import Facets, position_decay, ranked, search
 from shelfmark.operators.versions import latest_by
 from shelfmark.plans.facets import location_closure, parts
@@ -86,6 +87,6 @@ def region_detail(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.coalesce(F.when(F.col("p_size") > 5, F.col("p_brand")), F.lit("unknown")).alias("bucket"), "p_type", "p_size")
     pairs = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().join(s, "l_suppkey").select("n_name", "l_partkey").distinct()
-    return pairs.join(p, "l_partkey").groupBy("n_name", "bucket").agg(
-        F.count("*").alias("parts"), F.round(F.median("p_size"), 6).alias("elevation"), F.mode("p_type", True).alias("common")
-    )
+    rows = pairs.join(p, "l_partkey")
+    stats = rows.groupBy("n_name", "bucket").agg(F.count("*").alias("parts"), F.mode("p_type", True).alias("common"))
+    return stats.join(quantiles(rows, ["n_name", "bucket"], "p_size", [0.5]).select("n_name", "bucket", F.round(F.col("q")[0], 6).alias("elevation")), ["n_name", "bucket"])
