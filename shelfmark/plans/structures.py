@@ -1,7 +1,7 @@
 """Joins by substrings and intervals, scans over large keys, trees, migrations, detectors."""
 from pyspark.sql import functions as F
 
-from shelfmark.operators import hierarchy, intervals, scans, substring
+from shelfmark.operators import detectors, hierarchy, intervals, migrate, scans, substring
 from shelfmark.plans.registry import Plans
 from shelfmark.sources.tables import table
 
@@ -60,3 +60,35 @@ def tree_rollup(spark, d):
     edges = p.select(key.alias("node"), F.when(key > 0, F.floor((key - 1) / 2)).alias("parent"))
     sums = (F.count("*").alias("below"), F.sum("p_size").alias("size"), F.max("p_retailprice").alias("price"))
     return hierarchy.rolled_up(edges, "node", "parent", p.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", *sums)
+
+
+@named("""SELECT p_partkey, (p_partkey % 3)::INTEGER AS shape, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN 'Medium' WHEN p_partkey % 4 = 1 THEN 'Dark' END AS roast_level, p_brand AS country,
+CASE WHEN p_partkey % 3 < 2 THEN greatest(p_size - 5, 0) ELSE p_size END AS low, CASE WHEN p_partkey % 3 < 2 THEN greatest(p_size - 5, 0) ELSE p_size + 100 END AS high,
+CASE WHEN p_partkey % 3 <> 1 THEN p_type END AS process, 'GBP' AS currency, p_retailprice AS price, CASE WHEN p_partkey % 3 = 0 AND p_size > 10 THEN '2023-05-01T00:00:00' END AS harvest FROM part""")
+def migrate_records(spark, d):
+    """JSON records of three shapes in one column, as one shape."""
+    k = F.col("p_partkey")
+    level = F.when(k % 4 == 0, "Espresso").when(k % 4 == 1, "Dark").when(k % 4 == 2, "Burnt")
+    same = [F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), level.alias("roast_level")]
+    old = (F.col("p_size") - 5).alias("elevation")
+    harvest = F.when(F.col("p_size") > 10, "2023-05-01").otherwise("2019-05-01")
+    zero = F.struct(*same, F.struct(F.col("p_brand").alias("country"), old).alias("origin"), F.col("p_type").alias("process"), harvest.alias("harvest_date"))
+    one = F.struct(*same, F.array(F.struct(F.col("p_brand").alias("country"), old)).alias("origins"))
+    two = F.struct(*same, F.array(F.struct(F.col("p_brand").alias("country"), F.col("p_size").alias("elevation_min"), (F.col("p_size") + 100).alias("elevation_max"), F.col("p_type").alias("process"))).alias("origins"))
+    record = F.when(k % 3 == 0, F.to_json(zero)).when(k % 3 == 1, F.to_json(one)).otherwise(F.to_json(two))
+    rows = migrate.migrated(table(spark, d, "part").select("p_partkey", record.alias("record")), "record")
+    o = F.col("bean.origins")[0]
+    return rows.select("p_partkey", "shape", "bean.name", "bean.roast_level", o["country"].alias("country"), o["elevation_min"].alias("low"), o["elevation_max"].alias("high"), o["process"].alias("process"), "bean.currency", "bean.price", o["harvest_date"].alias("harvest"))
+
+
+@named()
+def detector_consensus(spark, d):
+    """Odd documents by three detectors over length, words and marks, weighted by how well
+    each tells the labelled bad ones; the forest's sample is beyond SQL, tests hold it."""
+    t = F.coalesce("text", F.lit(""))
+    size = F.length(t).cast("double")
+    features = [F.log1p(size).alias("x"), (F.length(F.regexp_replace(t, r"[^ \n\t]", "")) / (size + 1)).alias("y"), (F.length(F.regexp_replace(t, "[^#*$%&|<>!]", "")) / (size + 1)).alias("z")]
+    labels = table(spark, d, "labels").groupBy("doc_id").agg((1 - F.max("quality")).alias("odd"))
+    rows = table(spark, d, "documents").select("doc_id", *features).join(labels, "doc_id", "left")
+    scored, _ = detectors.consensus(rows, ["x", "y", "z"], "doc_id", "odd")
+    return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("s_forest", "s_grid", "s_distance", "score")])

@@ -163,10 +163,28 @@ def with_audio(episodes: DataFrame, audio: DataFrame, columns: list[str], kind:
 
 
 def written_sorted(df: DataFrame, path: str, order: list[str], form: str = "json") -> None:
-    """A small table as one file in a total order, so that equal tables give equal files."""
+    """A small table, as a mapping is, as one file in a total order, so that equal tables
+    give equal files. One task writes it; see ``written_in_parts`` for others."""
     df.orderBy(*order).coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").format(form).option("header", True).option("ignoreNullFields", False).save(path)
 
 
+def written_in_parts(df: DataFrame, path: str, order: list[str], rows: int = 10_000) -> None:
+    """A table of any size as JSON lines in a total order, ``rows`` to a file, and a manifest
+    (file, rows, first and last key, sha256 of the lines). Which rows a file holds hangs on
+    their place in the order alone, so equal tables give equal files and digests, however
+    many tasks have written them."""
+    from shelfmark.operators.versions import surrogate_ids
+
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    placed = surrogate_ids(df.select(*order, line.alias("_line")), [*order, "_line"], "_id")
+    dealt = placed.withColumn("file", F.lpad(F.floor((F.col("_id") - 1) / rows).cast("string"), 10, "0"))
+    dealt.repartition("file").sortWithinPartitions("file", "_id").select("_line", "file").write.mode("overwrite").partitionBy("file").text(f"{path}/data")
+    key = F.to_json(F.struct(*order), {"ignoreNullFields": "false"})
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("_id", "_line"))), lambda x: x["_line"])  # ``rows`` at most
+    listed = dealt.groupBy("file").agg(F.count("*").alias("rows"), F.min_by(key, "_id").alias("first"), F.max_by(key, "_id").alias("last"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+    listed.orderBy("file").write.mode("overwrite").json(f"{path}/manifest")
+
+
 def failed_days(spark: SparkSession, path: str) -> DataFrame:
     """owner, day, failed from logs whose header lines (``=== yyyy-mm-dd``) date the lines
     after them (``OK owner`` or ``FAIL owner``); a success on a day beats a failure. A log
