@@ -284,12 +284,17 @@ def all_spans(df: DataFrame, text: str) -> DataFrame:
     return df.drop("_pii_more", "_pii_blocks", "_pii_length", "_pii_mask", *[f"_pii_{k}" for k in _SEEDS])
 
 
-#: The kind of what is no identifier: at most four digits, no letter.
+#: The kind of what is no identifier: at most four digits and no letter, or what looks like
+#: a card's number or an address of the internet and fails its check.
 _NONE = "none"
 
 
 def _ordinary(value: Column) -> Column:
-    return value.rlike(r"^[^\p{L}@]*+$") & (F.length(F.regexp_replace(value, "[^0-9]", "")) <= 4)
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    small = value.rlike(r"^[^\p{L}@]*+$") & (digits <= 4)
+    card = F.when(value.rlike(r"^[0-9](?:[\x20-]?+[0-9])++$") & digits.between(16, 19), ~_valid("card", value)).otherwise(F.lit(False))
+    ip = F.when(value.rlike(r"^[0-9]++(?:\.[0-9]++){3}$"), ~_valid("ip", value)).otherwise(F.lit(False))
+    return small | card | ip
 
 
 def discover(
