@@ -13,9 +13,18 @@ from shelfmark.shared import checkpoint
 
 
 def grams(text: Column, n: int) -> Column:
-    """Distinct runs of ``n`` characters."""
-    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
+    """Distinct runs of ``n`` characters. Characters are told apart once, and runs are
+    joined from them, so a long text takes no more for each than a short one."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def runs(c):
+        out = c
+        for k in range(1, n):
+            size = F.greatest(F.size(c) - k, F.lit(0))
+            out = F.zip_with(F.slice(out, F.lit(1), size), F.slice(c, F.lit(k + 1), size), lambda x, y: F.concat(x, y))
+        return F.array_distinct(out)
+
+    return F.transform(F.array(chars), runs)[0]
 
 
 def substring_join(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
@@ -26,7 +35,8 @@ def substring_join(texts: DataFrame, key: str, text: str, terms: DataFrame, term
     own = checkpoint(texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL"))
     short = F.when(F.length("term") < 3, F.array("term"))
     choices = t.select("term", F.explode(F.coalesce(short, grams(F.col("term"), 3))).alias("gram"))
-    every = F.concat(*[grams(F.col("text"), n) for n in (1, 2, 3)])
+    sizes = sorted(r[0] for r in t.select(F.least(F.length("term"), F.lit(3))).distinct().collect())  # 1, 2 or 3
+    every = F.concat(*[grams(F.col("text"), n) for n in sizes or [3]])
     held = checkpoint(own.select("key", F.explode(every).alias("gram")).join(choices.select("gram").distinct(), "gram", "left_semi"))
     often = held.groupBy("gram").agg(F.count("*").alias("n"))
     # A trigram that no text has keeps its term from every text.

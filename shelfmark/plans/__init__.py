@@ -5,7 +5,7 @@ table folder) and of DuckDB SQL over the same tables.
 """
 from importlib import import_module
 
-MODULES = ("versions", "facets", "ranking", "money", "nested", "aggregates", "joins", "sets", "text", "checks", "entities", "pages", "details", "structures")
+MODULES = ("versions", "facets", "ranking", "money", "nested", "aggregates", "joins", "sets", "text", "checks", "entities", "pages", "details", "structures", "requests")
 
 
 def collect() -> tuple[dict, dict]:
