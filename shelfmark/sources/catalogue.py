@@ -84,6 +84,24 @@ def mapping(spark: SparkSession, path: str, schema: str, key: str, order: str |
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), by).alias("_m")).select(key, "_m.*")
 
 
+def open_notes(spark: SparkSession, path: str, done: DataFrame, least: float = 0.7) -> DataFrame:
+    """note: each distinct trimmed note of the confident rows of a category CSV (the note
+    itself and its three categories), without those that ``done`` (note) has."""
+    columns = ["tasting_note", "tertiary_category", "secondary_category", "primary_category"]
+    rows = spark.read.option("header", True).csv(path).where(F.col("confidence").try_cast("double") > least)
+    notes = rows.select(F.explode(F.array(*[F.btrim(c) for c in columns])).alias("note")).where("note <> ''").distinct()
+    return notes.join(done, "note", "left_anti")
+
+
+def registered(rows: DataFrame, column: str, dimension: DataFrame, key: str) -> DataFrame:
+    """``rows``, after a check that each value of ``column`` that is not null is in the
+    dimension. Others raise, with up to ten of them named."""
+    lost = rows.select(F.col(column).alias("_v")).where("_v IS NOT NULL").distinct().join(dimension.select(F.col(key).alias("_v")), "_v", "left_anti")
+    if names := [r[0] for r in lost.orderBy("_v").limit(10).collect()]:
+        raise ValueError(f"{column} not in the dimension: {names}")
+    return rows
+
+
 def region_mappings(spark: SparkSession, folder: str) -> DataFrame:
     """country, region, state: one JSON object per country, keyed by raw region; a region
     mapped to null is there with a null state."""

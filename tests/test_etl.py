@@ -141,3 +141,14 @@ def test_rows_break_the_bounds_they_break(spark, tmp_path):
     raw = C.snapshots(spark, str(tmp_path)).select("name", violations(etl.row_rules()).alias("broken"), etl.clean_notes(F.col("tasting_notes")).alias("notes"))
     got = {r.name: (r.broken, r.notes) for r in raw.collect()}
     assert got == {"a": (["price", "weight", "cupping_score", "elevation", "latitude", "longitude"], None), "b": ([], None), "c": ([], ["Plum", "Green Apple"])}
+
+
+def test_open_notes_and_registered_values(spark, tmp_path):
+    lines = ["tasting_note,tertiary_category,secondary_category,primary_category,confidence", "Plum , Stone,Fruit,Sweet,0.9", "fig,Dried,Fruit,,0.8", "tar,x,y,z,0.7", "smoke,x,y,z,none", '"a, b",Stone,,,1']
+    (tmp_path / "n.csv").write_text("\n".join(lines))
+    done = spark.createDataFrame([("Fruit",), ("other",)], "note string")
+    assert sorted(r.note for r in C.open_notes(spark, str(tmp_path / "n.csv"), done).collect()) == ["Dried", "Plum", "Stone", "Sweet", "a, b", "fig"]
+    rows, places = spark.createDataFrame([("r1", "DE"), ("r2", None)], "name string, code string"), spark.createDataFrame([("DE",), ("FR",)], "alpha string")
+    assert C.registered(rows, "code", places, "alpha").count() == 2
+    with pytest.raises(ValueError, match="XX"):
+        C.registered(rows.union(spark.createDataFrame([("r3", "XX")], rows.schema)), "code", places, "alpha")
