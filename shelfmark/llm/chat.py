@@ -160,7 +160,9 @@ def render(turns: DataFrame, folder: str, visitor: Visitor | None = None) -> Dat
 def digests(formatted: DataFrame) -> DataFrame:
     """One row per formatted conversation, parsed back from its text: n_turns,
     turns_sha256 (role, line feed, text, line feed), loss_chars and loss_sha256 of what is
-    under the loss mask, unescaped, formatted_chars, n_attachments, tokens_added."""
+    under the loss mask, unescaped, formatted_chars, n_attachments, tokens_added. Texts
+    are read in the pieces that they were written in, whatever their length; a null text
+    was written as an empty one, and a conversation that nobody has written has no row."""
 
     def parse(batches):
         out: list[tuple] = []

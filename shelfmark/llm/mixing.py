@@ -91,7 +91,9 @@ def assign(
     A copy is taken if its middle lies below the target, so a source's sum misses the
     target by half a document at most. Null texts and texts without words have size 0
     and are never taken; a null source is a source of its own, after all others.
-    Repeated rows count as rows of their own. No rows give no rows."""
+    Repeated rows count as rows of their own; rows alike in id, source and text are told
+    apart by nothing, and their places may be exchanged. Texts of any length are counted
+    whole. Other columns are not read, so their names may clash. No rows give no rows."""
     sized = checkpoint(
         docs.select(
             F.col(doc_id).alias("doc_id"),
@@ -143,8 +145,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     row of ``assign`` says, range-sorted by the time at which each copy is due. Rows that
     share id, source and size are told apart by a digest of their text, and those that
     share that too are alike; each takes one row of the plan, so repeated ids are taken
-    as often as planned. Columns stay those of ``docs``; their names must not begin with
-    _mix_. Null texts and texts without words are never taken; no rows give no rows."""
+    as often as planned. Columns stay those of ``docs``; names that begin with _mix_ raise,
+    as the work uses them. Null texts and texts without words are never taken; no rows give no rows."""
+    if own := [c for c in docs.columns if c.lower().startswith("_mix_")]:
+        raise ValueError(f"columns in use here: {own}")
     key = ["doc_id", "source", "size"]
     plan = assign(docs, doc_id, text, source, **how)
     values = ("source_size", "target", "copies", "_start", "_end", "_place")
