@@ -208,13 +208,13 @@ def _make(value: Column) -> Column:
 
 
 def _own_patterns(value: Column) -> Column:
-    """Patterns of a value that looks drawn at random, 16 characters or more with four
-    letters and four digits at least: that it does, and its first four letters."""
+    """Patterns of a word of 16 letters, digits and underscores or more: that it looks drawn
+    at random, with four letters and four digits at least, and its first four letters."""
     count = lambda c: F.length(F.regexp_replace(value, f"[^{c}]", ""))
-    drawn = value.rlike("^[A-Za-z0-9_]{16,}+$") & (count("0-9") >= 4) & (count("A-Za-z") >= 4)
+    drawn = F.when((count("0-9") >= 4) & (count("A-Za-z") >= 4), "~drawn")
     begins = F.when(value.rlike("^[A-Za-z]{4}"), F.concat(F.lit("^"), F.substring(value, 1, 4)))
-    found = F.filter(F.array(F.lit("~drawn"), begins), lambda p: p.isNotNull())
-    return F.when(drawn, found).otherwise(F.array().cast("array<string>"))
+    found = F.filter(F.array(drawn, begins), lambda p: p.isNotNull())
+    return F.when(value.rlike("^[A-Za-z0-9_]{16,}+$"), found).otherwise(F.array().cast("array<string>"))
 
 
 def _slots(blocks: Column, length: Column, start: Column, end: Column, make: Column) -> Column:

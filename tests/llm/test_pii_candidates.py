@@ -131,6 +131,8 @@ def test_identifiers_of_an_unseen_make_are_found_in_random_contexts(spark):
         own = [f'token = "{key(40)}"', f"password={key(18)}", "AKIA" + key(16, "ABCDEFGHJK234567"), f"{rng.randrange(2000)}", card][kind]
         if i in (31, 61):
             own = f"password=sh0rt{i}"  # by its label alone
+        if i in (32, 62):
+            own = f"AKIAQWERTYUIOPAS{i}"  # by its beginning alone
         rows.append((i, f"{before} {own} {after}"))
         value = own.split('"')[1] if kind == 0 else own.partition("=")[2] if kind == 1 else own
         if kind < 3:
