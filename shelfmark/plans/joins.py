@@ -100,8 +100,9 @@ def range_midpoint_join(spark, d):
     """Chunks belong to the segment in which their middle lies. Segments of a key follow
     each other, so the one that may hold a chunk is the last that began before it: one
     ordered pass instead of a range join."""
-    e = table(spark, d, "events")
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").where("user_id IS NOT NULL")
+    # Whole seconds as a cast to BIGINT has them: the nearest, halves to the even one.
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     seg = e.where("event_type = 'signup'").select("user_id", at.alias("a"), F.coalesce(F.lead(at).over(w), at + 3600).alias("b"), F.col("event_id").alias("seg"))
     # A lead over whole seconds; segments of no length hold nothing.
