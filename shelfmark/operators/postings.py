@@ -21,16 +21,20 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.search import words
 from shelfmark.shared import new_folder
 from shelfmark.sources.manifest import Manifest
 
 SPAN = 1024
+#: Ranges whose blocks of a bucket share a file.
+RANGES = 256
 #: Ranges that are scored first, to learn what the others must reach.
 PROBED = 16
 
@@ -66,41 +70,67 @@ class Index:
         return self
 
     def _postings(self, docs: DataFrame) -> DataFrame:
-        """key, len, and terms with their frequency in each field, a row per document.
-        Each document is counted where it is read."""
-        n = len(self.fields)
+        """key, len, distinct terms with a space between, and their frequencies in each field,
+        term after term; a row per document. Each document is counted where it is read."""
         kind = docs.schema[self.key].dataType
         texts = [F.array_join(f, " ") if docs.schema[f].dataType.typeName() == "array" else F.col(f) for f in self.fields]
-        rows = docs.select(F.col(self.key).alias("key"), F.array(*[words(t) for t in texts]).alias("w"))
+        rows = docs.select(F.col(self.key).alias("key"), F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts]).alias("t"))
+        letters = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
 
         def count(batches):
             for batch in batches:
-                out: list[list] = [[], [], []]
-                for fields in batch.column("w").to_pylist():
-                    tfs: dict[str, list[int]] = {}
-                    for i, own in enumerate(fields):
-                        for term, k in Counter(own).items():
-                            tfs.setdefault(term, [0] * n)[i] = k
-                    for c, v in zip(out, (sum(map(len, fields)), list(tfs), list(tfs.values()))):
-                        c.append(v)
-                kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(c, t) for c, t in zip(out, kinds)]], names=["key", "len", "terms", "tfs"])
-
-        return rows.mapInArrow(count, f"key {kind.simpleString()}, len long, terms array<string>, tfs array<array<int>>")
+                # Few texts at a time are Python objects.
+                for start in range(0, batch.num_rows, 256):
+                    few = batch.slice(start, 256)
+                    lens, terms, tfs = [], [], []
+                    for fields in few.column("t").to_pylist():
+                        own = [Counter(t.encode().translate(letters).split()) for t in fields]
+                        held = list(own[0]) if len(own) == 1 else list(dict.fromkeys(chain.from_iterable(own)))
+                        lens.append(sum(c.total() for c in own))
+                        terms.append(b" ".join(held).decode())
+                        tfs.append(list(own[0].values()) if len(own) == 1 else [c[t] for t in held for c in own])
+                    yield pa.RecordBatch.from_arrays([few.column("key"), pa.array(lens, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.list_(pa.int32()))], names=["key", "len", "terms", "tfs"])
+
+        return rows.mapInArrow(count, f"key {kind.simpleString()}, len long, terms string, tfs array<int>")
+
+    def _blocks(self, forward: DataFrame, ranges: int) -> DataFrame:
+        """The block of every term and range, made range by range: each is some SPAN documents."""
+        n, kind = len(self.fields), forward.schema["key"].dataType.simpleString()
+
+        def inverted(table):
+            table = table.combine_chunks()
+            keys, lens, texts, counts = (table.column(c).chunk(0) for c in ("key", "len", "terms", "tfs"))
+            terms = pc.split_pattern(texts, " ")
+            doc = np.repeat(np.arange(len(keys)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            codes = terms.flatten().dictionary_encode()
+            at = codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            ends = np.cumsum(np.bincount(at, minlength=len(codes.dictionary)))
+            starts = np.concatenate([[0], ends[:-1]])
+            tfs = counts.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)[order]
+            doc = doc[order]
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * n, pa.int32()), pa.array(tfs.reshape(-1), pa.int32()))
+            posts = pa.StructArray.from_arrays([keys.take(pa.array(doc)), lens.take(pa.array(doc)), each], names=["key", "len", "tfs"])
+            docs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)), pa.int32()), posts)
+            number = table.column("range").chunk(0).take(pa.array(np.zeros(len(ends), int)))
+            columns = [codes.dictionary, number, pa.array(ends - starts, pa.int32()), pa.array(np.maximum.reduceat(tfs.sum(axis=1), starts), pa.int32()), pa.array(np.minimum.reduceat(lens.to_numpy()[doc], starts), pa.int64()), docs]
+            return pa.Table.from_arrays(columns, names=["term", "range", "n", "max_tf", "min_len", "docs"])
+
+        dealt = forward.where("terms <> ''").select("key", "len", "terms", "tfs", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"))
+        return dealt.groupBy("range").applyInArrow(inverted, f"term string, range int, n int, max_tf int, min_len long, docs array<struct<key:{kind},len:bigint,tfs:array<int>>>")
 
     def _write(self, docs: DataFrame, number: int, replaced: DataFrame | None) -> dict:
         """One segment; its entry of the manifest."""
         home = f"{self.folder}/segment-{number}-{new_folder(self.spark, 's').rsplit('-', 1)[1]}"
-        self._postings(docs).withColumn("kb", self._bucket(F.col("key"))).repartition(self.buckets, "kb").write.partitionBy("kb").parquet(f"{home}/forward")
+        self._postings(docs).withColumn("kb", self._bucket(F.col("key"))).write.partitionBy("kb").parquet(f"{home}/forward")
         forward = self.spark.read.parquet(f"{home}/forward")
         n_docs, n_words = forward.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         ranges = max(1, math.ceil(n_docs / SPAN))
-        each = forward.select("key", "len", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
-        tf = F.aggregate("t.tfs", F.lit(0), lambda a, x: a + x)
-        blocks = each.groupBy(F.col("t.terms").alias("term"), "range").agg(
-            F.count("*").cast("int").alias("n"), F.max(tf).alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("key", "len", F.col("t.tfs").alias("tfs"))).alias("docs")
-        )
-        blocks.withColumn("bucket", self._bucket(F.col("term"))).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{home}/blocks")
+        # A file holds the terms of a bucket in some ranges; ranges are even, so files of a bucket are.
+        groups = math.ceil(ranges / RANGES)
+        blocks = self._blocks(forward, ranges).withColumn("bucket", self._bucket(F.col("term")))
+        file = F.col("bucket") * groups + F.pmod(F.col("range"), F.lit(groups))
+        blocks.repartitionById(self.buckets * groups, file.cast("int")).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{home}/blocks")
         entry = {"home": home, "docs": n_docs, "words": n_words}
         if replaced is not None:
             old = self.forward(replaced).select("key", "len", "terms")
@@ -108,7 +138,7 @@ class Index:
             old = self.spark.read.parquet(f"{home}/old")
             gone, less = old.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
             replaced.select("key").distinct().write.parquet(f"{home}/replaced")
-            old.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{home}/dropped")
+            old.select(F.explode(F.split("terms", " ")).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n")).withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{home}/dropped")
             entry |= {"docs": n_docs - gone, "words": n_words - less, "replaces": True}
         return entry
 

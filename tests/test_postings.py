@@ -77,6 +77,18 @@ def test_a_search_reads_the_buckets_of_its_terms_and_few_ranges(spark, tmp_path,
     assert opened[0] == 2 and opened[1] < whole / 2
 
 
+def test_blocks_are_made_range_by_range_and_a_common_term_is_spread(spark, tmp_path, small, monkeypatch):
+    monkeypatch.setattr(P, "RANGES", 4)
+    rows = [(f"k{i}", "Common Łódź common x", ["common"] if i % 2 else None) for i in range(200)]
+    index = P.Index(spark, str(tmp_path / "i"), "k", ["t", "notes"], 4).build(spark.createDataFrame(rows, SCHEMA))
+    blocks = index._segments("blocks", ["common"])
+    docs = blocks.select(F.explode("docs").alias("d")).select("d.*").collect()
+    assert sorted((d.key, d.len, d.tfs) for d in docs) == sorted((k, 4 + bool(n), [2, int(bool(n))]) for k, _, n in rows)
+    assert blocks.select(F.input_file_name()).distinct().count() > 1
+    plan = index._blocks(index.forward(), 25)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning(range") == 1
+
+
 def test_a_failed_update_leaves_the_old_index(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("a", "red", []), ("b", "red red", [])], SCHEMA)
     index = P.Index(spark, str(tmp_path / "i"), "k", ["t", "notes"]).build(df)
