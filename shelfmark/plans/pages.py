@@ -65,17 +65,19 @@ def search_by_paths(spark, d):
 x AS (SELECT loc, s_suppkey, l_partkey, l_quantity FROM up JOIN supplier ON s_nationkey = nation JOIN lineitem ON l_suppkey = s_suppkey)
 SELECT loc, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts, count(DISTINCT CASE WHEN l_quantity > 40 THEN l_partkey END) AS bulk, round(avg(l_quantity), 6) AS mean FROM x GROUP BY loc""")
 def location_detail(spark, d):
-    """Statistics of each location and all above it. Rows become counts per supplier and
-    part before they meet the hierarchy, so that no row is counted once per level."""
-    l = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"), F.max("l_quantity").alias("top"))
+    """Statistics of each location and all above it. Rows become one per nation and part,
+    then one per location and part, so that no set of parts is held, and no row is copied
+    for each thing that is counted."""
+    sold = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
-    x = l.join(s, "l_suppkey").join(location_closure(spark, d), "nation")
-    return x.groupBy("loc").agg(
-        F.count_distinct("l_suppkey").alias("suppliers"),
-        F.count_distinct("l_partkey").alias("parts"),
-        F.count_distinct(F.when(F.col("top") > 40, F.col("l_partkey"))).alias("bulk"),
-        F.round(F.sum("q") / F.sum("n"), 6).alias("mean"),
-    )
+    closure = location_closure(spark, d)
+    sums = lambda q, n, top: (F.sum(q).alias("q"), F.sum(n).alias("n"), F.max(top).alias("top"))
+    own = sold.join(s, "l_suppkey").groupBy("nation", "l_partkey").agg(*sums("l_quantity", F.when(F.col("l_quantity").isNotNull(), 1).otherwise(0), "l_quantity"))
+    of_part = own.join(closure, "nation").groupBy("loc", "l_partkey").agg(*sums("q", "n", "top"))
+    known = F.col("l_partkey").isNotNull()
+    stats = of_part.groupBy("loc").agg(F.count_if(known).alias("parts"), F.count_if(known & (F.col("top") > 40)).alias("bulk"), F.round(F.try_divide(F.sum("q"), F.sum("n")), 6).alias("mean"))
+    active = sold.select("l_suppkey").distinct().join(s, "l_suppkey").join(closure, "nation").select("loc", "l_suppkey").distinct()
+    return stats.join(active.groupBy("loc").agg(F.count("*").alias("suppliers")), "loc").select("loc", "suppliers", "parts", "bulk", "mean")
 
 
 @named("""WITH x AS (SELECT n_name, coalesce(CASE WHEN p_size > 5 THEN p_brand END, 'unknown') AS bucket, p_partkey, p_type, p_size FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = l_partkey),

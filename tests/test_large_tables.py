@@ -16,3 +16,17 @@ def test_middles_are_rounded_as_their_sql_rounds(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = sorted((r.seg, r.chunks, r.stitched) for r in QUERIES["range_midpoint_join"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(f"SELECT seg, chunks, stitched FROM ({ORACLE['range_midpoint_join']})").fetchall())
+
+
+def test_locations_count_parts_without_copies_of_rows(spark, tmp_path):
+    items = [(1, 5, 41.0), (1, 5, 1.0), (2, 5, 3.0), (3, 6, 50.0), (3, None, 2.0), (4, 6, None), (None, 9, 8.0), (9, 9, 8.0)]
+    tables = {"lineitem": (items, "l_suppkey long, l_partkey long, l_quantity double"), "supplier": ([(1, 0), (2, 0), (3, 1), (4, 2), (5, 1)], "s_suppkey long, s_nationkey int"),
+              "nation": ([(0, "n0", 0), (1, "n1", 0), (2, "n2", 1)], "n_nationkey int, n_name string, n_regionkey int"), "region": ([(0, "r0"), (1, "r1")], "r_regionkey int, r_name string")}
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = QUERIES["location_detail"](spark, str(tmp_path))
+    columns = ["loc", "suppliers", "parts", "bulk", "mean"]
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['location_detail']})").fetchall())
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
