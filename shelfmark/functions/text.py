@@ -6,6 +6,7 @@ import json
 import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,12 +62,27 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(_folded(text, "NFD", False), r"\p{Mn}", "")
 
 
+_SLUG_DROPPED = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c) in " \t\n\x0b\f\r-"))
+_LOWER = bytes(range(256)).lower()
+
+
+def _slugged(text: str | None) -> str:
+    plain = (text or "").encode() if (text or "").isascii() else unicodedata.normalize("NFKD", text).encode("ascii", "ignore")
+    kept = plain.translate(_LOWER, _SLUG_DROPPED).strip()
+    joined = b"-".join(kept.replace(b"-", b" ").split())
+    before, after = kept.startswith(b"-"), kept.endswith(b"-") and joined
+    return (b"-" * bool(before) + joined + b"-" * bool(after)).decode()
+
+
 def slug(text: Column) -> Column:
     """Compatibility decomposition, other non-ASCII dropped, lower case, letters, digits
     and single hyphens only; null and empty give empty."""
-    plain = F.lower(F.regexp_replace(_folded(F.coalesce(text, F.lit("")), "NFKD", True), r"[^\x00-\x7F]", ""))
-    kept = F.btrim(F.regexp_replace(plain, r"[^a-z0-9\s-]", ""), F.lit(" \t\n\x0b\f\r"))
-    return F.regexp_replace(kept, r"[\s-]+", "-")
+
+    @F.pandas_udf("string")
+    def slugs(texts: pd.Series) -> pd.Series:
+        return texts.map(_slugged)
+
+    return slugs(F.coalesce(text, F.lit("")))
 
 
 def owner_slug(text: Column) -> Column:
