@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import detectors, hierarchy, intervals, migrate, scans, substring
 from shelfmark.plans.registry import Plans
+from shelfmark.shared import checkpoint
 from shelfmark.sources.tables import table
 
 PLANS = Plans()
@@ -87,8 +88,10 @@ def detector_consensus(spark, d):
     each tells the labelled bad ones; the forest's sample is beyond SQL, tests hold it."""
     t = F.coalesce("text", F.lit(""))
     size = F.length(t).cast("double")
-    features = [F.log1p(size).alias("x"), (F.length(F.regexp_replace(t, r"[^ \n\t]", "")) / (size + 1)).alias("y"), (F.length(F.regexp_replace(t, "[^#*$%&|<>!]", "")) / (size + 1)).alias("z")]
+    share = lambda others: F.length(F.regexp_replace(t, others, "")) / (size + 1)
+    features = [F.log1p(size).alias("x"), share(r"[^ \n\t]+").alias("y"), share("[^#*$%&|<>!]+").alias("z")]
     labels = table(spark, d, "labels").groupBy("doc_id").agg((1 - F.max("quality")).alias("odd"))
-    rows = table(spark, d, "documents").select("doc_id", *features).join(labels, "doc_id", "left")
+    # All that follows reads numbers; texts are read once.
+    rows = checkpoint(table(spark, d, "documents").select("doc_id", *features)).join(labels, "doc_id", "left")
     scored, _ = detectors.consensus(rows, ["x", "y", "z"], "doc_id", "odd")
     return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("s_forest", "s_grid", "s_distance", "score")])

@@ -30,3 +30,28 @@ def test_locations_count_parts_without_copies_of_rows(spark, tmp_path):
     columns = ["loc", "suppliers", "parts", "bulk", "mean"]
     assert sorted(map(tuple, df.select(columns).collect())) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['location_detail']})").fetchall())
     assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_read_once_for_all_detectors(spark, tmp_path, monkeypatch):
+    from shelfmark.operators import detectors
+
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, " \n#" * (i % 5) + "ab c" * i) for i in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    consensus = detectors.consensus
+    monkeypatch.setattr(detectors, "consensus", lambda rows, *a: seen.append(rows) or consensus(rows, *a))
+    assert QUERIES["detector_consensus"](spark, str(tmp_path)).count() == 40
+    assert "documents.parquet" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    texts = [" \n#" * (i % 5) + "ab c" * i for i in range(40)]
+    share = lambda t, marks: sum(c in marks for c in t) / (len(t) + 1)
+    got = {r.doc_id: (r.y, r.z) for r in seen[0].collect()}
+    assert got == {i: (share(t, " \n\t"), share(t, "#*$%&|<>!")) for i, t in enumerate(texts)}
+
+
+def test_slugs_keep_edges_and_need_no_table_of_characters(spark):
+    from shelfmark.functions import text as T
+
+    texts = {"-a- b--": "-a-b-", " \n- - ": "-", "--": "-", "a\x1cb\x00c": "abc", "\tK ﬁ ½\x0b": "k-fi-12", "İ-ẞ é": "i-e", "": "", None: ""}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.slug(F.col("t")).alias("slug"))
+    assert {r.t: r.slug for r in df.collect()} == texts
+    assert "translate" not in df._jdf.queryExecution().executedPlan().toString()
